@@ -1,0 +1,46 @@
+"""Intermediate tables in the folder that the whole cluster shares.
+
+``spark.checkpoint.dir`` names that folder. Tables written there outlive a lost executor and cut the lineage, and,
+unlike a raw checkpoint, they are compressed and keep column pruning.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder; a local one is chosen only where the session names none (tests, a single machine)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if current.isDefined():
+            named = current.get()
+        else:
+            named = tempfile.mkdtemp(prefix="skein-")
+            spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, removed when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    jvm = spark.sparkContext._jvm
+    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB, so that a batch of very long texts fits a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
