@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skein.llm import lang_id, media, near_dup, packing, sharding, url_filter
 from skein.llm.scratch import small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,29 +15,39 @@ Query = Callable[[SparkSession, str], DataFrame]
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from skein.llm import packing
-
     small_batches(spark)
     return packing.digest(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
-def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from skein.llm import media
+def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.document_shards(table(spark, sf_dir, "documents"))
+
+
+def op7_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return lang_id.language_of_documents(table(spark, sf_dir, "documents"))
 
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return media.text_features(table(spark, sf_dir, "documents"))
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from skein.llm import near_dup
-
     small_batches(spark)
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op5_pack": op5_pack,
+    "op6_shard": op6_shard,
+    "op7_lang_id": op7_lang_id,
+    "op8_url_filter": op8_url_filter,
     "op9_media": op9_media,
     "op10_near_dup": op10_near_dup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_url_filter": url_filter.ORACLE}
