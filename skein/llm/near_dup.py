@@ -41,7 +41,10 @@ FILTER_BITS = 1 << 24
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, block_a, block_b, side, v, c, n, sketch) sorted by the first three: pairs across components."""
+    """Rows (band, block_a, block_b, side, v, c, n, sketch, bands) sorted by the first three: pairs across components.
+
+    Two vertices may share several bands; their pair is made in the first of them alone.
+    """
     left: pa.Table | None = None
 
     def pairs(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -51,9 +54,16 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(v), shingles.BINS)
         cut = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
         starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(v)]])
+        bands = rows.column("bands").chunk(0).flatten().to_numpy().reshape(len(v), shingles.BANDS)
+
+        def made_here(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            first = (bands[x] == bands[y]).argmax(axis=1)
+            return bands[x, first] == keys[0, x]
+
         two = starts[ends - starts == 2]
         two = two[(c[two] != c[two + 1]) & ((keys[1, two] == keys[2, two]) | (side[two] != side[two + 1]))]
         if len(two):
+            two = two[made_here(two, two + 1)]
             two = two[shingles.may_reach(sketch[two], sketch[two + 1], n[two], n[two + 1], LINK_PERCENT / 100)]
             yield v[two], v[two + 1]
         for s, e in zip(starts, ends, strict=True):
@@ -64,6 +74,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in first:
                 others = np.arange(i + 1, e) if same_block else np.arange(s, e)[side[s:e] == 1]
                 others = others[c[others] != c[i]]
+                others = others[made_here(np.full(len(others), i), others)]
                 if len(others):
                     hit = others[shingles.may_reach(sketch[others], sketch[i], n[others], n[i], LINK_PERCENT / 100)]
                     if len(hit):
@@ -73,8 +84,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = list(pairs(rows.combine_chunks())) if rows.num_rows else []
         if found:
             x, y = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-            edges = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(edges[0], pa.int64()), pa.array(edges[1], pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], ["a", "b"])
 
     for batch in batches:
         rows = pa.Table.from_batches([batch])
@@ -102,14 +112,15 @@ def _sets(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
 
     A bit table of fixed size, joined by broadcast, lets through the texts that may be needed; the exact join follows.
     """
-    need = members.select("v").distinct().join(nodes.select(F.col("first").alias("v"), "set_key"), "v")
+    need = members.select("v").distinct().join(nodes.select(F.col("first").alias("v"), "set_key", "bands"), "v")
     place = F.pmod(F.xxhash64(F.col("v")), F.lit(FILTER_BITS))
     bits = need.select(place.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(p & 63 AS INT)))").alias("bits"))
     at = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("p"))
     at = at.withColumn("word", F.shiftright("p", 6).cast("int")).join(F.broadcast(bits), "word")
     wanted = at.filter("shiftrightunsigned(bits, CAST(p & 63 AS INT)) & 1 = 1").select("doc_id", "text")
     sets = wanted.mapInArrow(shingles.set_batches, "doc_id long, set_key binary, shingles array<long>, sketch binary")
-    return sets.join(need.select(F.col("v").alias("doc_id"), "set_key"), ["doc_id", "set_key"]).select(F.col("doc_id").alias("v"), "shingles", "sketch", F.size("shingles").cast("long").alias("n"))
+    found = sets.join(need.withColumnRenamed("v", "doc_id"), ["doc_id", "set_key"])
+    return found.select(F.col("doc_id").alias("v"), "shingles", "sketch", "bands", F.size("shingles").cast("long").alias("n"))
 
 
 def _search_across(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
@@ -117,16 +128,16 @@ def _search_across(members: DataFrame, labels: DataFrame, sets: DataFrame) -> Da
     placed = members.select("band", "v").join(labels, "v", "left").select("band", "v", F.coalesce("c", "v").alias("c"))
     open_ = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).filter("lo < hi")
     open_ = open_.select("band", F.ceil(F.col("k") / BUCKET_BLOCK).cast("int").alias("parts"))
-    rows = placed.join(open_, "band").join(sets.select("v", "n", "sketch"), "v")
+    rows = placed.join(open_, "band").join(sets.select("v", "n", "sketch", "bands"), "v")
     own = F.pmod(F.xxhash64("v"), F.col("parts").cast("long")).cast("int")
     # A block meets itself once and every other block once, as the left side of later and the right side of earlier ones.
     meets = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda j: F.struct(F.least(F.col("own"), j).alias("block_a"), F.greatest(F.col("own"), j).alias("block_b"), (F.col("own") > j).cast("int").alias("side")),
     )
-    rows = rows.withColumn("own", own).withColumn("m", F.explode(meets)).select("band", "m.*", "v", "c", "n", "sketch")
+    rows = rows.withColumn("own", own).withColumn("m", F.explode(meets)).select("band", "m.*", "v", "c", "n", "sketch", "bands")
     dealt = rows.repartition("band", "block_a", "block_b").sortWithinPartitions("band", "block_a", "block_b")
-    return dealt.mapInArrow(_across, "a long, b long").distinct()
+    return dealt.mapInArrow(_across, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

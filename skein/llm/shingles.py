@@ -15,8 +15,8 @@ BANDS, ROWS = 36, 4
 PERMUTATIONS = BANDS * ROWS // 2
 
 #: Ranges of a bin sketch, and how far below the threshold an estimate may lie.
-BINS, SPREAD = 256, 4.5
-_EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(56)
+BINS, SPREAD = 1024, 4.5
+_EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(54)
 
 _rng = np.random.default_rng(710)
 _FACTOR = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
