@@ -12,6 +12,7 @@ Repeated rows are packed once each. Other columns are not carried. An empty tabl
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -23,37 +24,71 @@ from pyspark.sql import functions as F
 from skein.llm.words import blocks, text_buffers
 
 #: Words of at most this many bytes are remembered, and so many of them in a worker.
-CACHED_WORD_BYTES, CACHED_WORDS = 48, 400_000
+CACHED_WORD_BYTES, CACHED_WORDS = 48, 500_000
+#: ASCII marks that end a word in running text; after a letter they always make a token of their own.
+MARKS = b".,!?;:%&*$#"
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
 
 class WordEncoder:
-    """Ids of a text, word by word: white space separates the tokens of the vocabularies this works with."""
+    """Ids of a text, word by word: white space separates the tokens of the vocabularies this works with.
+
+    A word of Latin letters and the marks after it are encoded apart, since no token of these vocabularies holds both; the
+    letters alone need none of the vocabulary's normalising and splitting. Any other word is encoded as it stands.
+    """
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_str(spec)
+        self.whole, self.letters = Tokenizer.from_str(spec), Tokenizer.from_str(spec)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def _fill(known: dict[bytes, bytes], words: list[bytes], texts: list[str], tokenizer) -> None:
+        for at in range(0, len(words), 4096):
+            found = tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)
+            for word, encoding in zip(words[at : at + 4096], found, strict=True):
+                known[word] = array("I", encoding.ids).tobytes()
 
     def learn(self, words: set[bytes]) -> None:
         missing = [w for w in words if w not in self.known]
         if len(self.known) + len(missing) > CACHED_WORDS:
             self.known.clear()
             missing = list(words)
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for word, encoding in zip(part, found, strict=True):
-                self.known[word] = np.array(encoding.ids, "<u4").tobytes()
+        if len(self.stems) + len(missing) > CACHED_WORDS:
+            self.stems.clear()
+        split, plain, stems = [], [], {}
+        for word in missing:
+            stem = word.rstrip(MARKS)
+            if stem not in self.stems and stem not in stems:
+                text = stem.decode()
+                if not text.isalpha() or max(text) > "\xff":
+                    plain.append(word)
+                    continue
+                stems[stem] = text.lower()
+            split.append((word, stem))
+        self._fill(self.stems, list(stems), list(stems.values()), self.letters)
+        tails = {w[len(s) :] for w, s in split if len(s) < len(w)} - self.known.keys()
+        plain += [t for t in tails if t not in words]
+        self._fill(self.known, plain, [w.decode() for w in plain], self.whole)
+        late = [t for t in tails if t in words and t not in self.known]
+        self._fill(self.known, late, [w.decode() for w in late], self.whole)
+        for word, stem in split:
+            self.known[word] = self.stems[stem] + (self.known[word[len(stem) :]] if len(stem) < len(word) else b"")
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        self.learn({w for words in split for w in words})
-        out = [b"".join([self.known[w] for w in words]) for words in split]
-        for word in [w for w in {w for words in split for w in words} if len(w) > CACHED_WORD_BYTES]:
+        # These vocabularies fold case themselves; only their special tokens, spelled <|...|>, depend on it.
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        words = set().union(*split)
+        self.learn(words)
+        out = [b"".join([self.known[w] for w in own]) for own in split]
+        for word in [w for w in words if len(w) > CACHED_WORD_BYTES]:
             del self.known[word]
+            self.stems.pop(word.rstrip(MARKS), None)
         return out
 
 
