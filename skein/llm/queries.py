@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import lang_id, media, near_dup, packing, sharding, url_filter
+from skein.llm import bitslice, hmm, lang_id, media, near_dup, packing, sharding, url_filter
 from skein.llm.scratch import small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return hmm.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_bitslice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitslice.top_rows(table(spark, sf_dir, "embeddings"))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,6 +52,8 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_hmm": op1_hmm,
+    "op2_bitslice": op2_bitslice,
     "op5_pack": op5_pack,
     "op6_shard": op6_shard,
     "op7_lang_id": op7_lang_id,
@@ -50,4 +61,4 @@ QUERIES: dict[str, Query] = {
     "op9_media": op9_media,
     "op10_near_dup": op10_near_dup,
 }
-ORACLES: dict[str, str] = {"op8_url_filter": url_filter.ORACLE}
+ORACLES: dict[str, str] = {"op2_bitslice": bitslice.ORACLE, "op8_url_filter": url_filter.ORACLE}
