@@ -392,8 +392,10 @@ def score_documents(docs: DataFrame, size: Size = Size()) -> DataFrame:
     rows = narrow.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     coded = rows.mapInArrow(partial(_coded, sent=sent, size=size), CODED).withColumn("uid", F.monotonically_increasing_id())
     coded = written(coded, "coded")
-    sampled = coded.filter(~F.col("held_out") & (F.col("n_tokens") <= size.sample_tokens))
-    taken = sampled.select("symbols", F.xxhash64("doc_id", "uid").alias("h")).orderBy("h").limit(size.sample).collect()
+    sampled = coded.filter(~F.col("held_out") & (F.col("n_tokens") <= size.sample_tokens)).withColumn("h", F.xxhash64("doc_id", "uid"))
+    last = sampled.select("h").orderBy("h").limit(size.sample).agg(F.max("h")).first()[0]
+    taken = sampled.filter(F.col("h") <= F.lit(last)).select("h", "symbols").limit(size.sample).collect() if last is not None else []
+    taken.sort(key=lambda r: r["h"])
     chain = first_chain([np.frombuffer(r["symbols"], np.uint16) for r in taken], frequency, size)
     for _ in range(size.passes):
         chain = baum_welch_pass(coded, chain, frequency, size)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bitslice, hmm, lang_id, media, near_dup, packing, sharding, url_filter
+from skein.llm import bitslice, hmm, lang_id, license_scan, media, near_dup, packing, sharding, url_filter
 from skein.llm.scratch import small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_bitslice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.top_rows(table(spark, sf_dir, "embeddings"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses_of_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,6 +58,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_hmm": op1_hmm,
     "op2_bitslice": op2_bitslice,
+    "op3_license_scan": op3_license_scan,
     "op5_pack": op5_pack,
     "op6_shard": op6_shard,
     "op7_lang_id": op7_lang_id,
@@ -61,4 +66,4 @@ QUERIES: dict[str, Query] = {
     "op9_media": op9_media,
     "op10_near_dup": op10_near_dup,
 }
-ORACLES: dict[str, str] = {"op2_bitslice": bitslice.ORACLE, "op8_url_filter": url_filter.ORACLE}
+ORACLES: dict[str, str] = {"op2_bitslice": bitslice.ORACLE, "op3_license_scan": license_scan.ORACLE, "op8_url_filter": url_filter.ORACLE}
