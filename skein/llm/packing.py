@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from skein.llm.words import blocks, text_buffers
 
 #: Words of at most this many bytes are remembered, and so many of them in a worker.
-CACHED_WORD_BYTES, CACHED_WORDS = 48, 500_000
+CACHED_WORD_BYTES, CACHED_WORDS = 48, 400_000
 #: ASCII marks that end a word in running text; after a letter they always make a token of their own.
 MARKS = b".,!?;:%&*$#"
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long"
@@ -61,31 +61,33 @@ class WordEncoder:
             missing = list(words)
         if len(self.stems) + len(missing) > CACHED_WORDS:
             self.stems.clear()
-        split, plain, stems = [], [], {}
-        for word in missing:
-            stem = word.rstrip(MARKS)
-            if stem not in self.stems and stem not in stems:
-                text = stem.decode()
-                if not text.isalpha() or max(text) > "\xff":
-                    plain.append(word)
-                    continue
-                stems[stem] = text.lower()
-            split.append((word, stem))
-        self._fill(self.stems, list(stems), list(stems.values()), self.letters)
-        tails = {w[len(s) :] for w, s in split if len(s) < len(w)} - self.known.keys()
-        plain += [t for t in tails if t not in words]
-        self._fill(self.known, plain, [w.decode() for w in plain], self.whole)
-        late = [t for t in tails if t in words and t not in self.known]
-        self._fill(self.known, late, [w.decode() for w in late], self.whole)
-        for word, stem in split:
-            self.known[word] = self.stems[stem] + (self.known[word[len(stem) :]] if len(stem) < len(word) else b"")
+        stems = [w.rstrip(MARKS) for w in missing]
+        fresh, odd = {}, set()
+        for stem in set(stems).difference(self.stems):
+            text = stem.decode()
+            if text.isalpha() and (text.isascii() or max(text) <= "\xff"):
+                fresh[stem] = text.lower()
+            else:
+                odd.add(stem)
+        self._fill(self.stems, list(fresh), list(fresh.values()), self.letters)
+        tails = {w[len(s) :] for w, s in zip(missing, stems, strict=True) if s is not w and s not in odd}
+        whole = list(tails.union(w for w, s in zip(missing, stems, strict=True) if s in odd).difference(self.known)) if odd else list(tails.difference(self.known))
+        self._fill(self.known, whole, [w.decode() for w in whole], self.whole)
+        known, of_stem = self.known, self.stems
+        for word, stem in zip(missing, stems, strict=True):
+            if stem is word:
+                if stem not in odd:
+                    known[word] = of_stem[stem]
+            elif stem not in odd:
+                known[word] = of_stem[stem] + known[word[len(stem) :]]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         # These vocabularies fold case themselves; only their special tokens, spelled <|...|>, depend on it.
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         words = set().union(*split)
         self.learn(words)
-        out = [b"".join([self.known[w] for w in own]) for own in split]
+        find = self.known.__getitem__
+        out = [b"".join(map(find, own)) for own in split]
         for word in [w for w in words if len(w) > CACHED_WORD_BYTES]:
             del self.known[word]
             self.stems.pop(word.rstrip(MARKS), None)
