@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bitslice, hmm, lang_id, license_scan, media, near_dup, packing, sharding, url_filter
+from skein.llm import bitslice, hmm, lang_id, license_scan, media, mixing, near_dup, packing, sharding, url_filter
 from skein.llm.scratch import small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.licenses_of_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op1_hmm": op1_hmm,
     "op2_bitslice": op2_bitslice,
     "op3_license_scan": op3_license_scan,
+    "op4_mix": op4_mix,
     "op5_pack": op5_pack,
     "op6_shard": op6_shard,
     "op7_lang_id": op7_lang_id,
