@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm import lang_id, mixing, near_dup, packing
-from skein.llm.scratch import small_batches, table, written
+from skein.scratch import small_batches, table, written
 
 #: A document stays if some language has at least this mean probability (and it has a letter at all).
 LEAST_LANGUAGE_SCORE = 0.3

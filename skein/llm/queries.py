@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm import bitslice, hmm, lang_id, license_scan, media, mixing, near_dup, packing, sharding, url_filter
-from skein.llm.scratch import small_batches, table
+from skein.scratch import small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
