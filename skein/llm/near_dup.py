@@ -107,17 +107,27 @@ def _confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
     return with_b.withColumn("both", both).filter(100 * F.col("both") >= LINK_PERCENT * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b").distinct()
 
 
+def _bit_table(ids: DataFrame) -> DataFrame:
+    """(word, bits): which hashes occur among ``v``. At most FILTER_BITS / 64 rows, whatever the input."""
+    place = F.pmod(F.xxhash64("v"), F.lit(FILTER_BITS)).alias("p")
+    return ids.select(place).groupBy(F.shiftright("p", 6).cast("int").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, CAST(p & 63 AS INT)))").alias("_bits"))
+
+
+def _marked(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """``docs`` with ``_hit``: false only where the id is surely not among ``ids``. By broadcast of the bit table."""
+    place = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(FILTER_BITS))
+    placed = docs.withColumns({"_word": F.shiftright(place, 6).cast("int"), "_bit": (place % 64).cast("int")})
+    hit = F.coalesce(F.expr("shiftrightunsigned(_bits, _bit) & 1 = 1"), F.lit(False))
+    return placed.join(F.broadcast(_bit_table(ids)), "_word", "left").withColumn("_hit", hit).select(*docs.columns, "_hit")
+
+
 def _sets(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
     """Full sets and bin sketches of the vertices in ``members``.
 
-    A bit table of fixed size, joined by broadcast, lets through the texts that may be needed; the exact join follows.
+    The bit table keeps most texts that are not needed out of the work; the exact join follows.
     """
     need = members.select("v").distinct().join(nodes.select(F.col("first").alias("v"), "set_key", "bands"), "v")
-    place = F.pmod(F.xxhash64(F.col("v")), F.lit(FILTER_BITS))
-    bits = need.select(place.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(p & 63 AS INT)))").alias("bits"))
-    at = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("p"))
-    at = at.withColumn("word", F.shiftright("p", 6).cast("int")).join(F.broadcast(bits), "word")
-    wanted = at.filter("shiftrightunsigned(bits, CAST(p & 63 AS INT)) & 1 = 1").select("doc_id", "text")
+    wanted = _marked(docs.select("doc_id", "text"), "doc_id", need).filter("_hit").select("doc_id", "text")
     sets = wanted.mapInArrow(shingles.set_batches, "doc_id long, set_key binary, shingles array<long>, sketch binary")
     found = sets.join(need.withColumnRenamed("v", "doc_id"), ["doc_id", "set_key"])
     return found.select(F.col("doc_id").alias("v"), "shingles", "sketch", "bands", F.size("shingles").cast("long").alias("n"))
@@ -166,10 +176,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group: its smallest id. Rows without id stay, and of rows that share an id one."""
-    found = near_duplicates(docs, id_col, text_col).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept"))
-    counts = written(found.groupBy("_kept").agg(F.count("*").alias("_rows")), "kept")
-    kept = docs.join(counts, F.col(id_col) == F.col("_kept"), "inner")
-    single = kept.filter("_rows = 1").drop("_kept", "_rows")
-    several = kept.filter("_rows > 1").dropDuplicates([id_col]).drop("_kept", "_rows")
-    return single.unionByName(several).unionByName(docs.filter(F.col(id_col).isNull()))
+    """``docs`` with one row of each group: its smallest id. Rows without id stay, and of rows that share an id one.
+
+    Only rows that may have to go (by the bit table of dropped and repeated ids) are joined exactly; the rest of the texts
+    is not shuffled.
+    """
+    found = written(near_duplicates(docs, id_col, text_col).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("v")).agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept")), "kept")
+    open_ = found.filter("NOT kept OR n > 1")
+    own = {c: f"_own{c}" for c in docs.columns if c.startswith("_")}
+    marked = _marked(docs.withColumnsRenamed(own), id_col, open_)
+    back = {v: k for k, v in own.items()}
+    sure = marked.filter("NOT _hit").drop("_hit")
+    unsure = marked.filter("_hit").drop("_hit").join(found.filter("kept").select(F.col("v").alias("_kept"), F.col("n").alias("_n")), F.col(id_col) == F.col("_kept"))
+    parts = sure.unionByName(unsure.filter("_n = 1").drop("_kept", "_n"))
+    if not found.filter("kept AND n > 1").isEmpty():
+        parts = parts.unionByName(unsure.filter("_n > 1").drop("_kept", "_n").dropDuplicates([id_col]))
+    return parts.withColumnsRenamed(back)
+
+
