@@ -71,4 +71,4 @@ QUERIES: dict[str, Query] = {
     "op9_media": op9_media,
     "op10_near_dup": op10_near_dup,
 }
-ORACLES: dict[str, str] = {"op2_bitslice": bitslice.ORACLE, "op3_license_scan": license_scan.ORACLE, "op8_url_filter": url_filter.ORACLE}
+ORACLES: dict[str, str] = {"op2_bitslice": bitslice.ORACLE, "op3_license_scan": license_scan.ORACLE, "op8_url_filter": url_filter.ORACLE, "op10_near_dup": near_dup.ORACLE}
