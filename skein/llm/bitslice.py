@@ -179,7 +179,7 @@ def _build(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.Recor
 def build_index(vectors: DataFrame) -> tuple[DataFrame, Shape]:
     """Blocks of the index over ``quantised`` vectors at rest."""
     low, high, width, n = vectors.select(F.array_min("v").alias("lo"), F.array_max("v").alias("hi"), F.size("v").alias("w")).agg(F.min("lo"), F.max("hi"), F.max("w"), F.count("*")).first()
-    shape = Shape(width or 0, max((high or 0).bit_length(), (~(low or 0)).bit_length() if (low or 0) < 0 else 0) + 1)
+    shape = Shape(max(width or 0, 1), max((high or 0).bit_length(), (~(low or 0)).bit_length() if (low or 0) < 0 else 0) + 1)
     parts = max(1, -(-n // (4 * ROWS)))
     dealt = vectors.repartitionByRange(parts, "vec_id").sortWithinPartitions("vec_id")
     return written(dealt.mapInArrow(partial(_build, shape=shape), "ids binary, slices binary").withColumn("block", F.monotonically_increasing_id()), "index"), shape

@@ -18,7 +18,6 @@ rows get equal rates, each its own copies. Other columns are ignored by ``mix``;
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -98,42 +97,73 @@ def _summed(table: Column) -> Column:
     return F.aggregate("_b", F.lit(0.0), lambda s, b: s + F.element_at(table, b))
 
 
-def rate_after(steps: list[np.ndarray]) -> Column:
-    """The rate of a row after these steps from 1: r = max(0, r - step . posterior), again and again."""
+@dataclass(frozen=True)
+class Step:
+    """All rates move against ``along``, but those at 0 that the gradient, posterior . ``residual``, holds there."""
+
+    along: np.ndarray
+    residual: np.ndarray
+
+
+def rate_after(steps: list[Step]) -> Column:
+    """The rate of a row after these steps from 1: r = max(0, r - along . posterior), again and again."""
     if not steps:
         return F.lit(1.0)
     k = len(DOMAINS)
-    constants = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
-    return F.aggregate(constants, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - sum((F.get(s, i) * F.col(f"_p{i}") for i in range(1, k)), F.get(s, 0) * F.col("_p0"))))
+    constants = F.array(*[F.array(*[F.lit(float(x)) for x in (*s.along, *s.residual)]) for s in steps])
 
+    def dot(s: Column, at: int) -> Column:
+        return sum((F.get(s, at + i) * F.col(f"_p{i}") for i in range(1, k)), F.get(s, at) * F.col("_p0"))
 
-def solve(scored: DataFrame, targets: dict[str, float] = TARGETS, most: int = 30, close: float = 1e-6) -> list[np.ndarray]:
-    """Steps of the projected gradient over a table at rest with _tokens and posteriors."""
+    return F.aggregate(constants, F.lit(1.0), lambda r, s: F.when((r <= 0) & (dot(s, k) > 0), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), r - dot(s, 0))))
+
+
+def solve(scored: DataFrame, targets: dict[str, float] = TARGETS, most: int = 80, close: float = 1e-6) -> list[Step]:
+    """Steps of the projected gradient over a table at rest with _tokens and posteriors.
+
+    A step is kept only if it lessens the squared error. The scaled step is shortened a few times, then the plain
+    gradient, short enough to descend, takes its place; the search ends when neither gains, or after ``most`` passes.
+    """
     k = len(DOMAINS)
     share = np.array([targets[d] for d in DOMAINS])
     share = share / share.sum()
     p = [F.col(f"_p{i}") for i in range(k)]
-    steps: list[np.ndarray] = []
-    best, damp = math.inf, 1.0
-    while len(steps) < most:
-        rated = scored.withColumn("_r", rate_after(steps))
-        moving = (F.col("_r") > 0).cast("double")
-        sums = [F.sum(F.col("_tokens") * F.col("_r") * x) for x in p]
-        second = [F.sum(F.col("_tokens") * moving * p[i] * p[j]) for i in range(k) for j in range(i, k)]
-        row = rated.agg(F.sum("_tokens"), *sums, *second).first()
-        if not row[0]:
+
+    def error(steps: list[Step]) -> np.ndarray | None:
+        row = scored.withColumn("_r", rate_after(steps)).agg(F.sum("_tokens"), *[F.sum(F.col("_tokens") * F.col("_r") * x) for x in p]).first()
+        return np.array(row[1:]) / row[0] - share if row[0] else None
+
+    def curve(steps: list[Step], residual: np.ndarray) -> np.ndarray:
+        """Second derivative over the rows that are free to move."""
+        pull = sum((F.lit(float(residual[i])) * p[i] for i in range(1, k)), F.lit(float(residual[0])) * p[0])
+        free = ((F.col("_r") > 0) | (pull < 0)).cast("double")
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        row = scored.withColumn("_r", rate_after(steps)).agg(F.sum("_tokens"), *[F.sum(F.col("_tokens") * free * p[i] * p[j]) for i, j in pairs]).first()
+        out = np.zeros((k, k))
+        for (i, j), value in zip(pairs, row[1:], strict=True):
+            out[i, j] = out[j, i] = value / row[0]
+        return out
+
+    steps: list[Step] = []
+    residual = error(steps)
+    passes = 1
+    while residual is not None and np.abs(residual).max() >= close and passes < most:
+        bend = curve(steps, residual)
+        # The ridge holds back domains that hardly any document belongs to.
+        scaled = np.linalg.solve(bend + 1e-4 * np.trace(bend) * np.eye(k) + 1e-12 * np.eye(k), residual)
+        plain = residual / max(np.trace(bend), 1e-9)
+        for along in (scaled, scaled / 4, scaled / 16, scaled / 64, plain, plain / 8):
+            trial = error([*steps, Step(along, residual)])
+            passes += 1
+            if trial @ trial < residual @ residual:
+                break
+        else:
             break
-        total = float(row[0])
-        residual = np.array(row[1 : 1 + k]) / total - share
-        error = float(np.abs(residual).max())
-        if error < close:
+        gained = 1 - (trial @ trial) / (residual @ residual)
+        steps, residual = [*steps, Step(along, residual)], trial
+        passes += 1
+        if gained < 1e-6:
             break
-        damp = min(1.0, damp * 1.5) if error < best else damp * 0.5
-        best = min(best, error)
-        curve = np.zeros((k, k))
-        for (i, j), value in zip([(i, j) for i in range(k) for j in range(i, k)], row[1 + k :], strict=True):
-            curve[i, j] = curve[j, i] = value / total
-        steps.append(damp * np.linalg.solve(curve + 1e-9 * np.eye(k), residual))
     return steps
 
 
