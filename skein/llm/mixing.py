@@ -37,7 +37,8 @@ class Fit:
     rows: int = 6000
     buckets: int = 1 << 14
     evidence: float = 60.0
-    smoothing: float = 0.5
+    #: Words of the whole sample's distribution that every domain is given beforehand.
+    prior: float = 300.0
 
 
 @dataclass(frozen=True)
@@ -69,12 +70,13 @@ def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> Classifier:
     sample = named.orderBy("_h").limit(how.rows)  # at most how.rows narrow rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
     words = texts.select("domain", F.explode(_buckets(F.col("text"), how.buckets)).alias("bucket"))
-    counts = np.full((len(DOMAINS), how.buckets), how.smoothing)
+    counts = np.zeros((len(DOMAINS), how.buckets))
     for r in words.groupBy("domain", "bucket").count().collect():  # at most buckets * domains rows
         counts[r["domain"], r["bucket"] - 1] += r["count"]
     seen = {r["domain"]: r["count"] for r in sample.groupBy("domain").count().collect()}
     rows = np.array([seen.get(k, 0) + 1.0 for k in range(len(DOMAINS))])
-    log = np.log(counts / counts.sum(axis=1, keepdims=True))
+    usual = (counts.sum(axis=0) + 1 / how.buckets) / (counts.sum() + 1)
+    log = np.log((counts + how.prior * usual) / (counts.sum(axis=1, keepdims=True) + how.prior))
     return Classifier(tuple(np.log(rows / rows.sum()).tolist()), tuple(tuple(np.round(log[k] - log[0], 6).tolist()) for k in range(1, len(DOMAINS))))
 
 
