@@ -184,4 +184,4 @@ def read_archive(spark: SparkSession, path: str, limits: Limits = Limits()) -> t
     counters["dropped_sampled_events"] = counters["sampled_events"] - counters["sampled_observations"]
     counters["observations"] = counters["candidate_observations"] + counters["sampled_observations"]
     rows = truncated(rows.filter("retained"), limits).withColumns({"source": F.lit("gharchive"), "event_key": F.concat(F.lit("github:event:gharchive:"), "source_event_id"), "ingest_ord": F.col("line_no")})
-    return canonical(rows).withColumn("ingest_ord", F.monotonically_increasing_id()), counters
+    return canonical(rows), counters

@@ -66,6 +66,7 @@ def canonical(df: DataFrame) -> DataFrame:
         F.coalesce(F.col("metadata.author_email_domains"), F.array().cast("array<string>")).alias("email_domains"),
         F.col("provenance.url").alias("provenance_url"),
         F.to_json("metadata").alias("metadata_json"),
+        *[c for c in ("ingest_ord",) if c in df.columns],
     )
     return out if "ingest_ord" in df.columns else out.withColumn("ingest_ord", F.monotonically_increasing_id())
 
