@@ -82,4 +82,5 @@ class Monitor:
         return result
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger):
-        return stream.writeStream.foreachBatch(lambda df, n: self.cycle(df, n)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        """Batches without rows only move the watermark; they make no cycle."""
+        return stream.writeStream.foreachBatch(lambda df, n: None if df.isEmpty() else self.cycle(df, n)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
