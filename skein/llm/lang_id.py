@@ -14,6 +14,7 @@ get equal answers; other columns are ignored; an empty table gives an empty resu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.memory import released
 from skein.llm.words import Words, blocks, text_buffers
 
 HIDDEN, SEGMENT = 16, 48
@@ -231,8 +233,8 @@ def identify(df: DataFrame, model: Model | None, text_col: str = "text") -> Data
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("lang string, score double")
-    def label(texts: pa.Array) -> pa.Array:
-        return predict(sent.value, texts)
+    def label(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return released(predict(sent.value, texts) for texts in batches)
 
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     out = df.withColumn("_found", label(F.col(text_col)))

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import shingles
+from skein.llm.memory import released
 from skein.operators.components import connected
 from skein.scratch import written
 
@@ -128,7 +129,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
     """
     need = members.select("v").distinct().join(nodes.select(F.col("first").alias("v"), "set_key", "bands"), "v")
     wanted = _marked(docs.select("doc_id", "text"), "doc_id", need).filter("_hit").select("doc_id", "text")
-    sets = wanted.mapInArrow(shingles.set_batches, "doc_id long, set_key binary, shingles array<long>, sketch binary")
+    sets = wanted.mapInArrow(lambda b: released(shingles.set_batches(b)), "doc_id long, set_key binary, shingles array<long>, sketch binary")
     found = sets.join(need.withColumnRenamed("v", "doc_id"), ["doc_id", "set_key"])
     return found.select(F.col("doc_id").alias("v"), "shingles", "sketch", "bands", F.size("shingles").cast("long").alias("n"))
 
@@ -147,13 +148,13 @@ def _search_across(members: DataFrame, labels: DataFrame, sets: DataFrame) -> Da
     )
     rows = rows.withColumn("own", own).withColumn("m", F.explode(meets)).select("band", "m.*", "v", "c", "n", "sketch", "bands")
     dealt = rows.repartition("band", "block_a", "block_b").sortWithinPartitions("band", "block_a", "block_b")
-    return dealt.mapInArrow(_across, "a long, b long")
+    return dealt.mapInArrow(lambda b: released(_across(b)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = written(narrow.mapInArrow(shingles.sketch_batches, "doc_id long, n_shingles long, set_key binary, bands array<long>"), "signed")
+    signed = written(narrow.mapInArrow(lambda b: released(shingles.sketch_batches(b)), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "signed")
     known = signed.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
     nodes = written(known.groupBy("set_key").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "nodes")
     in_bands = nodes.select(F.explode("bands").alias("band"), F.col("first").alias("v"))

@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.memory import release
 from skein.llm.words import blocks, text_buffers
 
-#: Words of at most this many bytes are remembered, and so many of them in a worker.
-CACHED_WORD_BYTES, CACHED_WORDS = 48, 400_000
+#: Words of at most this many bytes are remembered, and so many of them in a task.
+CACHED_WORD_BYTES, CACHED_WORDS = 48, 300_000
 #: ASCII marks that end a word in running text; after a letter they always make a token of their own.
 MARKS = b".,!?;:%&*$#"
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long"
@@ -81,6 +82,10 @@ class WordEncoder:
             elif stem not in odd:
                 known[word] = of_stem[stem] + known[word[len(stem) :]]
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.stems.clear()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         # These vocabularies fold case themselves; only their special tokens, spelled <|...|>, depend on it.
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
@@ -112,6 +117,14 @@ def cuts(n: int, window: int) -> list[tuple[int, int]]:
 def _pieces(batches: Iterator[pa.RecordBatch], spec, end: bytes, window: int) -> Iterator[pa.RecordBatch]:
     text = spec.value
     encoder = _encoders.get(hash(text)) or _encoders.setdefault(hash(text), WordEncoder(text))
+    try:
+        yield from _packed(batches, encoder, end, window)
+    finally:
+        encoder.forget()
+        release()
+
+
+def _packed(batches: Iterator[pa.RecordBatch], encoder: WordEncoder, end: bytes, window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         offs, raw = text_buffers(batch.column(1))
         for at, to in blocks(offs, 1 << 20):
