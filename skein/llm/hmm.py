@@ -29,8 +29,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.scratch import written
+from skein.llm.sampling import hash_sample
 from skein.llm.words import Words, blocks, text_buffers
+from skein.scratch import written
 
 PIECE = 1024
 #: Tokens a partition counts before it sends them on; tokens of a block in training and in scoring.
@@ -141,7 +142,15 @@ def count_words(docs: DataFrame, size: Size) -> DataFrame:
 
 
 def lexicon(counts: DataFrame, ends: int, size: Size) -> Lexicon:
-    hot = counts.filter(F.col("n") >= size.least_hot).orderBy(F.desc("n"), "key").limit(size.hot).collect()
+    # The least count that may be hot, from a histogram in steps of a 64th of a doubling: no partition then sends more
+    # than its part of the hot words.
+    step = F.floor(F.log2("n") * 64).alias("step")
+    above, least = 0, 0
+    for r in counts.filter(F.col("n") >= size.least_hot).groupBy(step).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect():
+        above, least = above + r["words"], r["least"]
+        if above >= size.hot:
+            break
+    hot = counts.filter(F.col("n") >= max(least, size.least_hot)).orderBy(F.desc("n"), "key").limit(size.hot).collect()
     by_class = counts.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()
     tokens, types = np.zeros(size.classes, np.int64), np.zeros(size.classes, np.int64)
     for r in by_class:
@@ -392,9 +401,9 @@ def score_documents(docs: DataFrame, size: Size = Size()) -> DataFrame:
     rows = narrow.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     coded = rows.mapInArrow(partial(_coded, sent=sent, size=size), CODED).withColumn("uid", F.monotonically_increasing_id())
     coded = written(coded, "coded")
-    sampled = coded.filter(~F.col("held_out") & (F.col("n_tokens") <= size.sample_tokens)).withColumn("h", F.xxhash64("doc_id", "uid"))
-    last = sampled.select("h").orderBy("h").limit(size.sample).agg(F.max("h")).first()[0]
-    taken = sampled.filter(F.col("h") <= F.lit(last)).select("h", "symbols").limit(size.sample).collect() if last is not None else []
+    sampled = coded.filter(~F.col("held_out") & (F.col("n_tokens") <= size.sample_tokens))
+    key = F.xxhash64("doc_id", "uid")
+    taken = hash_sample(sampled.select("doc_id", "uid", "symbols"), key, size.sample).select(key.alias("h"), "symbols").collect()
     taken.sort(key=lambda r: r["h"])
     chain = first_chain([np.frombuffer(r["symbols"], np.uint16) for r in taken], frequency, size)
     for _ in range(size.passes):

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.memory import released
+from skein.llm.sampling import hash_sample
 from skein.llm.words import Words, blocks, text_buffers
 
 HIDDEN, SEGMENT = 16, 48
@@ -214,12 +215,8 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, bounds: TrainingBounds = TrainingBounds()) -> Model | None:
     """A model from labelled rows that are not held out; only the bounded sample's words reach the driver."""
     known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.select("text", "lang", F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))).alias("_h"))
-    # The hashes alone are ranked; texts are then read where theirs is small enough.
-    last = known.select("_h").orderBy("_h").limit(bounds.rows).agg(F.max("_h")).first()[0]
-    if last is None:
-        return None
-    rows = known.filter(F.col("_h") <= last).limit(bounds.rows)
+    known = known.select("doc_id", "text", "lang")
+    rows = hash_sample(known, F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), bounds.rows)
     # Words of at most SEGMENT bytes: the network sees longer ones in segments.
     words = rows.select("lang", F.explode(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+")).alias("word"))
     words = words.filter((F.octet_length("word") > 0) & (F.octet_length("word") <= SEGMENT))

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.scratch import written
+from skein.llm.sampling import hash_sample
 from skein.llm.url_filter import LOWER, UPPER
 
 DOMAINS = ("good", "low", "toxic")
@@ -66,8 +67,7 @@ def domain_of(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> Classifier:
-    named = domain_of(labels).withColumn("_h", F.xxhash64("doc_id", "domain"))
-    sample = named.orderBy("_h").limit(how.rows)  # at most how.rows narrow rows
+    sample = hash_sample(domain_of(labels), F.xxhash64("doc_id", "domain"), how.rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
     words = texts.select("domain", F.explode(_buckets(F.col("text"), how.buckets)).alias("bucket"))
     counts = np.zeros((len(DOMAINS), how.buckets))
