@@ -130,3 +130,13 @@ def test_commit_patterns(observations):
         rows.append(ob(i, f"dev{i % 3}", None, 600 * i, event_type="PushEvent", thread_id=None, metadata={"commit_messages": [f"Update file {i}"], "author_email_domains": ["users.noreply.github.com"]}))
     names = {r["name"]: r["score"] for r in analyze(observations(rows), minutes=1440).signals.filter("family = 'commit'").collect()}
     assert names == {"machine_exact_commit_intervals": pytest.approx(0.90), "uniform_commit_message_template": pytest.approx(0.88), "shared_generated_author_domain": pytest.approx(0.77)}
+
+
+def test_ancestry_stops_at_sixteen_and_at_cycles(spark):
+    from skein.operators.detectors import ancestors
+
+    chain = [("c", str(i), str(i - 1) if i else None) for i in range(20)]
+    loop = [("d", "a", "b"), ("d", "b", "a"), ("d", "x", "gone"), ("d", "y", "a")]
+    got = {(r["cluster_id"], r["event_key"]): r["ancestors"] for r in ancestors(spark.createDataFrame(chain + loop, "cluster_id string, event_key string, parent_key string")).collect()}
+    assert got["c", "19"] == [str(i) for i in range(18, 2, -1)] and got["c", "3"] == ["2", "1", "0"] and ("c", "0") not in got
+    assert got["d", "a"] == ["b", "a"] and got["d", "y"] == ["a", "b"] and ("d", "x") not in got
