@@ -13,7 +13,7 @@ from skein.llm import lang_id, mixing, near_dup, packing
 from skein.scratch import small_batches, table, written
 
 #: A document stays if some language has at least this mean probability (and it has a letter at all).
-LEAST_LANGUAGE_SCORE = 0.3
+LEAST_LANGUAGE_SCORE = 0.25
 TOKENIZER = "word_bpe_49k.json"
 
 
