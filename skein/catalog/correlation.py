@@ -70,6 +70,21 @@ _USES = """uses AS (SELECT DISTINCT event_key, actor_key, platform, resource_key
   scope AS (SELECT kind, value FROM uses GROUP BY kind, value HAVING count(DISTINCT bucket) BETWEEN 2 AND 10 AND count(DISTINCT actor_key) >= 2 AND (count(DISTINCT platform) >= 2 OR count(DISTINCT resource_key) >= 2)),
   held AS (SELECT DISTINCT kind, value, bucket FROM uses JOIN scope USING (kind, value)),
   edges AS (SELECT h.kind, h.value, m.a, h.bucket AS b FROM held h JOIN (SELECT kind, value, min(bucket) AS a FROM held GROUP BY 1, 2) m USING (kind, value) WHERE h.bucket <> m.a)"""
+_LINKED = """both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), reach AS (SELECT a AS v, a AS u FROM both_ways UNION SELECT r.v, e.b FROM reach r JOIN both_ways e ON e.a = r.u),
+  comp AS (SELECT v, list_sort(list(DISTINCT u)) AS keys FROM reach GROUP BY v), linked AS (SELECT v AS bucket, 'linked:' || substring(sha256(array_to_string(keys, chr(10))), 1, 20) AS cluster_key FROM comp)"""
+_LONG = """la AS (SELECT actor_key FROM obs GROUP BY actor_key HAVING max(us) - min(us) >= 129600000000 AND count(*) >= 10 AND count(DISTINCT resource_key) >= 2),
+  lr AS (SELECT resource_key FROM obs GROUP BY resource_key HAVING max(us) - min(us) >= 129600000000 AND count(*) >= 16 AND count(DISTINCT actor_key) >= 2),
+  lc AS (SELECT *, regexp_extract(text, 'session-[A-Za-z0-9]+', 0) AS cred FROM obs WHERE text LIKE 'session-%'),
+  lk AS (SELECT cred FROM lc GROUP BY cred HAVING count(*) >= 4 AND count(DISTINCT actor_key) >= 2 AND count(DISTINCT resource_key) >= 2),
+  lq AS (SELECT event_key FROM (SELECT event_key, ch, count(*) AS k FROM (SELECT event_key, unnest(string_split(regexp_extract(text, '[a-z0-9]{64}'), '')) AS ch FROM lc) GROUP BY 1, 2) GROUP BY 1 HAVING count(*) >= 14 AND -sum(k / 64 * log2(k / 64)) / 5.2 >= 0.72),
+  ln AS (SELECT *, CASE WHEN us - lag(us) OVER (ORDER BY us, ingest_ord) > 7200000000 THEN 1 ELSE 0 END AS new FROM lc WHERE event_key IN (SELECT event_key FROM lq)),
+  ls AS (SELECT *, sum(new) OVER (ORDER BY us, ingest_ord ROWS UNBOUNDED PRECEDING) AS session FROM ln),
+  lo AS (SELECT session, 'trajectory:opaque:' || substring(sha256('session-abcdef<number> <opaque>'), 1, 10) || ':' || session || ':' || substring(sha256(string_agg(event_key, chr(10) ORDER BY event_key)), 1, 12) AS cluster_id
+    FROM ls GROUP BY session HAVING count(*) >= 6 AND count(DISTINCT actor_key) >= 2),
+  long AS (SELECT 1 AS kind_ord, 'trajectory:actor:' || substring(sha256(actor_key), 1, 16) AS cluster_id, event_key FROM obs JOIN la USING (actor_key)
+    UNION ALL SELECT 2, 'trajectory:resource:' || substring(sha256(resource_key), 1, 16), event_key FROM obs JOIN lr USING (resource_key)
+    UNION ALL SELECT 3, 'trajectory:credential:' || substring(sha256(cred), 1, 16), event_key FROM lc JOIN lk USING (cred)
+    UNION ALL SELECT 4, lo.cluster_id, event_key FROM ls JOIN lo USING (session))"""
 ORACLES = {
     "anchored_windows": f"""WITH RECURSIVE r AS ({_EVENTS}),
       a AS (SELECT bucket, min(us) AS us, 0 AS n FROM r GROUP BY bucket
@@ -78,21 +93,14 @@ ORACLES = {
     "gap_sessions": f"{_SESSIONS} SELECT bucket, session, count(*) AS n, count(DISTINCT user_id) AS users, min(us) AS first_us, max(us) AS last_us FROM s GROUP BY 1, 2",
     "session_windows": f"{_SESSIONS} SELECT bucket, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM s GROUP BY bucket, session",
     "link_edges": with_obs(f"WITH {_USES} SELECT kind, value, a, b FROM edges"),
-    "linked_buckets": with_obs(f"""WITH {_USES}, both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
-      reach AS (SELECT DISTINCT a AS v, a AS u FROM both_ways), reach2 AS (SELECT v, u FROM reach UNION SELECT r.v, e.b FROM reach r JOIN both_ways e ON e.a = r.u),
-      reach3 AS (SELECT v, u FROM reach2 UNION SELECT r.v, e.b FROM reach2 r JOIN both_ways e ON e.a = r.u), reach4 AS (SELECT v, u FROM reach3 UNION SELECT r.v, e.b FROM reach3 r JOIN both_ways e ON e.a = r.u),
-      reach5 AS (SELECT v, u FROM reach4 UNION SELECT r.v, e.b FROM reach4 r JOIN both_ways e ON e.a = r.u), comp AS (SELECT v, list_sort(list(DISTINCT u)) AS keys FROM reach5 GROUP BY v)
-      SELECT v AS bucket, 'linked:' || substring(sha256(array_to_string(keys, chr(10))), 1, 20) AS cluster_key FROM comp"""),
-    "longitudinal": with_obs("""WITH a AS (SELECT actor_key FROM obs GROUP BY actor_key HAVING max(us) - min(us) >= 129600000000 AND count(*) >= 10 AND count(DISTINCT resource_key) >= 2),
-      r AS (SELECT resource_key FROM obs GROUP BY resource_key HAVING max(us) - min(us) >= 129600000000 AND count(*) >= 16 AND count(DISTINCT actor_key) >= 2),
-      c AS (SELECT *, regexp_extract(text, 'session-[A-Za-z0-9]+', 0) AS cred FROM obs WHERE text LIKE 'session-%'),
-      k AS (SELECT cred FROM c GROUP BY cred HAVING count(*) >= 4 AND count(DISTINCT actor_key) >= 2 AND count(DISTINCT resource_key) >= 2)
-      SELECT 1 AS kind_ord, 'trajectory:actor:' || substring(sha256(actor_key), 1, 16) AS cluster_id, count(*) AS n FROM obs JOIN a USING (actor_key) GROUP BY actor_key
-      UNION ALL SELECT 2, 'trajectory:resource:' || substring(sha256(resource_key), 1, 16), count(*) FROM obs JOIN r USING (resource_key) GROUP BY resource_key
-      UNION ALL SELECT 3, 'trajectory:credential:' || substring(sha256(cred), 1, 16), count(*) FROM c JOIN k USING (cred) GROUP BY cred
-      UNION ALL SELECT 4, 'trajectory:opaque:' || substring(sha256('session-abcdef<number> <opaque>'), 1, 10) || ':' || session || ':' || substring(sha256(string_agg(event_key, chr(10) ORDER BY event_key)), 1, 12), count(*) FROM (
-        SELECT *, sum(new) OVER (ORDER BY us, ingest_ord ROWS UNBOUNDED PRECEDING) AS session FROM (
-          SELECT *, CASE WHEN us - lag(us) OVER (ORDER BY us, ingest_ord) > 7200000000 THEN 1 ELSE 0 END AS new FROM c WHERE event_key IN (
-            SELECT event_key FROM (SELECT event_key, ch, count(*) AS k FROM (SELECT event_key, unnest(string_split(regexp_extract(text, '[a-z0-9]{64}'), '')) AS ch FROM c) GROUP BY 1, 2) GROUP BY 1 HAVING count(*) >= 14 AND -sum(k / 64 * log2(k / 64)) / 5.2 >= 0.72)))
-        GROUP BY session HAVING count(*) >= 6 AND count(DISTINCT actor_key) >= 2"""),
+    "linked_buckets": with_obs(f"WITH {_USES}, {_LINKED} SELECT bucket, cluster_key FROM linked"),
+    "longitudinal": with_obs(f"WITH {_LONG} SELECT kind_ord, cluster_id, count(*) AS n FROM long GROUP BY 1, 2"),
+    "thread_clusters": with_obs(f"""WITH {_USES}, {_LINKED}, {_LONG},
+      keyed AS (SELECT event_key, us, coalesce(cluster_key, b.bucket) AS key FROM (SELECT event_key, us, coalesce(conversation_key, resource_key, event_key) AS bucket FROM obs) b LEFT JOIN linked USING (bucket)),
+      opened AS (SELECT key, min(us) AS us, 0 AS n FROM keyed GROUP BY key
+        UNION ALL SELECT x.key, x.us, x.n FROM (SELECT a.key, min(r.us) AS us, a.n + 1 AS n FROM opened a JOIN keyed r ON r.key = a.key AND r.us > a.us + 3600000000 GROUP BY a.key, a.n) x),
+      windows AS (SELECT k.event_key, k.key || ':' || max(o.n) AS cluster_id FROM keyed k JOIN opened o ON o.key = k.key AND o.us <= k.us GROUP BY k.event_key, k.key),
+      every AS (SELECT 0 AS kind_ord, cluster_id, event_key FROM windows UNION ALL SELECT kind_ord, cluster_id, event_key FROM long),
+      sets AS (SELECT kind_ord, cluster_id, count(*) AS n, string_agg(event_key, ',' ORDER BY event_key) AS keys FROM every GROUP BY 1, 2)
+      SELECT cluster_id, n FROM sets QUALIFY kind_ord = 0 OR row_number() OVER (PARTITION BY keys ORDER BY kind_ord, cluster_id) = 1"""),
 }
