@@ -115,10 +115,11 @@ def _bit_table(ids: DataFrame) -> DataFrame:
 
 
 def _marked(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """``docs`` with ``_hit``: false only where the id is surely not among ``ids``. By broadcast of the bit table."""
+    """``docs`` with ``_hit``: false only where the id is null or surely not among ``ids``. By broadcast of the bit table."""
     place = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(FILTER_BITS))
     placed = docs.withColumns({"_word": F.shiftright(place, 6).cast("int"), "_bit": (place % 64).cast("int")})
-    hit = F.coalesce(F.expr("shiftrightunsigned(_bits, _bit) & 1 = 1"), F.lit(False))
+    # A null id has a hash too, whose bit others may have set.
+    hit = F.col(id_col).cast("long").isNotNull() & F.coalesce(F.expr("shiftrightunsigned(_bits, _bit) & 1 = 1"), F.lit(False))
     return placed.join(F.broadcast(_bit_table(ids)), "_word", "left").withColumn("_hit", hit).select(*docs.columns, "_hit")
 
 

@@ -92,6 +92,15 @@ def test_stage_keeps_one_row_of_each_group_and_all_columns(spark):
     assert sorted((r["doc_id"] or -1, r["_word"], r["kept"]) for r in out) == [(-1, "n", 4), (1, "x", 1), (3, "x", 3), (4, "x", 5)]
 
 
+@pytest.mark.parametrize("bits", [near_dup.FILTER_BITS, 64])
+def test_stage_keeps_rows_without_id_when_the_filter_is_full(spark, monkeypatch, bits):
+    monkeypatch.setattr(near_dup, "FILTER_BITS", bits)
+    rows = [(i, f"a b c d e f {i % 20}") for i in range(800)] + [(None, "a b c d e f 1"), (None, "other words"), (None, None)]
+    out = [r["doc_id"] for r in near_dup.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()]
+    kept = [r["doc_id"] for r in near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).filter("kept").collect()]
+    assert out.count(None) == 3 and sorted(i for i in out if i is not None) == sorted(i for i in kept if i is not None)
+
+
 def test_sketches_never_rule_out_a_link():
     rng = np.random.default_rng(1)
     for n in (4, 40, 400, 4000):
