@@ -45,11 +45,11 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals made from events: up to four families a cluster of twelve events."""
+    """Signals made from events: one an event, up to seven families a cluster of twelve events."""
     o = observations(spark, sf_dir)
     family = F.element_at(F.lit(["artifact", "semantic", "temporal", "protocol", "behavior", "benign", "identity"]), (F.col("ingest_ord") % 7 + 1).cast("int"))
     no = F.lit(False)
-    return o.filter("ingest_ord % 3 = 0").select(
+    return o.select(
         F.concat(F.lit("s"), F.floor(F.col("ingest_ord") / 12)).alias("cluster_id"),
         family.alias("family"),
         F.concat(F.lit("signal_"), family).alias("name"),

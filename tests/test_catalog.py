@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from skein.catalog import operations
+from skein.catalog import detection, operations
 
 
 @pytest.fixture(scope="module")
@@ -20,3 +20,15 @@ def tables(spark, tmp_path_factory):
 def test_every_document_is_an_alert(spark, tables):
     got = {r["id"]: r["quality"] for r in operations.alert_reviews(spark, tables).collect()}
     assert got == {i: None if i % 3 else i % 2 for i in range(50)}
+
+
+def test_odd_events_of_every_user_are_new(spark, tables):
+    events = [(i * 7 % 20, i) for i in range(400)]
+    want = {f"u{u}": max(((i % 2, i) for v, i in events if v == u))[1] for u in range(20)}
+    assert {r["key"]: r["event_id"] for r in operations.upsert_latest(spark, tables).collect()} == want
+
+
+def test_every_observation_gives_a_signal(spark, tables):
+    signals = detection._signals(spark, tables)
+    assert sorted(r["signal_ord"] for r in signals.collect()) == list(range(400))
+    assert detection.score(spark, tables).count() == 34
