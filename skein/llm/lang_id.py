@@ -217,11 +217,12 @@ def fit(docs: DataFrame, bounds: TrainingBounds = TrainingBounds()) -> Model | N
     known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.select("doc_id", "text", "lang")
     rows = hash_sample(known, F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), bounds.rows)
-    # Words of at most SEGMENT bytes: the network sees longer ones in segments.
     words = rows.select("lang", F.explode(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+")).alias("word"))
-    words = words.filter((F.octet_length("word") > 0) & (F.octet_length("word") <= SEGMENT))
+    # Words in the segments that prediction runs: of SEGMENT bytes, the last of what is left.
+    places = F.sequence(F.lit(1), F.octet_length("word"), F.lit(SEGMENT))
+    words = words.filter(F.octet_length("word") > 0).select("lang", F.explode(F.transform(places, lambda p: F.substring(F.col("word").cast("binary"), p, F.lit(SEGMENT)))).alias("word"))
     counts = words.groupBy("lang", "word").count().orderBy(F.xxhash64("word", "lang")).limit(bounds.pairs)
-    pairs = [(r["lang"], r["word"].encode(), float(r["count"]) ** 0.5) for r in counts.collect()]
+    pairs = [(r["lang"], bytes(r["word"]), float(r["count"]) ** 0.5) for r in counts.collect()]
     return train(sorted(pairs), bounds) if pairs else None
 
 

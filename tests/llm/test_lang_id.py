@@ -97,6 +97,18 @@ def test_labels_of_held_out_rows_are_not_used(spark):
     assert a.languages == b.languages == tuple(PARTS) and np.array_equal(a.out, b.out)
 
 
+def test_languages_without_spaces_are_learned(spark):
+    """Text of nothing but long words, some of them in bytes that segments cut within a letter."""
+    rng = random.Random(3)
+    letters = {"ja": "のはをがにでとたしいるます", "zh": "的一是不了人我在有他这中大"}
+    data = [(i, "".join(rng.choice(letters[g]) for _ in range(60)), g, "s") for i in range(120) for g in [list(letters)[i % 2]]] + [(500 + r[0], *r[1:]) for r in rows(60)]
+    found = lang_id.fit(spark.createDataFrame(data, DOCS), FAST)
+    assert set(found.languages) == set(letters) | set(PARTS)
+    out = lang_id.identify(spark.createDataFrame(data, DOCS), found).collect()
+    held = [r for r in out if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 and r["lang"] in letters]
+    assert len(held) > 10 and np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.97
+
+
 def test_odd_rows(spark, model):
     data = [(1, None, "xx", "s"), (2, "", "xx", "s"), (3, "123 ... !", "xx", "s"), (4, "tako riko", None, None), (None, "tako", "xx", "s"), (5, "tako " * 40_000, "xx", "s"), (5, "tako " * 40_000, "xx", "s"), (6, "日本", "xx", "s"), (7, "x" * 100_000, "xx", "s")]
     out = [(r["doc_id"], r["lang_pred"], r["score"]) for r in lang_id.identify(spark.createDataFrame(data, DOCS), model).collect()]
