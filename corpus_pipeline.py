@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from skein.llm import lang_id, mixing, near_dup, packing
 from skein.scratch import small_batches, table, written
 
-#: A document stays if some language has at least this mean probability (and it has a letter at all).
+#: A document stays if some language has at least this mean probability (and it has a letter at all). With up to four
+#: learned languages some language always has a quarter, so only texts without a letter go.
 LEAST_LANGUAGE_SCORE = 0.25
 TOKENIZER = "word_bpe_49k.json"
 
