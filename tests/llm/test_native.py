@@ -55,6 +55,30 @@ def test_license_scan_equals_brute_force(spark):
     assert {r["doc_id"]: r["license"] for r in rows}[6] == "mit"
 
 
+def test_licences_inside_longer_texts(spark):
+    prose = "".join(f"some words of a long story about part {k} of chapter{k} and the rights{k} of the people{k} to use{k}\n" for k in range(40))
+    mit, isc, gpl, apache = (TEMPLATES[x] for x in ("mit", "isc", "gpl-3.0-header", "apache-2.0-header"))
+    hashed = "".join(f"# {x}\n" for x in gpl.split("\n"))
+    texts = {
+        1: (prose + mit + "\n" + prose, [(40, "mit")]),
+        2: (hashed + prose, [(0, "gpl-3.0-header")]),
+        3: (prose + isc.replace("AUTHOR", "COPYRIGHT HOLDER") + "\n\n" + prose + mit + "\n" + prose + mit, [(40, "isc"), (40 + 6 + 1 + 40, "mit"), (87 + mit.count("\n") + 1 + 40, "mit")]),
+        4: (prose.replace("\n", " ") + "Released under the MIT License. " + prose.replace("\n", " "), [(0, "mit-notice")]),
+        5: (prose + "intro words " + apache + "\n" + prose, [(40, "apache-2.0-header")]),
+        6: (prose + mit[: len(mit) // 2] + prose, []),
+        7: (prose * 5, []),
+        8: (prose + "x y z Licensed under\nCC BY-SA 4.0. " + prose, [(40, "cc-by-sa-4.0-notice")]),
+        9: (prose + "Released under the MIT License.\n" + prose, []),
+    }
+    out = license_scan.scan(spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string"))
+    no_python(out)
+    got = {r["doc_id"]: r["license_matches"] for r in out.collect()}
+    for i, (text, want) in texts.items():
+        by_unit = [(line, name) for _, line, name in dice_brute(text)]
+        assert sorted((m["line"], m["license"]) for m in got[i]) == sorted(want + by_unit), (i, got[i])
+    assert got[1][0]["dice"] == got[2][0]["dice"] == got[4][0]["dice"] == 1.0
+
+
 # Mixing
 
 
