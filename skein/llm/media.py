@@ -13,6 +13,7 @@ so ties, repeated rows and an empty table need no rule. Other columns are passed
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -178,7 +179,18 @@ def _pdf(b: bytes, at: int) -> tuple[str, int] | None:
     end = b.find(b"%%EOF", at)
     if end < 0 or b.find(b"startxref", at, end) < 0:
         return None
-    return "pdf", end + 5 - at
+    # Later ends before the next file's header: of updates, whose table follows the end before, or of a linearised file,
+    # whose first end names table 0 and whose last names the table before it.
+    first = re.search(rb"startxref\s+(\d+)\s*$", b[max(at, end - 64) : end])
+    linearised, stop = bool(first) and int(first[1]) == 0, b.find(b"%PDF-", end)
+    end, later = end + 5, end + 5
+    while (later := b.find(b"%%EOF", later, stop if stop >= 0 else len(b))) >= 0:
+        said = re.search(rb"startxref\s+(\d{1,18})\s*$", b[max(end, later - 64) : later])
+        table = at + int(said[1]) if said else len(b)
+        if (table >= end or linearised) and at < table < later and re.compile(rb"xref|\d+\s+\d+\s+obj").match(b, table):
+            end, linearised = later + 5, False
+        later += 5
+    return "pdf", end - at
 
 
 def _ogg(b: bytes, at: int) -> tuple[str, int] | None:
@@ -200,6 +212,10 @@ def _mp4(b: bytes, at: int) -> tuple[str, int] | None:
     p, seen = at, set()
     while at >= 0 and p + 8 <= len(b):
         n, kind = struct.unpack_from(">I4s", b, p)
+        if n == 1 and p + 16 <= len(b):
+            n = m if (m := struct.unpack_from(">Q", b, p + 8)[0]) >= 16 else 0
+        elif n == 0:
+            n = len(b) - p
         if n < 8 or p + n > len(b) or not kind.isalnum():
             break
         seen.add(kind)

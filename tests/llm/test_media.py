@@ -94,3 +94,23 @@ def test_stored_text_reads_back(spark):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-64:]), len(blob), hashlib.sha256(blob).hexdigest())
     assert media.text_features(docs.filter("false")).count() == 0
+
+
+def test_pdf_ends_at_its_last_end():
+    body = b"%PDF-1.4\nxref\n0 1\ntrailer <<>>\nstartxref\n"
+    plain = body + b"9\n%%EOF"
+    update = b"\nmore\nxref\n0 1\ntrailer <<>>\nstartxref\n"
+    updated = plain + update + str(len(plain) + 6).encode() + b"\n%%EOF"
+    linear = body + b"0\n%%EOF\n1 0 obj <<>> endobj\nstartxref\n9\n%%EOF"
+    for blob in (plain, updated, linear):
+        found = media.find_media(b"junk" + blob + b"\nnot of it startxref\n3\n%%EOF" + blob)
+        assert [x for x in found if x[0] == "pdf"] == [("pdf", 4, len(blob)), ("pdf", 4 + len(blob) + 28, len(blob))]
+
+
+def test_mp4_boxes_of_64_bits_and_to_the_end():
+    box = lambda kind, data: struct.pack(">I4s", 8 + len(data), kind) + data
+    long_box = struct.pack(">I4sQ", 1, b"mdat", 16 + 50) + bytes(50)
+    first = box(b"ftyp", b"isom0000") + long_box + box(b"moov", b"1234")
+    assert ("mp4", 3, len(first)) in media.find_media(b"abc" + first + b"some bytes after")
+    last = box(b"ftyp", b"isom0000") + box(b"moov", b"1234") + struct.pack(">I4s", 0, b"mdat") + bytes(70)
+    assert ("mp4", 3, len(last)) in media.find_media(b"abc" + last)
