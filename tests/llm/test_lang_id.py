@@ -8,12 +8,12 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from skein.llm import lang_id
-from skein.llm.words import Words, text_buffers
 
 DOCS = "doc_id long, text string, lang string, source string"
-FAST = lang_id.TrainingBounds(rows=400, pairs=5000, steps=250, batch=64)
+FAST = lang_id.TrainingBounds(rows=400, spans=5000, span=32, steps=150, batch=64)
 PARTS = {"xx": ["ta", "ko", "ri", "mu"], "yy": ["sch", "ein", "ung", "heit"], "zz": ["é", "eau", "oux", "ça"]}
 
 
@@ -32,58 +32,101 @@ def rows(n=300, seed=0):
 
 @pytest.fixture(scope="module")
 def model():
-    rng = random.Random(1)
-    return lang_id.train([(lang, word(rng, lang).encode(), 1.0) for lang in PARTS for _ in range(300)], FAST)
+    return lang_id.train([(lang, text.encode().lower()[a : a + 32]) for _, text, lang, _ in rows() for a in range(0, len(text), 32)], FAST)
+
+
+def sequential(d, out, text, state=None):
+    """One direction byte by byte with the state carried: (classes, bytes)."""
+    state = np.zeros((d.h.shape[1], 1), np.float32) if state is None else state
+    cols = []
+    for b in text:
+        state = lang_id._step(d, np.array([b]), state)[0]
+        cols.append(out @ state)
+    return np.concatenate(cols, axis=1), state
+
+
+def plain(m, text):
+    """The mean distribution of a text, by the definition."""
+    text = text.encode().lower()
+    score = sequential(m.forward, m.out[0], text)[0] + sequential(m.backward, m.out[1], text[::-1])[0][:, ::-1] + m.bias
+    p = np.exp(score - score.max(axis=0))
+    return (p / p.sum(axis=0)).mean(axis=1)
 
 
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     size = 3
-    d = lang_id.Direction(rng.normal(0, 0.5, (256, 3 * size)).astype(np.float64), rng.normal(0, 0.5, (size, 3 * size)), rng.normal(0, 0.5, size))
-    byte = rng.integers(97, 100, (4, 5)).astype(np.uint8)
-    weight = rng.normal(0, 1, (4, 5, size)).astype(np.float32)
-
-    def loss(d):
-        return float((lang_id._steps(d, byte)[0].astype(np.float64) * weight).sum())
-
-    states, saved = lang_id._steps(d, byte, True)
+    d = lang_id.Direction(rng.normal(0, 0.5, (3 * size, 256)), rng.normal(0, 0.5, (3 * size, size)), rng.normal(0, 0.5, (size, 1)))
+    byte = rng.integers(97, 100, (4, 5))
+    weight = rng.normal(0, 1, (4, size, 5))
+
+    def run(d):
+        state, saved, states = np.zeros((size, 5)), [], []
+        for now in byte:
+            before = state
+            state, *rest = lang_id._step(d, now, state)
+            saved.append((before, *rest))
+            states.append(state)
+        return np.array(states), saved
+
+    states, saved = run(d)
     grads = lang_id._unroll(d, byte, saved, weight)
     for name, grad in zip("xhb", grads, strict=True):
         value = getattr(d, name)
-        at = (97, 4) if name == "x" else (1, 5) if name == "h" else (2,)
-        h = 1e-2
-        moved = []
-        for sign in (1, -1):
-            shifted = value.copy()
-            shifted[at] += sign * h
-            moved.append(loss(lang_id.Direction(**{k: shifted if k == name else getattr(d, k) for k in "xhb"})))
-        assert grad[at] == pytest.approx((moved[0] - moved[1]) / (2 * h), rel=2e-2, abs=2e-3)
-
-
-def test_pooling_is_the_mean_over_all_positions(model):
-    text = "Tako SCHein " + "ri" * 60 + " tako\n\té"
-    offs, raw = text_buffers(pa.array([text, "", "tako"]))
-    pooled = lang_id._pooled(model, Words(offs, raw, 0, 3))
-    total, n = np.zeros(3), 0
-    for w in text.lower().encode().split():
-        for a in range(0, len(w), lang_id.SEGMENT):
-            byte = np.frombuffer(w[a : a + lang_id.SEGMENT] + b" ", np.uint8)[:, None]
-            p = lang_id._probabilities(model, byte)
-            total, n = total + p.sum(axis=(0, 1)), n + len(byte)
-    assert np.allclose(pooled[0], total / n, atol=1e-5) and pooled[1].tolist() == [0, 0, 0]
-    assert pooled[2].sum() == pytest.approx(1, abs=1e-5)
-
-
-def test_backward_direction_matters(model):
-    byte = np.frombuffer(b"eau ", np.uint8)[:, None]
-    blind = lang_id.Model(model.languages, model.forward, lang_id.Direction(*[np.zeros_like(x) for x in (model.backward.x, model.backward.h, model.backward.b)]), model.out, model.bias)
-    assert not np.allclose(lang_id._probabilities(model, byte)[0], lang_id._probabilities(blind, byte)[0], atol=1e-3)
+        for at in np.ndindex(value.shape):
+            if name == "x" and not 97 <= at[1] < 100:
+                continue
+            moved = []
+            for h in (1e-5, -1e-5):
+                shifted = value.copy()
+                shifted[at] += h
+                moved.append(float((run(lang_id.Direction(**{k: shifted if k == name else getattr(d, k) for k in "xhb"}))[0] * weight).sum()))
+            assert grad[at] == pytest.approx((moved[0] - moved[1]) / 2e-5, rel=1e-4, abs=1e-7)
+
+
+@pytest.mark.parametrize("window,long", [(64, 1 << 20), (1024, 1 << 20), (64, 500)])
+def test_windows_read_as_one_pass_does(model, monkeypatch, window, long):
+    """States are carried over whole texts: windows, pieces of long texts and blocks make no difference."""
+    monkeypatch.setattr(lang_id, "WINDOW", window)
+    monkeypatch.setattr(lang_id, "LONG", long)
+    monkeypatch.setattr(lang_id, "CLOSE", 1e-4)
+    rng = random.Random(5)
+    mixed = " ".join(word(rng, rng.choice(list(PARTS))) for _ in range(300)).title()
+    texts = [mixed, "", "a", "Tako SCHein " + "ri" * 700 + " tako\n\té", mixed[:31], mixed[:64], mixed[:65], "x y " * 300]
+    for some in (texts, texts[:1], texts[3:4]):
+        got = lang_id.predict(model, pa.array(some)).to_pylist()
+        for text, r in zip(some, got, strict=True):
+            if not text:
+                assert r["lang"] is None
+                continue
+            p = plain(model, text)
+            assert r["score"] == pytest.approx(p[:-1].max(), abs=2e-3) and r["share"] == pytest.approx(p[:-1].sum(), abs=2e-3)
+
+
+def test_what_is_read_reaches_across_words(model):
+    """The same word is labelled by the words around it."""
+    one, two = ("eau " * 8 + "tako " + "eau " * 8).encode(), ("schein " * 8 + "tako " + "schein " * 8).encode()
+
+    def at(text):
+        score = sequential(model.forward, model.out[0], text)[0] + sequential(model.backward, model.out[1], text[::-1])[0][:, ::-1] + model.bias
+        return score[:, text.index(b"tako")]
+
+    assert np.abs(at(one) - at(two)).max() > 0.5
+
+
+def test_text_in_no_language(model):
+    rng = np.random.default_rng(1)
+    letters = " ".join("".join(chr(c) for c in rng.integers(97, 123, 6)) for _ in range(80))
+    script = " ".join("".join(chr(c) for c in rng.integers(0x430, 0x450, 6)) for _ in range(80))
+    known = rows(9, seed=8)
+    got = lang_id.predict(model, pa.array([letters, script, *[r[1] for r in known]])).to_pylist()
+    assert all(r["share"] < 0.1 for r in got[:2]) and all(r["share"] > 0.5 for r in got[2:])
 
 
 def test_held_out_accuracy(spark, monkeypatch):
     monkeypatch.setattr(lang_id, "TrainingBounds", lambda: FAST)
     df = spark.createDataFrame(rows(), DOCS)
-    out = lang_id.identify(df, lang_id.fit(df, FAST)).withColumn("held_out", lang_id.held_out(df["doc_id"])).collect()
+    out = lang_id.identify(df, lang_id.fit(df, FAST)).withColumn("held_out", lang_id.held_out(F.col("doc_id"))).collect()
     held = [r for r in out if r["held_out"]]
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in out)
     assert len(held) > 40 and np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.97
@@ -121,7 +164,9 @@ def test_odd_rows(spark, model):
 
 def test_stage_rejects_what_has_no_language_and_keeps_columns(spark, monkeypatch, model):
     monkeypatch.setattr(lang_id, "fit", lambda docs: model)
-    data = [(1, "tako riko", "xx", 0.1), (2, "...", "xx", 0.2), (3, None, None, None)]
+    rng = random.Random(2)
+    junk = " ".join("".join(rng.choice("bcdfghjklpqvwxz") for _ in range(6)) for _ in range(60))
+    data = [(1, "tako riko", "xx", 0.1), (2, "...", "xx", 0.2), (3, None, None, None), (4, junk, "xx", 0.3), (5, "tako riko " * 9 + "schein heit " * 9, "yy", 0.4)]
     df = spark.createDataFrame(data, "doc_id long, text string, lang string, score double")
-    out = lang_id.keep_identified(df, 0.3)
-    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [data[0]]
+    out = lang_id.keep_identified(df, 0.1)
+    assert out.columns == df.columns and sorted(tuple(r) for r in out.collect()) == [data[0], data[4]]

@@ -38,7 +38,7 @@ def corpus(spark, tmp_path_factory):
 
 
 def test_stages(spark, corpus, monkeypatch, tmp_path):
-    fast = lang_id.TrainingBounds(rows=200, pairs=2000, steps=150, batch=64)
+    fast = lang_id.TrainingBounds(rows=200, spans=2000, span=32, steps=120, batch=64)
     plain = lang_id.fit
     monkeypatch.setattr(lang_id, "fit", lambda docs: plain(docs, fast))
     docs = table(spark, corpus, "documents")
@@ -63,7 +63,7 @@ def test_stages(spark, corpus, monkeypatch, tmp_path):
 
 
 def test_run_is_the_chain_of_stages(spark, corpus, monkeypatch):
-    fast = lang_id.TrainingBounds(rows=200, pairs=2000, steps=100, batch=64)
+    fast = lang_id.TrainingBounds(rows=200, spans=2000, span=32, steps=100, batch=64)
     plain = lang_id.fit
     monkeypatch.setattr(lang_id, "fit", lambda docs: plain(docs, fast))
     out = corpus_pipeline.run(spark, corpus)
