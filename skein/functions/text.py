@@ -1,10 +1,13 @@
-"""Text and URL functions as column expressions (no Python workers).
+"""Text and URL functions as column expressions (no Python workers, but for ``unescape``).
 
 Patterns run with ``(?U)``: word boundaries, digits and spaces are Unicode's, as in the event sources' own tools.
 """
 
 from __future__ import annotations
 
+import html
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -254,14 +257,28 @@ def redact(text: Column) -> Column:
     return text
 
 
-def snippet_text(html: Column) -> Column:
+def snippet_text(source: Column) -> Column:
     """Text of a search snippet: tags dropped, the common entities and numeric ones resolved."""
-    x = F.regexp_replace(html, "<[^>]+>", "")
+    x = F.regexp_replace(source, "<[^>]+>", "")
     for name, mark in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("#x27", "'"), ("apos", "'"), ("nbsp", " "), ("amp", "&")):
         x = F.replace(x, F.lit(f"&{name};"), F.lit(mark))
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def unescape(text: Column) -> Column:
+    """All character references of HTML resolved: in Arrow batches, since the standard names over two thousand."""
+
+    @F.arrow_udf("string")
+    def resolved(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else html.unescape(x) for x in texts.to_pylist()], pa.string())
+
+    return resolved(text)
+
+
 def hash_sample(key: Column, rate: float) -> Column:
     """The first 64 bits of the key's digest lie below the rate: fixed-width hex compares as numbers do."""
     rate = min(1.0, max(0.0, rate))

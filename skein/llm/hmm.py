@@ -6,11 +6,12 @@ first its class (its last bytes), by the state, then the word by its count withi
 never seen has a probability too. The second step does not depend on the state; it is added by a join on the count
 table, and the chain itself works on a bounded alphabet.
 
-Training is Baum-Welch. Its first parameters come from a bounded sample (``Size.sample``); every pass after that runs over
-all training documents, each partition sends its expected counts, and their sums, which do not grow with the data, make
-the next parameters. Passes handle a long document in pieces of PIECE tokens (a piece within a document has a start
-distribution of its own). Scoring is the scaled forward recursion over whole documents, never pieces: the exact
-likelihood.
+Training is Baum-Welch over all training documents, from the corpus's counts, each state's drawn a little apart at random.
+In a pass each task adds up the expected counts of its documents and sends those of the symbols it saw; their sums, which
+do not grow with the data, make the next parameters. Passes end when one gains less than ``Size.settled`` on the
+likelihood of a token. Documents are never cut: to run the pieces of a long one side by side, a piece starts from messages
+that have read WARM tokens beyond its ends, and it is run again from its neighbours' messages where these differ by more
+than CLOSE, until all agree. Scoring is the scaled forward recursion over whole documents, token by token.
 
 Cases: a null text counts as empty; an empty text is its end alone. A null id is not held out. With nothing to learn from
 (an empty table, or all rows held out) all counts are 0 and every symbol is equally likely. Words that tie for the last
@@ -29,15 +30,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.sampling import hash_sample
+from skein.llm.memory import released
 from skein.llm.words import Words, blocks, text_buffers
 from skein.scratch import written
 
-PIECE = 1024
+#: Tokens of a piece and of its warm-up on either side, and how far messages may be apart where pieces meet.
+PIECE, WARM, CLOSE = 512, 48, 1e-4
 #: Tokens a partition counts before it sends them on; tokens of a block in training and in scoring.
 COUNT_BLOCK, TRAIN_BLOCK, SCORE_BLOCK = 1 << 21, 1 << 19, 1 << 22
-#: Expected counts travel in this many parts, so that as many tasks add them up.
-PARTS = 32
+#: Expected counts travel in this many parts, so that as many tasks add them up. A pass has at most PASS_TASKS tasks (and
+#: three for every core), so that what they send does not grow with the number of partitions.
+PARTS, PASS_TASKS = 32, 4096
 
 
 @dataclass(frozen=True)
@@ -46,11 +49,8 @@ class Size:
     hot: int = 60_000
     classes: int = 2048
     least_hot: int = 4
-    passes: int = 3
-    #: Documents for the first parameters, by hash, and the most tokens that one of them may have.
-    sample: int = 600
-    sample_tokens: int = 4096
-    sample_passes: int = 15
+    #: Training ends when a pass raises the log10 likelihood of a token by less.
+    settled: float = 0.002
     prior: float = 500.0
 
     @property
@@ -86,7 +86,7 @@ class Lexicon:
 
 @dataclass(frozen=True)
 class Chain:
-    """Start of a document and of a later piece (2, K), transitions (K, K), emissions (symbols, K)."""
+    """Start of a document (K), transitions (K, K), emissions (symbols, K)."""
 
     start: np.ndarray
     move: np.ndarray
@@ -227,7 +227,7 @@ def log_likelihoods(chain: Chain, sequences: list[np.ndarray]) -> np.ndarray:
     ahead = None
     for t in range(len(ragged.active)):
         seen = chain.emit[ragged.symbols(t)]
-        ahead = chain.start[0] * seen if t == 0 else (ahead[: ragged.active[t]] @ chain.move) * seen
+        ahead = chain.start * seen if t == 0 else (ahead[: ragged.active[t]] @ chain.move) * seen
         scale = ahead.sum(axis=1)
         ahead /= scale[:, None]
         total[: ragged.active[t]] += np.log10(scale)
@@ -236,130 +236,221 @@ def log_likelihoods(chain: Chain, sequences: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected_counts(chain: Chain, sequences: list[np.ndarray], later: np.ndarray) -> list[np.ndarray]:
-    """Expected starts (2, K), moves (K, K) and emissions (symbols, K), and the log10 likelihood.
+@dataclass(frozen=True)
+class Expected:
+    """Expected starts (K) and moves (K, K), the symbols seen with their expected emissions (seen, K), log10 likelihood."""
 
-    later: which sequences begin within a document.
-    """
-    ragged = Ragged(sequences)
-    kind = later[ragged.order].astype(int)
-    states, steps = chain.move.shape[0], len(ragged.active)
-    aheads, scales, likelihood = [], [], 0.0
-    for t in range(steps):
-        seen = chain.emit[ragged.symbols(t)]
-        ahead = chain.start[kind] * seen if t == 0 else (aheads[-1][: ragged.active[t]] @ chain.move) * seen
-        scale = ahead.sum(axis=1)
-        aheads.append(ahead / scale[:, None])
-        scales.append(scale)
-        likelihood += float(np.log10(scale).sum())
+    starts: np.ndarray
+    moves: np.ndarray
+    symbols: np.ndarray
+    emissions: np.ndarray
+    likelihood: float
+
+
+def expected_counts(chain: Chain, sequences: list[np.ndarray]) -> Expected:
+    """The expectation step over whole sequences, whose pieces are run side by side."""
+    size = np.array([len(s) for s in sequences])
+    data = np.concatenate(sequences).astype(np.intp)
+    begin = np.cumsum(size) - size
+    start, move, emit = (x.astype(np.float32) for x in (chain.start, chain.move, chain.emit))
+    back_move, states = np.ascontiguousarray(move.T), len(start)
+    pieces = -(-size // PIECE)
+    of = np.repeat(np.arange(len(size)), pieces)
+    at = begin[of] + (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
+    to = np.minimum(at + PIECE, (begin + size)[of])
+    later, earlier = np.flatnonzero(at > begin[of]), np.flatnonzero(to < (begin + size)[of])
+
+    def forward(places: np.ndarray, lengths: np.ndarray, predicted: np.ndarray, keep: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+        """Filtered states at the last tokens of runs of tokens, from predicted states at their first."""
+        order = np.argsort(-lengths, kind="stable")
+        places, lengths, predicted = places[order], lengths[order], predicted[order]
+        active = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
+        last = np.empty_like(predicted)
+        for t, n in enumerate(active):
+            now = places[:n] + t
+            ahead = emit[data[now]]
+            ahead *= predicted[:n]
+            scale = ahead.sum(axis=1)
+            ahead /= scale[:, None]
+            if keep:
+                keep[0][now], keep[1][now] = ahead, scale
+            n_next = active[t + 1] if t + 1 < len(active) else 0
+            last[n_next:n] = ahead[n_next:]
+            predicted = ahead[:n_next] @ move
+        out = np.empty_like(last)
+        out[order] = last
+        return out
+
+    def backward(ends: np.ndarray, lengths: np.ndarray, behind: np.ndarray, scales: np.ndarray, keep: np.ndarray | None) -> np.ndarray:
+        """What the tokens after say of the first token's states in runs of tokens that end before ``ends``."""
+        order = np.argsort(-lengths, kind="stable")
+        ends, lengths, behind = ends[order], lengths[order], behind[order]
+        active = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
+        first = np.empty_like(behind)
+        for t, n in enumerate(active):
+            now = ends[:n] - 1 - t
+            if keep is not None:
+                keep[now] = behind[:n]
+            n_next = active[t + 1] if t + 1 < len(active) else 0
+            first[n_next:n] = behind[n_next:n]
+            into = emit[data[now[:n_next]]]
+            into *= behind[:n_next]
+            into /= scales[now[:n_next], None]
+            behind = into @ back_move
+        out = np.empty_like(first)
+        out[order] = first
+        return out
+
+    filtered, scales = np.empty((len(data), states), np.float32), np.empty(len(data), np.float32)
+    predicted = np.tile(start, (len(at), 1))
+    if len(later):
+        warm = forward(at[later] - WARM, np.full(len(later), WARM), np.full((len(later), states), 1 / states, np.float32), None)
+        predicted[later] = warm @ move
+    todo = np.arange(len(at))
+    while len(todo):
+        forward(at[todo], (to - at)[todo], predicted[todo], (filtered, scales))
+        carried = filtered[at[later] - 1] @ move
+        off = np.abs(carried - predicted[later]).max(axis=1, initial=0) > CLOSE
+        todo = later[off]
+        predicted[todo] = carried[off]
+    behind, after = np.empty_like(filtered), np.ones((len(at), states), np.float32)
+
+    def passed(nexts: np.ndarray, of_next: np.ndarray) -> np.ndarray:
+        """What is known behind the tokens before ``nexts``, such that their states' products add up to 1."""
+        known = (emit[data[nexts]] * of_next / scales[nexts, None]) @ back_move
+        return known / (known * filtered[nexts - 1]).sum(axis=1, keepdims=True)
+
+    if len(earlier):
+        reach = np.minimum(to[earlier] + WARM, (begin + size)[of[earlier]])
+        warm = backward(reach, reach - to[earlier], np.ones((len(earlier), states), np.float32), scales, None)
+        after[earlier] = passed(to[earlier], warm)
+    todo = np.arange(len(at))
+    while len(todo):
+        backward(to[todo], (to - at)[todo], after[todo], scales, behind)
+        carried = passed(to[earlier], behind[to[earlier]])
+        off = np.abs(carried - after[earlier]).max(axis=1, initial=0) > CLOSE * np.maximum(1, np.abs(carried)).max(axis=1, initial=1)
+        todo = earlier[off]
+        after[todo] = carried[off]
+    into = emit[data]
+    into *= behind
+    into /= scales[:, None]
+    gamma = filtered * behind
+    inner = np.ones(len(data), bool)
+    inner[begin] = False
+    inner = np.flatnonzero(inner)
     moves = np.zeros((states, states))
-    seen_at, weight = np.empty(len(ragged.data), np.int64), np.empty((len(ragged.data), states))
-    behind, at = np.ones((0, states)), 0
-    for t in range(steps - 1, -1, -1):
-        now = np.ones((ragged.active[t], states))
-        if t + 1 < steps:
-            n = ragged.active[t + 1]
-            into = chain.emit[ragged.symbols(t + 1)] * behind / scales[t + 1][:, None]
-            moves += aheads[t][:n].T @ into
-            now[:n] = into @ chain.move.T
-        gamma = aheads[t] * now
-        seen_at[at : at + len(gamma)], weight[at : at + len(gamma)] = ragged.symbols(t), gamma
-        at += len(gamma)
-        behind = now
-    emissions = np.stack([np.bincount(seen_at, weight[:, k], chain.emit.shape[0]) for k in range(states)], axis=1)
-    starts = np.stack([gamma[kind == k].sum(axis=0) for k in (0, 1)])
-    return [starts, moves * chain.move, emissions, np.array([likelihood])]
-
-
-def pieces(symbols: np.ndarray) -> list[np.ndarray]:
-    return [symbols[a : a + PIECE] for a in range(0, len(symbols), PIECE)]
-
-
-def renewed(counts: list[np.ndarray], frequency: np.ndarray, prior: float) -> Chain:
+    for cut in range(0, len(inner), 1 << 16):  # single precision adds up few terms
+        some = inner[cut : cut + (1 << 16)]
+        moves += filtered[some - 1].T @ into[some]
+    order = np.argsort(data.astype(np.uint16), kind="stable")
+    seen, first = np.unique(data[order], return_index=True)
+    emissions = np.add.reduceat(gamma[order], first, axis=0, dtype=np.float64)
+    return Expected(gamma[begin].sum(axis=0, dtype=np.float64), moves * chain.move, seen, emissions, float(np.log10(scales).sum(dtype=np.float64)))
+
+
+def renewed(starts: np.ndarray, moves: np.ndarray, emissions: np.ndarray, frequency: np.ndarray, prior: float) -> Chain:
     """The chain that best fits the expected counts, drawn to the corpus by ``prior`` tokens a state."""
-    starts, moves, emissions = counts[:3]
     usual = (frequency + 0.5) / (frequency + 0.5).sum()
     emit = (emissions + prior * usual[:, None]) / (emissions.sum(axis=0) + prior)
-    start = (starts + 1) / (starts + 1).sum(axis=1, keepdims=True)
-    return Chain(start, (moves + 1) / (moves + 1).sum(axis=1, keepdims=True), emit)
+    return Chain((starts + 1) / (starts + 1).sum(), (moves + 1) / (moves + 1).sum(axis=1, keepdims=True), emit)
 
 
-def first_chain(sample: list[np.ndarray], frequency: np.ndarray, size: Size, seed: int = 11) -> Chain:
-    """Baum-Welch on the sample from several random beginnings; the likeliest result."""
-    rng = np.random.default_rng(seed)
+def first_chain(frequency: np.ndarray, size: Size, seed: int = 11) -> Chain:
+    """States that tend to stay, with the corpus's frequencies, each drawn a little apart at random."""
     usual = (frequency + 0.5) / (frequency + 0.5).sum()
     k = size.states
     move = np.full((k, k), 0.1 / max(k - 1, 1))
-    np.fill_diagonal(move, 0.9)
-    cut = [(p, i > 0) for s in sample for i, p in enumerate(pieces(s))]
-    sequences, later = [p for p, _ in cut], np.array([x for _, x in cut])
-    best: tuple[float, Chain] | None = None
-    for _ in range(3 if sequences else 1):
-        emit = usual[:, None] * np.exp(rng.normal(0, 0.7, (len(usual), k)))
-        chain = Chain(np.full((2, k), 1 / k), move, emit / emit.sum(axis=0))
-        likelihood = -np.inf
-        for _ in range(size.sample_passes if sequences else 0):
-            counts = expected_counts(chain, sequences, later)
-            likelihood, chain = float(counts[3][0]), renewed(counts, frequency, size.prior)
-        if best is None or likelihood > best[0]:
-            best = likelihood, chain
-    return best[1]
+    np.fill_diagonal(move, 0.9 if k > 1 else 1.0)
+    emit = usual[:, None] * np.exp(np.random.default_rng(seed).normal(0, 0.7, (len(usual), k)))
+    return Chain(np.full(k, 1 / k), move, emit / emit.sum(axis=0))
+
+
+SUMS = "part int, symbols binary, sums binary"
+
+
+def _sums(part: int, symbols: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([symbols.astype(np.int32).tobytes()], pa.binary()), pa.array([sums.astype(np.float64).tobytes()], pa.binary())], ["part", "symbols", "sums"])
 
 
 def _expected(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    """(symbols) to the partition's expected counts, flat and in PARTS pieces: (part, sums)."""
+    """(symbols) to the task's expected counts: (part, symbols, sums), each symbol in the part that its number names; part -1
+    has the starts, the moves, the likelihood and the number of tokens."""
     chain: Chain = sent.value
-    total: list[np.ndarray] | None = None
+    emissions, seen = np.zeros_like(chain.emit), np.zeros(len(chain.emit), bool)
+    rest = np.zeros(chain.start.size + chain.move.size + 2)
     waiting: list[np.ndarray] = []
-    later: list[bool] = []
+    held = 0
 
     def flush() -> None:
-        nonlocal total
-        got = expected_counts(chain, waiting, np.array(later))
-        total = got if total is None else [a + b for a, b in zip(total, got, strict=True)]
+        got = expected_counts(chain, waiting)
+        emissions[got.symbols] += got.emissions
+        seen[got.symbols] = True
+        rest[:] += np.concatenate([got.starts, got.moves.ravel(), [got.likelihood, held]])
         waiting.clear()
-        later.clear()
 
-    held = 0
     for batch in batches:
         for blob in batch.column(0):
-            for i, piece in enumerate(pieces(np.frombuffer(blob.as_buffer(), np.uint16))):
-                waiting.append(piece)
-                later.append(i > 0)
-                held += len(piece)
-                if held >= TRAIN_BLOCK:
-                    flush()
-                    held = 0
+            waiting.append(np.frombuffer(blob.as_buffer(), np.uint16))
+            held += len(waiting[-1])
+            if held >= TRAIN_BLOCK:
+                flush()
+                held = 0
     if waiting:
         flush()
-    if total is not None:
-        flat = np.concatenate([x.ravel() for x in total])
-        for part, values in enumerate(np.array_split(flat, PARTS)):
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([values.astype(np.float32).tobytes()], pa.binary())], ["part", "sums"])
+    if rest[-1]:
+        found = np.flatnonzero(seen)
+        for part in range(PARTS):
+            own = found[found % PARTS == part]
+            yield _sums(part, own, emissions[own])
+        yield _sums(-1, np.zeros(0), rest)
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _added(batches: Iterator[pa.RecordBatch], symbols: int, states: int) -> Iterator[pa.RecordBatch]:
+    """Adds up what was sent of each part."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            values = np.frombuffer(blob, np.float32)
-            total[part] = total[part] + values if part in total else values.astype(np.float64)
+        for part, which, sums in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            values = np.frombuffer(sums, np.float64)
+            if part < 0:
+                total[part] = total.get(part, 0) + values
+            else:
+                into = total.setdefault(part, np.zeros((-(-symbols // PARTS), states)))
+                into[np.frombuffer(which, np.int32) // PARTS] += values.reshape(-1, states)
     for part, values in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([values.tobytes()], pa.binary())], ["part", "sums"])
+        own = np.flatnonzero(values.any(axis=1)) if part >= 0 else np.zeros(0)
+        yield _sums(part, own * PARTS + part, values[own] if part >= 0 else values)
 
 
-def baum_welch_pass(coded: DataFrame, chain: Chain, frequency: np.ndarray, size: Size) -> Chain:
-    """One pass over all training documents."""
-    sent = coded.sparkSession.sparkContext.broadcast(chain)
-    parts = coded.filter("NOT held_out").select("symbols").mapInArrow(partial(_expected, sent=sent), "part int, sums binary")
-    rows = parts.repartition("part").mapInArrow(_added, "part int, sums binary").collect()
+def baum_welch_pass(coded: DataFrame, chain: Chain, frequency: np.ndarray, size: Size) -> tuple[Chain, float]:
+    """One pass over all training documents: the next chain, and the log10 likelihood of a token under this one."""
+    context = coded.sparkSession.sparkContext
+    sent = context.broadcast(chain)
+    tasks = min(PASS_TASKS, 3 * context.defaultParallelism)
+    parts = coded.filter("NOT held_out").select("symbols").coalesce(tasks).mapInArrow(lambda b: released(_expected(b, sent)), SUMS)
+    rows = parts.repartition(PARTS, "part").mapInArrow(partial(_added, symbols=size.symbols, states=size.states), SUMS).collect()
     sent.unpersist()
-    if not rows:
-        return chain
-    flat = np.concatenate([np.frombuffer(r["sums"], np.float64) for r in sorted(rows, key=lambda r: r["part"])])
-    k, s = size.states, size.symbols
-    starts, moves, emissions = np.split(flat[:-1], [2 * k, 2 * k + k * k])
-    return renewed([starts.reshape(2, k), moves.reshape(k, k), emissions.reshape(s, k)], frequency, size.prior)
+    emissions, rest = np.zeros((size.symbols, size.states)), None
+    for r in rows:
+        values = np.frombuffer(r["sums"], np.float64)
+        if r["part"] < 0:
+            rest = values
+        else:
+            emissions[np.frombuffer(r["symbols"], np.int32)] = values.reshape(-1, size.states)
+    if rest is None:
+        return chain, 0.0
+    starts, moves, (likelihood, tokens) = np.split(rest, [size.states, size.states * (size.states + 1)])
+    return renewed(starts, moves.reshape(size.states, -1), emissions, frequency, size.prior), likelihood / tokens
+
+
+def trained(coded: DataFrame, frequency: np.ndarray, size: Size) -> Chain:
+    """Passes until one gains less than ``size.settled`` on the likelihood of a token. What a pass can gain is bounded by
+    the likelihood itself, so they end."""
+    chain, before = first_chain(frequency, size), -np.inf
+    while True:
+        after, likelihood = baum_welch_pass(coded, chain, frequency, size)
+        if likelihood - before < size.settled:
+            return after
+        chain, before = after, likelihood
 
 
 def _scored(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
@@ -401,13 +492,7 @@ def score_documents(docs: DataFrame, size: Size = Size()) -> DataFrame:
     rows = narrow.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     coded = rows.mapInArrow(partial(_coded, sent=sent, size=size), CODED).withColumn("uid", F.monotonically_increasing_id())
     coded = written(coded, "coded")
-    sampled = coded.filter(~F.col("held_out") & (F.col("n_tokens") <= size.sample_tokens))
-    key = F.xxhash64("doc_id", "uid")
-    taken = hash_sample(sampled.select("doc_id", "uid", "symbols"), key, size.sample).select(key.alias("h"), "symbols").collect()
-    taken.sort(key=lambda r: r["h"])
-    chain = first_chain([np.frombuffer(r["symbols"], np.uint16) for r in taken], frequency, size)
-    for _ in range(size.passes):
-        chain = baum_welch_pass(coded, chain, frequency, size)
+    chain = trained(coded, frequency, size)
     emit = chain.emit.copy()
     emit[size.hot : size.end] /= (lex.class_tokens + lex.class_types + 1)[:, None]
     final = spark.sparkContext.broadcast(Chain(chain.start, chain.move, emit))

@@ -17,17 +17,19 @@ data.
 
 Cases: a null text, or one without two words in a unit, matches nothing. A run's line is that of its first word. Ties: the
 higher coefficient, then the whole text before lines, then the first line, then the alphabetically first template.
-Repeated rows get equal answers, other columns are ignored, and an empty table gives an empty result.
+Repeated rows get equal answers, and an empty table gives an empty result. Other columns are passed through; own columns
+that bear the result's name (in any case) are kept with ``own_`` before it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.license_texts import TEMPLATES
+from skein.llm.names import numbered, with_results
 from skein.llm.url_filter import LOWER, UPPER
 
 LEAST = 0.8
@@ -126,21 +128,29 @@ def _with_lines(runs: Column, text: Column) -> Column:
     return _let(counts, lambda counts: F.transform(runs, lambda r: F.struct(r["dice"].alias("dice"), line(counts, r["at"]).alias("line"), line(counts, r["to"] + 1).alias("last"), r["license"].alias("license"))))
 
 
+def _measured(spark: SparkSession, templates: dict[str, str]) -> list[Row]:
+    """(license, n, b, length) of every template: its distinct bigrams and its length in bigrams."""
+    if not templates:
+        return []
+    known = F.explode(F.create_map(*[F.lit(x) for pair in sorted(templates.items()) for x in pair])).alias("license", "text")
+    words = F.split(normalised(F.col("text")), " ")
+    return spark.range(1).select(known).withColumn("b", _bigrams(words)).select("license", F.size("b").alias("n"), "b", (F.size(words) - 1).alias("length")).orderBy("license").collect()
+
+
 def scan(df: DataFrame, text_col: str = "text", templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """``df`` with ``license_matches``: array of (dice, line, license), the best of each unit, and runs that no matched unit
     accounts for; line is -1 for the text."""
-    spark = df.sparkSession
-    known = spark.createDataFrame(sorted(templates.items()), "license string, text string")
-    words = F.split(normalised(F.col("text")), " ")
-    rows = known.withColumn("b", _bigrams(words)).select("license", F.size("b").alias("n"), "b", (F.size(words) - 1).alias("length")).orderBy("license").collect()
+    plain, of = numbered(df)
+    rows = _measured(df.sparkSession, templates)
+    text = F.col(of(text_col))
     known_bigrams = sorted({b for r in rows for b in r["b"]})
     constants = F.array(*[F.struct(F.lit(r["license"]).alias("license"), F.lit(r["n"]).alias("n"), F.lit(list(r["b"])).cast("array<bigint>").alias("b"), F.lit(r["length"]).alias("length")) for r in rows])
     share = least / (2 - least)
     # Templates so much of which stands in another that a match of the other accounts for theirs.
     within = {r["license"]: [s["license"] for s in rows if len(set(r["b"]) & set(s["b"])) >= share * s["n"]] for r in rows}
     hides = F.create_map(*[x for name, held in within.items() for x in (F.lit(name), F.array(*map(F.lit, held)))])
-    lines = F.split(F.col(text_col), "\n")
-    texts = F.when(F.size(lines) > 1, F.concat(F.array(F.col(text_col)), lines)).otherwise(F.array(F.col(text_col)))
+    lines = F.split(text, "\n")
+    texts = F.when(F.size(lines) > 1, F.concat(F.array(text), lines)).otherwise(F.array(text))
     units = F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda t, i: F.struct((i - 1).alias("line"), F.split(normalised(t), " ").alias("words")))
     # Shorter units than the smallest template allows need no bigrams.
     fewest = min((r["n"] for r in rows), default=0) * share
@@ -156,7 +166,7 @@ def scan(df: DataFrame, text_col: str = "text", templates: dict[str, str] = TEMP
 
     found = F.filter(F.transform(sized, tried), lambda m: m.isNotNull())
     if not rows:
-        return df.withColumn("license_matches", found)
+        return _named(plain, df, found)
 
     def joined(found: Column, runs: Column) -> Column:
         across = lambda m, r: (m["line"] == -1) | m["line"].between(r["line"], r["last"])
@@ -164,10 +174,14 @@ def scan(df: DataFrame, text_col: str = "text", templates: dict[str, str] = TEMP
         return F.concat(found, F.transform(alone, lambda r: F.struct(r["dice"].alias("dice"), r["line"].alias("line"), r["license"].alias("license"))))
 
     def matches(found: Column) -> Column:
-        runs = _runs(F.col(text_col), constants, known_bigrams, hides, least, fewest)
-        return _let(runs, lambda runs: F.when(F.size(runs) > 0, _let(_with_lines(runs, F.col(text_col)), lambda runs: joined(found, runs))).otherwise(found))
+        runs = _runs(text, constants, known_bigrams, hides, least, fewest)
+        return _let(runs, lambda runs: F.when(F.size(runs) > 0, _let(_with_lines(runs, text), lambda runs: joined(found, runs))).otherwise(found))
+
+    return _named(plain, df, F.array_sort(_let(found, matches), _better))
+
 
-    return df.withColumn("license_matches", F.array_sort(_let(found, matches), _better))
+def _named(plain: DataFrame, df: DataFrame, matches: Column) -> DataFrame:
+    return with_results(plain.withColumn("matches_", matches).toDF(*df.columns, "matches_"), ["license_matches"], ["matches_"])
 
 
 def _better(a: Column, b: Column) -> Column:

@@ -7,11 +7,13 @@ are carved (offset, length). ``store_text`` puts text into 8-bit PCM sound, from
 
 Cases: a null blob has type null and no parts; an empty blob or one without a sound format at its start is ``bin``.
 Overlapping finds are all reported, the outer before the inner. A null text counts as empty. Rows are independent,
-so ties, repeated rows and an empty table need no rule. Other columns are passed through by ``sniff``.
+so ties, repeated rows and an empty table need no rule. Other columns are passed through by ``sniff``; own columns that
+bear a result's name (in any case) are kept with ``own_`` before it.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import struct
@@ -22,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.names import numbered, with_results
+
 # The magic bytes of the formats and where they stand from a file's start.
 MAGIC = {
     "png": (b"\x89PNG\r\n\x1a\n", 0),
@@ -161,33 +165,54 @@ def _gzip(b: bytes, at: int) -> tuple[str, int] | None:
     return ("gzip", min(p, len(b)) - len(stream.unused_data) - at) if stream.eof else None
 
 
-def _zip(b: bytes, at: int) -> tuple[str, int] | None:
-    p = at
-    while (p := b.find(b"PK\x05\x06", p)) >= 0:
-        if p + 22 <= len(b):
-            entries, size, offset, note = struct.unpack_from("<HIIH", b, p + 10)
-            start = at + offset
-            if start + size == p and p + 22 + note <= len(b) and (not entries or b[start : start + 4] == b"PK\x01\x02"):
-                return "zip", p + 22 + note - at
-        p += 4
-    return None
+class Blob(bytes):
+    """Bytes that remember where marks stand, so that many hits of one format cost one search."""
+
+    def places(self, mark: bytes) -> list[int]:
+        known = self.__dict__.setdefault("known", {})
+        if mark not in known:
+            known[mark] = [m.start() for m in re.finditer(re.escape(mark), self)]
+        return known[mark]
+
+    def after(self, mark: bytes, at: int) -> int:
+        """The first place of a mark from ``at`` on, or -1."""
+        places = self.places(mark)
+        i = bisect.bisect_left(places, at)
+        return places[i] if i < len(places) else -1
+
+    def archives(self) -> dict[int, int]:
+        """ZIP archives by their directories: from an archive's start to its end (the nearest of several)."""
+        if "ends" not in self.__dict__:
+            self.ends: dict[int, int] = {}
+            for p in self.places(b"PK\x05\x06"):
+                if p + 22 <= len(self):
+                    entries, size, offset, note = struct.unpack_from("<HIIH", self, p + 10)
+                    start = p - size
+                    if start - offset >= 0 and p + 22 + note <= len(self) and (not entries or self[start : start + 4] == b"PK\x01\x02"):
+                        self.ends.setdefault(start - offset, p + 22 + note)
+        return self.ends
+
+
+def _zip(b: Blob, at: int) -> tuple[str, int] | None:
+    end = b.archives().get(at)
+    return ("zip", end - at) if end else None
 
 
-def _pdf(b: bytes, at: int) -> tuple[str, int] | None:
+def _pdf(b: Blob, at: int) -> tuple[str, int] | None:
     if not b[at + 5 : at + 6].isdigit() or b[at + 6 : at + 7] != b".":
         return None
-    end = b.find(b"%%EOF", at)
-    if end < 0 or b.find(b"startxref", at, end) < 0:
+    end, table = b.after(b"%%EOF", at), b.after(b"startxref", at)
+    if end < 0 or not 0 <= table < end:
         return None
     # Later ends before the next file's header: of updates, whose table follows the end before, or of a linearised file,
     # whose first end names table 0 and whose last names the table before it.
     first = re.search(rb"startxref\s+(\d+)\s*$", b[max(at, end - 64) : end])
-    linearised, stop = bool(first) and int(first[1]) == 0, b.find(b"%PDF-", end)
+    linearised, stop = bool(first) and int(first[1]) == 0, b.after(b"%PDF-", end)
     end, later = end + 5, end + 5
-    while (later := b.find(b"%%EOF", later, stop if stop >= 0 else len(b))) >= 0:
+    while 0 <= (later := b.after(b"%%EOF", later)) < (stop if stop >= 0 else len(b)):
         said = re.search(rb"startxref\s+(\d{1,18})\s*$", b[max(end, later - 64) : later])
         table = at + int(said[1]) if said else len(b)
-        if (table >= end or linearised) and at < table < later and re.compile(rb"xref|\d+\s+\d+\s+obj").match(b, table):
+        if (table >= end or linearised) and at < table < later and re.compile(rb"xref|\d{1,20}\s{1,20}\d{1,20}\s{1,20}obj").match(b, table):
             end, linearised = later + 5, False
         later += 5
     return "pdf", end - at
@@ -243,7 +268,7 @@ def _automaton():
 
 def find_media(blob: bytes) -> list[tuple[str, int, int]]:
     """(type, offset, length) of every sound medium, by offset; at one offset the longest first."""
-    found = set()
+    found, blob = set(), Blob(blob)
     for end, (name, back) in _automaton().iter(blob.decode("latin-1")):
         if end - back >= 0 and (got := VALIDATORS[name](blob, end - back)):
             found.add((got[0], end - back, got[1]))
@@ -260,20 +285,22 @@ def _sniffed(blobs: pa.Array) -> pa.Array:
 
 def sniff(df: DataFrame, blob_col: str, declared_col: str | None = None) -> DataFrame:
     """``df`` with ``media_parts``, ``media_type`` and, given a declared MIME type, ``media_corrected``."""
+    plain, of = numbered(df)
 
     @F.arrow_udf(PARTS)
     def parts(blobs: pa.Array) -> pa.Array:
         return _sniffed(blobs)
 
-    out = df.withColumn("media_parts", parts(F.col(blob_col)))
-    at_start = F.filter("media_parts", lambda x: x["offset"] == 0)
+    out = plain.withColumn("parts_", parts(F.col(of(blob_col))))
+    at_start = F.filter("parts_", lambda x: x["offset"] == 0)
     names = F.create_map(*[F.lit(x) for pair in MIME.items() for x in pair])
-    kind = F.when(F.col("media_parts").isNotNull(), F.coalesce(F.when(F.size(at_start) > 0, at_start[0]["type"]), F.lit("bin")))
-    out = out.withColumn("media_type", kind)
+    out = out.withColumn("type_", F.when(F.col("parts_").isNotNull(), F.coalesce(F.when(F.size(at_start) > 0, at_start[0]["type"]), F.lit("bin"))))
+    last, results = ["parts_", "type_"], ["media_parts", "media_type"]
     if declared_col:
-        true = F.coalesce(names[F.col("media_type")], F.when(F.col("media_type") == "bin", F.lit("application/octet-stream")))
-        out = out.withColumn("media_corrected", ~true.eqNullSafe(F.lower(F.trim(F.col(declared_col)))))
-    return out
+        true = F.coalesce(names[F.col("type_")], F.when(F.col("type_") == "bin", F.lit("application/octet-stream")))
+        out = out.withColumn("corrected_", ~true.eqNullSafe(F.lower(F.trim(F.col(of(declared_col))))))
+        last, results = [*last, "corrected_"], [*results, "media_corrected"]
+    return with_results(out.toDF(*df.columns, *last), results, last)
 
 
 def carve(df: DataFrame, blob_col: str, id_col: str) -> DataFrame:

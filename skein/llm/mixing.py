@@ -24,13 +24,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.scratch import written
+from skein.llm.names import numbered
 from skein.llm.sampling import hash_sample
 from skein.llm.url_filter import LOWER, UPPER
+from skein.scratch import written
 
 DOMAINS = ("good", "low", "toxic")
 #: Shares of the token budget.
 TARGETS = {"good": 0.9, "low": 0.08, "toxic": 0.02}
+#: A share this near its target meets it.
+MET = 1e-4
 
 
 @dataclass(frozen=True)
@@ -107,6 +110,16 @@ class Step:
     residual: np.ndarray
 
 
+@dataclass(frozen=True)
+class Solution:
+    """The steps, the domains' shares that they reach, the largest distance from a target, and whether all are met."""
+
+    steps: list[Step]
+    shares: tuple[float, ...]
+    gap: float
+    met: bool
+
+
 def rate_after(steps: list[Step]) -> Column:
     """The rate of a row after these steps from 1: r = max(0, r - along . posterior), again and again."""
     if not steps:
@@ -120,11 +133,12 @@ def rate_after(steps: list[Step]) -> Column:
     return F.aggregate(constants, F.lit(1.0), lambda r, s: F.when((r <= 0) & (dot(s, k) > 0), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), r - dot(s, 0))))
 
 
-def solve(scored: DataFrame, targets: dict[str, float] = TARGETS, most: int = 80, close: float = 1e-6) -> list[Step]:
+def solve(scored: DataFrame, targets: dict[str, float] = TARGETS, most: int = 80, close: float = 1e-6) -> "Solution":
     """Steps of the projected gradient over a table at rest with _tokens and posteriors.
 
     A step is kept only if it lessens the squared error. The scaled step is shortened a few times, then the plain
-    gradient, short enough to descend, takes its place; the search ends when neither gains, or after ``most`` passes.
+    gradient, short enough to descend, takes its place; the search ends when the targets are met, when neither gains (they
+    cannot be met), or after ``most`` passes. The solution says what is left.
     """
     k = len(DOMAINS)
     share = np.array([targets[d] for d in DOMAINS])
@@ -166,15 +180,19 @@ def solve(scored: DataFrame, targets: dict[str, float] = TARGETS, most: int = 80
         passes += 1
         if gained < 1e-6:
             break
-    return steps
+    left = np.zeros(k) if residual is None else residual
+    return Solution(steps, tuple((left + share).tolist()), float(np.abs(left).max()), bool(np.abs(left).max() < max(close, MET)))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, how: Fit = Fit()) -> DataFrame:
-    """doc_id, tokens, a posterior for each domain, rate and copies of every row."""
+    """doc_id, tokens, a posterior for each domain, rate and copies of every row; and, the same in all rows, the largest
+    distance of a domain's share from its target and whether all targets are met."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = written(with_posteriors(narrow, fit(narrow, labels, how), how).drop("text"), "posteriors")
-    rated = scored.withColumn("rate", rate_after(solve(scored, targets)))
-    return rated.select("doc_id", F.col("_tokens").alias("tokens"), *[F.col(f"_p{i}").alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    solution = solve(scored, targets)
+    rated = scored.withColumn("rate", rate_after(solution.steps))
+    said = [F.lit(solution.gap).alias("target_gap"), F.lit(solution.met).alias("targets_met")]
+    return rated.select("doc_id", F.col("_tokens").alias("tokens"), *[F.col(f"_p{i}").alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"), *said)
 
 
 def copies(rate: Column, doc_id: Column) -> Column:
@@ -184,10 +202,10 @@ def copies(rate: Column, doc_id: Column) -> Column:
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, how: Fit = Fit()) -> DataFrame:
-    """The rows of ``docs``, each as often as its copies say."""
-    own = {c: f"_own{c}" for c in docs.columns if c.startswith("_")}
-    renamed = docs.withColumnsRenamed(own)
-    scored = written(with_posteriors(renamed, fit(renamed, labels, how), how), "posteriors")
-    rated = scored.withColumn("_n", copies(rate_after(solve(scored, targets)), F.col("doc_id")))
+    """The rows of ``docs``, each as often as its copies say. Columns of any name are returned as they came."""
+    plain, of = numbered(docs)
+    named = plain.withColumnsRenamed({of("doc_id"): "doc_id", of("text"): "text"})
+    scored = written(with_posteriors(named, fit(named, labels, how), how), "posteriors")
+    rated = scored.withColumn("_n", copies(rate_after(solve(scored, targets).steps), F.col("doc_id")))
     repeated = rated.filter("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
-    return repeated.select(renamed.columns).withColumnsRenamed({v: k for k, v in own.items()})
+    return repeated.select(named.columns).toDF(*docs.columns)

@@ -7,10 +7,11 @@ half the permutations do the work. Two documents of similarity 0.75 share none o
 
 Steps, each bounded in what one task holds:
   1. signatures, one pass over the text; equal sets become one vertex, the smallest doc_id that has the set;
-  2. buckets with more than one vertex; every member is compared with the bucket's least (a star, not all pairs);
+  2. buckets with more than one vertex; every member is compared with the bucket's least (a star, not all pairs), a
+     vertex of many pairs in several tasks;
   3. components of the confirmed links; buckets that still hold several components are searched again for pairs across
-     components, by bin sketches that travel with the members (large buckets in blocks); what the sketches leave open
-     is confirmed on full sets, so a pair within one component is never made;
+     components, by bin sketches that travel with the members (large buckets in blocks, of which those of one component
+     do not meet); what the sketches leave open is confirmed on full sets; a pair within one component is never made;
   4. components of all links.
 
 Cases: a null or wordless text has an empty set and is linked with nothing; a text of fewer than five words has its
@@ -25,18 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm import shingles
 from skein.llm.memory import released
+from skein.llm.names import numbered
 from skein.operators.components import connected
 from skein.scratch import written
 
 #: A link needs 100 * intersection >= LINK_PERCENT * union.
 LINK_PERCENT = 75
-#: Members of a bucket compared at once; a larger bucket is cut into blocks and every two blocks meet.
-BUCKET_BLOCK = 2048
+#: Members of a bucket compared at once; a larger bucket is cut into blocks.
+BUCKET_BLOCK = 1024
+#: Edges that one task takes of an end with more, and how many such ends are sent to all executors (24 bytes each).
+HUB, BROADCAST_HUBS = 512, 200_000
 #: Bits of the filter that keeps texts without candidates out of the shuffle: 2 MB, whatever the input.
 FILTER_BITS = 1 << 24
 
@@ -101,11 +105,26 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from made(left)
 
 
+def _with_sets(edges: DataFrame, sets: DataFrame, end: str, name: str) -> DataFrame:
+    """``edges`` with the set of one of their ends. An end of many edges is dealt to several tasks, its set to each."""
+    hubs = edges.groupBy(F.col(end).alias("hub")).agg(F.count("*").alias("k")).filter(F.col("k") > HUB)
+    hubs = written(hubs.select("hub", F.ceil(F.col("k") / HUB).cast("long").alias("k")), "hubs")
+    n = hubs.count()
+    sets = sets.select(F.col("v").alias(end), F.col("shingles").alias(name))
+    if not n:
+        return edges.join(sets, end)
+    few = F.broadcast(hubs) if n <= BROADCAST_HUBS else hubs
+    dealt = edges.join(few, F.col(end) == F.col("hub"), "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("a", "b"), F.col("k")), F.lit(0).cast("long"))).drop("hub", "k")
+    copies = sets.join(few, F.col(end) == F.col("hub"), "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("k", F.lit(1).cast("long")) - 1))).drop("hub", "k")
+    return dealt.join(copies, [end, "salt"]).drop("salt")
+
+
 def _confirmed(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    with_a = edges.join(sets.select(F.col("v").alias("a"), F.col("shingles").alias("x")), "a")
-    with_b = with_a.join(sets.select(F.col("v").alias("b"), F.col("shingles").alias("y")), "b")
+    """Those of distinct ``edges`` (a, b) whose full sets are similar enough."""
+    edges = written(edges, "pairs")
+    both_sets = _with_sets(_with_sets(edges, sets, "a", "x"), sets, "b", "y")
     both = F.size(F.array_intersect("x", "y"))
-    return with_b.withColumn("both", both).filter(100 * F.col("both") >= LINK_PERCENT * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b").distinct()
+    return both_sets.withColumn("both", both).filter(100 * F.col("both") >= LINK_PERCENT * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
 
 
 def _bit_table(ids: DataFrame) -> DataFrame:
@@ -135,21 +154,34 @@ def _sets(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
     return found.select(F.col("doc_id").alias("v"), "shingles", "sketch", "bands", F.size("shingles").cast("long").alias("n"))
 
 
+def _blocks(placed: DataFrame) -> DataFrame:
+    """Rows (band, v, c) of buckets that hold several components, with ``m``: the pairs of blocks that each takes part in.
+
+    A component of more than BUCKET_BLOCK members in a bucket has blocks of its own, which need not meet each other; all
+    others share blocks, which meet themselves and all.
+    """
+    sizes = written(placed.groupBy("band", "c").agg(F.count("*").alias("k")), "sizes")
+    large = sizes.filter(F.col("k") > BUCKET_BLOCK).select("band", "c", F.ceil(F.col("k") / BUCKET_BLOCK).cast("int").alias("own_parts"))
+    per_band = sizes.groupBy("band").agg(F.count("*").alias("components"), F.sum(F.when(F.col("k") <= BUCKET_BLOCK, F.col("k"))).alias("rest"), F.sum(F.when(F.col("k") > BUCKET_BLOCK, F.ceil(F.col("k") / BUCKET_BLOCK))).alias("large"))
+    shared = F.ceil(F.coalesce("rest", F.lit(0)) / BUCKET_BLOCK).cast("int")
+    open_ = per_band.filter("components > 1").select("band", shared.alias("parts"), (shared + F.coalesce("large", F.lit(0))).cast("int").alias("all_parts"))
+    before = F.coalesce(F.sum("own_parts").over(Window.partitionBy("band").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    large = large.withColumn("skipped", before)
+    rows = placed.join(open_, "band").join(large, ["band", "c"], "left")
+    first = F.when(F.col("own_parts").isNull(), F.lit(0)).otherwise(F.col("parts") + F.col("skipped"))
+    rows = rows.withColumn("first", first).withColumn("own", (F.col("first") + F.pmod(F.xxhash64("v"), F.coalesce("own_parts", "parts").cast("long"))).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("all_parts") - 1), lambda j: F.col("own_parts").isNull() | (j < F.col("first")) | (j >= F.col("first") + F.col("own_parts")))
+    # A pair of blocks has the lower on its left side.
+    meets = F.transform(others, lambda j: F.struct(F.least(F.col("own"), j).alias("block_a"), F.greatest(F.col("own"), j).alias("block_b"), (F.col("own") > j).cast("int").alias("side")))
+    return rows.withColumn("m", F.explode(meets)).select("band", "m.*", "v", "c")
+
+
 def _search_across(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Candidate pairs between different components that meet in a bucket."""
     placed = members.select("band", "v").join(labels, "v", "left").select("band", "v", F.coalesce("c", "v").alias("c"))
-    open_ = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).filter("lo < hi")
-    open_ = open_.select("band", F.ceil(F.col("k") / BUCKET_BLOCK).cast("int").alias("parts"))
-    rows = placed.join(open_, "band").join(sets.select("v", "n", "sketch", "bands"), "v")
-    own = F.pmod(F.xxhash64("v"), F.col("parts").cast("long")).cast("int")
-    # A block meets itself once and every other block once, as the left side of later and the right side of earlier ones.
-    meets = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1),
-        lambda j: F.struct(F.least(F.col("own"), j).alias("block_a"), F.greatest(F.col("own"), j).alias("block_b"), (F.col("own") > j).cast("int").alias("side")),
-    )
-    rows = rows.withColumn("own", own).withColumn("m", F.explode(meets)).select("band", "m.*", "v", "c", "n", "sketch", "bands")
+    rows = _blocks(placed).join(sets.select("v", "n", "sketch", "bands"), "v").select("band", "block_a", "block_b", "side", "v", "c", "n", "sketch", "bands")
     dealt = rows.repartition("band", "block_a", "block_b").sortWithinPartitions("band", "block_a", "block_b")
-    return dealt.mapInArrow(lambda b: released(_across(b)), "a long, b long")
+    return dealt.mapInArrow(lambda b: released(_across(b)), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,24 +210,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group: its smallest id. Rows without id stay, and of rows that share an id one.
+    """``docs`` with one row of each group: its smallest id. Rows without id stay. Of rows that share an id the one stays whose
+    text is least (null before all), then whose columns, written as JSON, are. Columns of any name are returned as they came.
 
     Only rows that may have to go (by the bit table of dropped and repeated ids) are joined exactly; the rest of the texts
     is not shuffled.
     """
-    found = written(near_duplicates(docs, id_col, text_col).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("v")).agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept")), "kept")
-    open_ = found.filter("NOT kept OR n > 1")
-    own = {c: f"_own{c}" for c in docs.columns if c.startswith("_")}
-    marked = _marked(docs.withColumnsRenamed(own), id_col, open_)
-    back = {v: k for k, v in own.items()}
+    plain, of = numbered(docs)
+    own_id, text = of(id_col), of(text_col)
+    found = near_duplicates(plain, own_id, text).filter("doc_id IS NOT NULL")
+    found = written(found.groupBy(F.col("doc_id").alias("v")).agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept")), "kept")
+    marked = _marked(plain, own_id, found.filter("NOT kept OR n > 1"))
     sure = marked.filter("NOT _hit").drop("_hit")
-    unsure = marked.filter("_hit").drop("_hit").join(found.filter("kept").select(F.col("v").alias("_kept"), F.col("n").alias("_n")), F.col(id_col) == F.col("_kept"))
+    unsure = marked.filter("_hit").drop("_hit").join(found.filter("kept").select(F.col("v").alias("_kept"), F.col("n").alias("_n")), F.col(own_id).cast("long") == F.col("_kept"))
     parts = sure.unionByName(unsure.filter("_n = 1").drop("_kept", "_n"))
     if not found.filter("kept AND n > 1").isEmpty():
-        parts = parts.unionByName(unsure.filter("_n > 1").drop("_kept", "_n").dropDuplicates([id_col]))
-    return parts.withColumnsRenamed(back)
-
-
+        row = F.struct(*[F.col(c) for c in plain.columns])
+        least = unsure.filter("_n > 1").groupBy("_kept").agg(F.min_by(row, F.struct(F.col(text), F.to_json(row))).alias("r"))
+        parts = parts.unionByName(least.select("r.*"))
+    return parts.toDF(*docs.columns)
 
 
 ORACLE = r"""

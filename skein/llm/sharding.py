@@ -1,13 +1,16 @@
 """Sharding along a Hilbert curve, with DataFrame functions only.
 
-Every metadata dimension becomes an order-preserving code of 16 bits, whose histogram (at most 65,536 counts) gives cuts
-of near equal mass, so that a dimension is quantised to a few bits. The cell's place on the Hilbert curve is read from a
-constant table. Rows are ranked along the curve and the ranks are cut into runs of near equal counts. A shard is thus
+Every metadata dimension is quantised to a few bits at cuts of near equal mass, found over all rows and whole values:
+quantiles by Spark's mergeable sketch for numbers, dates and times, and a descent along prefixes for strings, which splits
+whatever range of values holds a cut until it is light or a single value. The cell's place on the Hilbert curve is read from
+a constant table. Rows are ranked along the curve and the ranks are cut into runs of near equal counts. A shard is thus
 compact in all dimensions at once, and the ranges in ``manifest`` let a reader skip it on any of them.
 
 No sort or count is global: ranks come from counts of cells (at most 65,536 and some parts), and a cell that holds many
-rows is ranked in parts. Cases: null is a value of its own, before all others; ties are broken by doc_id, the text's
-checksum and the row's place in the input; repeated rows get places of their own; an empty table gives an empty result.
+rows is ranked in parts. Cases: null is a value of its own, before all others; not-a-number is after all others; a value
+that many rows share gets one code, and others then have fewer; ties are broken by doc_id, the text's checksum and the row's
+place in the input; repeated rows get places of their own; an empty table gives an empty result. Own columns that bear a
+result's name (in any case) are kept with ``own_`` before it.
 """
 
 from __future__ import annotations
@@ -20,11 +23,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.llm.names import numbered, with_results
 from skein.scratch import written
 
-CODES = 1 << 16
-#: A cell with more than this share of all rows is ranked in parts.
-PART_SHARE = 1 / 1024
+#: A cell with more than this share of all rows, and more than so many, is ranked in parts.
+PART_SHARE, PART_ROWS = 1 / 1024, 4096
+#: A range of strings is split if it holds a cut and more than this share of all rows.
+LIGHT = 1 / 256
+#: How finely the sketch of numbers is kept: ranks are off by at most one in so many.
+ACCURACY = 10_000
 
 
 def hilbert_order(dims: int, bits: int) -> np.ndarray:
@@ -71,76 +78,112 @@ def longs(values: list[int]) -> Column:
     return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), "array<bigint>")
 
 
-def _code(df: DataFrame, name: str, lo, hi) -> Column:
-    """0 for null, else 1 to 65,535 in the column's order."""
-    kind = df.schema[name].dataType
-    if lo is None:
-        return F.lit(0)
-    if isinstance(kind, T.StringType):
-        shared = 0
-        while shared < min(len(lo), len(hi)) and lo[shared] == hi[shared]:
-            shared += 1
-        # The first two bytes after what all values share.
-        tail = F.hex(F.substring(F.encode(F.substring(name, shared + 1, 2), "utf-8"), 1, 2))
-        value = F.conv(F.rpad(tail, 4, "0"), 16, 10).cast("int")
-        top = CODES - 1
-    else:
-        width = float(hi) - float(lo)
-        value = F.floor((F.col(name).cast("double") - F.lit(float(lo))) * F.lit((CODES - 2) / width if width > 0 else 0.0)).cast("int")
-        top = CODES - 2
-    return F.when(F.col(name).isNull(), F.lit(0)).otherwise(1 + F.least(value, F.lit(top - 1)))
-
-
-def _quantised(coded: DataFrame, names: list[str], bits: int) -> list[Column]:
-    """Each code's share of rows below it, in 2^bits steps."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(n).alias("code")) for i, n in enumerate(names)])).alias("p")
-    counts = coded.select(pairs).groupBy("p.dim", "p.code").count().collect()
-    out = []
-    for i, name in enumerate(names):
-        histogram = np.zeros(CODES, np.int64)
-        for row in counts:
-            if row["dim"] == i:
-                histogram[row["code"]] = row["count"]
-        below, total = np.cumsum(histogram) - histogram, max(int(histogram.sum()), 1)
-        level = np.minimum(below * (1 << bits) // total, (1 << bits) - 1)
-        cuts = [int(np.searchsorted(level, k)) for k in range(1, 1 << bits)]
-        out.append(reduce(add, [(F.col(name) >= cut).cast("int") for cut in cuts]))
+def _string_cuts(df: DataFrame, names: list[str], bits: int) -> dict[str, list[str]]:
+    """For each string column the values (or prefixes) at which its next code begins, by descent along prefixes.
+
+    A range is a prefix's rows, known by its least and greatest value and its number of rows. Each pass splits every range
+    that holds a cut and is not light, by the two characters after what all its values share.
+    """
+    edge = df.agg(F.count("*"), *[f(n) for n in names for f in (F.min, F.max, F.count)]).first()
+    total, ranges = edge[0], {n: [tuple(edge[1 + 3 * i : 4 + 3 * i])] for i, n in enumerate(names)}
+    targets = [k * total / (1 << bits) for k in range(1, 1 << bits)]
+
+    def holding(n: str) -> list[tuple[float, int]]:
+        """The places of the ranges that hold a cut, with the ranks before them; nulls come before all."""
+        out, below = [], total - sum(c for _, _, c in ranges[n])
+        for i, (_, _, c) in enumerate(ranges[n]):
+            if any(below < t < below + c for t in targets):
+                out.append((below, i))
+            below += c
+        return out
+
+    def shared(lo: str, hi: str) -> int:
+        at = 0
+        while at < min(len(lo), len(hi)) and lo[at] == hi[at]:
+            at += 1
+        return at
+
+    while True:
+        wide = {n: [i for _, i in holding(n) if ranges[n][i][0] != ranges[n][i][1] and ranges[n][i][2] > LIGHT * total] for n in names}
+        if not any(wide.values()):
+            break
+        cases = []
+        for d, n in enumerate(names):
+            for i in wide[n]:
+                lo, hi, _ = ranges[n][i]
+                size = shared(lo, hi) + 2
+                cases.append(F.when(F.col(n).between(lo, hi), F.struct(F.lit(d).alias("dim"), F.lit(i).alias("range"), F.substring(n, 1, size).alias("prefix"), F.col(n).alias("value"))))
+        rows = df.select(F.explode(F.array_compact(F.array(*cases))).alias("x")).groupBy("x.dim", "x.range", "x.prefix").agg(F.min("x.value").alias("lo"), F.max("x.value").alias("hi"), F.count("*").alias("n")).collect()
+        for d, n in enumerate(names):
+            split = {i: sorted((r["lo"], r["hi"], r["n"]) for r in rows if r["dim"] == d and r["range"] == i) for i in wide[n]}
+            ranges[n] = [part for i, whole in enumerate(ranges[n]) for part in split.get(i, [whole])]
+    out = {}
+    for n in names:
+        starts, below = [], total - sum(c for _, _, c in ranges[n])
+        for lo, _, c in ranges[n]:
+            starts.append((below, lo))
+            below += c
+        # The range's start that is nearest to each cut; the first value needs no cut.
+        cuts = {min(starts, key=lambda x: (abs(x[0] - t), x[0]))[1] for t in targets} if starts else set()
+        out[n] = sorted(cuts - ({starts[0][1]} if starts and starts[0][0] == 0 else set()))
     return out
 
 
+def _cuts(df: DataFrame, names: list[str], bits: int) -> dict[str, list]:
+    """For each column the values at which its next code begins, at most 2^bits - 1 and near equal mass apart."""
+    strings = [n for n in names if isinstance(df.schema[n].dataType, T.StringType)]
+    out: dict[str, list] = _string_cuts(df, strings, bits) if strings else {}
+    rest = [n for n in names if n not in out]
+    if rest:
+        shares = [k / (1 << bits) for k in range(1, 1 << bits)]
+        row = df.agg(*[F.percentile_approx(n, shares, ACCURACY).alias(f"q{i}") for i, n in enumerate(rest)], *[F.min(n).alias(f"m{i}") for i, n in enumerate(rest)], *[F.count_if(F.col(n).isNull()).alias(f"z{i}") for i, n in enumerate(rest)]).first()
+        for i, n in enumerate(rest):
+            values = set(row[f"q{i}"] or []) | ({row[f"m{i}"]} if row[f"z{i}"] else set())
+            out[n] = sorted(values - {None} - (set() if row[f"z{i}"] else {row[f"m{i}"]}), key=lambda v: (v != v, v))[: (1 << bits) - 1]
+    return out
+
+
+def _ordered(df: DataFrame, name: str) -> Column:
+    """The column as a type whose quantiles Spark sketches, or as a string."""
+    kind = df.schema[name].dataType
+    plain = (T.StringType, T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    return F.col(name) if isinstance(kind, plain) else F.col(name).cast("int") if isinstance(kind, T.BooleanType) else F.col(name).cast("string")
+
+
 def hilbert_shards(df: DataFrame, dims: list[str], order: list[str], shards: int = 40, bits: int = 4) -> DataFrame:
     """``df`` with ``hilbert`` (curve index), ``shard`` and ``slot``; ``df`` should be narrow: it is shuffled by cell."""
     if len(dims) * bits > 16:
         raise ValueError("at most 65,536 cells")
-    taken = df.columns
-    edge = df.agg(*[f(d).alias(f"{k}{i}") for i, d in enumerate(dims) for k, f in (("lo", F.min), ("hi", F.max))]).first()
-    codes = [f"_code{i}" for i in range(len(dims))]
-    df = written(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    coded = df.withColumns({c: _code(df, d, edge[f"lo{i}"], edge[f"hi{i}"]) for i, (c, d) in enumerate(zip(codes, dims, strict=True))})
+    plain, of = numbered(df)
+    names = [f"dim_{i}_" for i in range(len(dims))]
+    rows = plain.withColumns({n: _ordered(plain, of(d)) for n, d in zip(names, dims, strict=True)}).withColumn("row_", F.monotonically_increasing_id())
+    rows = written(rows, "rows")
+    cuts = _cuts(rows, names, bits)
     cell = F.lit(0)
-    for q in _quantised(coded, codes, bits):
-        cell = cell * (1 << bits) + q
-    placed = coded.withColumn("hilbert", F.element_at(longs(hilbert_order(len(dims), bits).tolist()), cell + 1))
-    placed = written(placed.select(*taken, "_row", "hilbert"), "placed")
-    cells = placed.groupBy("hilbert").agg(F.count("*").alias("_n")).collect()
-    total = sum(r["_n"] for r in cells)
-    most = max(1, int(total * PART_SHARE))
-    split = sorted((r["hilbert"], -(-r["_n"] // most)) for r in cells if r["_n"] > most)  # fewer than 1 / PART_SHARE
+    for n in names:
+        level = reduce(add, [(F.col(n) >= F.lit(cut)).cast("int") for cut in cuts[n]], F.lit(0))
+        cell = cell * (1 << bits) + F.coalesce(level, F.lit(0))
+    placed = rows.withColumn("hilbert_", F.element_at(longs(hilbert_order(len(dims), bits).tolist()), cell + 1))
+    placed = written(placed.drop(*names), "placed")
+    cells = placed.groupBy("hilbert_").agg(F.count("*").alias("n_")).collect()
+    total = sum(r["n_"] for r in cells)
+    most = max(PART_ROWS, int(total * PART_SHARE))
+    split = sorted((r["hilbert_"], -(-r["n_"] // most)) for r in cells if r["n_"] > most)  # fewer than 1 / PART_SHARE
     parts = F.lit(1).cast("long")
     if split:
-        at = F.array_position(longs([h for h, _ in split]), F.col("hilbert"))
+        at = F.array_position(longs([h for h, _ in split]), F.col("hilbert_"))
         parts = F.when(at > 0, F.element_at(longs([k for _, k in split]), F.greatest(at, F.lit(1)).cast("int"))).otherwise(F.lit(1))
-    placed = placed.withColumn("_part", F.pmod(F.xxhash64("_row"), parts))
-    runs = placed.groupBy("hilbert", "_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("hilbert", "_part").rowsBetween(Window.unboundedPreceding, -1)  # at most 66,560 rows
-    starts = runs.select("hilbert", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = F.row_number().over(Window.partitionBy("hilbert", "_part").orderBy(*order, "_row"))
-    ranked = placed.withColumn("_within", within).join(F.broadcast(starts), ["hilbert", "_part"])
-    rank = F.col("_start") + F.col("_within") - 1
+    placed = placed.withColumn("part_", F.pmod(F.xxhash64("row_"), parts))
+    runs = placed.groupBy("hilbert_", "part_").agg(F.count("*").alias("n_"))
+    before = Window.orderBy("hilbert_", "part_").rowsBetween(Window.unboundedPreceding, -1)  # at most 66,560 rows
+    starts = runs.select("hilbert_", "part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("start_"))
+    within = F.row_number().over(Window.partitionBy("hilbert_", "part_").orderBy(*[of(o) for o in order], "row_"))
+    ranked = placed.withColumn("within_", within).join(F.broadcast(starts), ["hilbert_", "part_"])
     n = max(total, 1)
-    ranked = ranked.withColumn("_rank", rank).withColumn("shard", F.expr(f"CAST(_rank * {shards} div {n} AS INT)"))
-    slot = F.expr(f"_rank - (shard * {n}L + {shards - 1}) div {shards}")
-    return ranked.withColumn("slot", slot).select(*taken, "hilbert", "shard", "slot")
+    ranked = ranked.withColumn("rank_", F.col("start_") + F.col("within_") - 1).withColumn("shard_", F.expr(f"CAST(rank_ * {shards} div {n} AS INT)"))
+    ranked = ranked.withColumn("slot_", F.expr(f"rank_ - (shard_ * {n}L + {shards - 1}) div {shards}"))
+    named = ranked.select(*plain.columns, "hilbert_", "shard_", "slot_").toDF(*df.columns, "hilbert_", "shard_", "slot_")
+    return with_results(named, ["hilbert", "shard", "slot"], ["hilbert_", "shard_", "slot_"])
 
 
 def manifest(sharded: DataFrame, dims: list[str]) -> DataFrame:

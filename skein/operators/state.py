@@ -135,12 +135,12 @@ class Control:
         self.path.parent.mkdir(parents=True, exist_ok=True)
         replace_text(self.path, json.dumps(self.state, indent=1, sort_keys=True))
 
-    def raise_alert(self, fingerprint: str, cluster_id: str, summary: dict) -> int:
+    def raise_alert(self, fingerprint: str, cluster_id: str, summary: dict, at: datetime | None = None) -> int:
         """The id of the alert with this fingerprint; a new pending one if there is none."""
         for alert in self.state["alerts"]:
             if alert["fingerprint"] == fingerprint:
                 return alert["id"]
-        alert = {"id": len(self.state["alerts"]) + 1, "fingerprint": fingerprint, "cluster_id": cluster_id, "status": "pending", "summary": summary}
+        alert = {"id": len(self.state["alerts"]) + 1, "fingerprint": fingerprint, "cluster_id": cluster_id, "status": "pending", "summary": summary, "created_at": (at or datetime.now(UTC)).isoformat()}
         self.state["alerts"].append(alert)
         self._save()
         return alert["id"]
@@ -160,9 +160,21 @@ class Control:
         return False
 
     def review(self, alert_id: int, review: dict) -> None:
+        """Keeps a review: classification, reviewer, model, classification_created_at."""
         self.state["reviews"][str(alert_id)] = review
         self._save()
 
+    def findings(self) -> list[dict]:
+        """All alerts in order, each with its review if it has one."""
+        return [a | {"classification": None} | self.state["reviews"].get(str(a["id"]), {}) for a in self.state["alerts"]]
+
+    def rescored(self, alert_id: int, changes: dict) -> None:
+        """Takes new values into an alert's summary; its status and review stay."""
+        for alert in self.state["alerts"]:
+            if alert["id"] == alert_id:
+                alert["summary"] = alert["summary"] | changes
+        self._save()
+
     def unsent(self, channel: str, recipient: str) -> list[dict]:
         """Pending alerts after the last that was sent there; the recipient is kept as a digest only."""
         last = self.state["values"].get(self._mark(channel, recipient), 0)
@@ -186,15 +198,24 @@ class Control:
         self._save()
         return [queries[(at + i) % len(queries)] for i in range(size)]
 
-    def page(self, source: str, query: str) -> int:
-        return int(self.state["cursors"].get(f"{source}\0{query}", 1))
+    def cursor(self, source: str, query: str, default=None):
+        """The place of a search, in the source's own form: a page, a token, a time, an offset."""
+        return self.state["cursors"].get(f"{source}\0{query}", default)
 
-    def advance(self, source: str, query: str, *, exhausted: bool, limit: int, step: int = 1) -> int:
-        """After a success: the next page, or the first again at the end or past the limit."""
-        at = self.page(source, query) + step
-        at = 1 if exhausted or at > limit else at
-        self.state["cursors"][f"{source}\0{query}"] = at
+    def keep_cursor(self, source: str, query: str, cursor) -> None:
+        self.state["cursors"][f"{source}\0{query}"] = cursor
         self._save()
+
+    def page(self, source: str, query: str, limit: int | None = None) -> int:
+        """The page to read next: the first if the cursor is no page within the limit."""
+        at = self.cursor(source, query, 1)
+        return at if isinstance(at, int) and at >= 1 and (limit is None or at <= max(1, limit)) else 1
+
+    def advance(self, source: str, query: str, *, exhausted: bool, limit: int, step: int = 1) -> int:
+        """After a success: the next page, round at the limit, or the first again at the end."""
+        limit = max(1, limit)
+        at = 1 if exhausted else (self.page(source, query, limit) - 1 + max(1, step)) % limit + 1
+        self.keep_cursor(source, query, at)
         return at
 
     def begin(self, source: str, partition: str, *, again: bool = False) -> bool:
@@ -206,6 +227,9 @@ class Control:
         self._save()
         return True
 
+    def partition(self, source: str, partition: str) -> dict | None:
+        return self.state["partitions"].get(f"{source}\0{partition}")
+
     def finish(self, source: str, partition: str, stats: dict, error: str | None = None) -> None:
         self.state["partitions"][f"{source}\0{partition}"] = {"status": "failed" if error else "complete", "stats": stats, "error": error}
         self._save()

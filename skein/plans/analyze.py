@@ -51,8 +51,14 @@ def saved_bundles(scores: DataFrame, most: int = 100) -> DataFrame:
     return scores.join(F.broadcast(top.withColumn("_top", F.lit(True))), "cluster_id", "left").filter("_top OR reviewable").drop("_top")
 
 
-def summary(scores: DataFrame, top: int = 20) -> dict:
-    """Counts, a histogram of tiers, and the highest clusters."""
-    tiers = {r["confidence"]: r["count"] for r in scores.groupBy("confidence").count().collect()}
-    best = scores.select("cluster_id", "score", "confidence", "reviewable", "reasons").orderBy(F.desc("score"), "cluster_id").limit(top).collect()
-    return {"clusters": sum(tiers.values()), "tiers": tiers, "top": [r.asDict() for r in best]}
+def summary(scores: DataFrame, top: int = 20, clustered: DataFrame | None = None) -> dict:
+    """Counts, a histogram of tiers, and the highest clusters; given their rows, with actors and up to ten sources."""
+    rows = scores.groupBy("confidence", "reviewable").count().collect()
+    best = scores.select("cluster_id", "score", "confidence", "reviewable", "reasons").orderBy(F.desc("score"), "cluster_id").limit(top)
+    if clustered is not None:
+        own = clustered.join(F.broadcast(best.select("cluster_id")), "cluster_id")
+        seen = own.groupBy("cluster_id").agg(F.array_sort(F.collect_set("actor_raw")).alias("actors"), F.slice(F.array_sort(F.collect_set("provenance_url")), 1, 10).alias("provenance"))
+        best = best.join(seen, "cluster_id", "left")
+    ranked = sorted((r.asDict() for r in best.collect()), key=lambda r: (-r["score"], r["cluster_id"]))
+    tiers = {t: sum(r["count"] for r in rows if r["confidence"] == t) for t in ("high", "medium", "low")}
+    return {"clusters": sum(r["count"] for r in rows), "reviewable_clusters": sum(r["count"] for r in rows if r["reviewable"]), "confidence": tiers, "top_clusters": ranked}

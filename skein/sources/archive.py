@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
+from skein.scratch import written
 from skein.sources.observations import canonical
 
 # Event types by default, and limits of one event.
@@ -36,6 +37,8 @@ class Limits:
     max_text_chars: int = 20_000
     event_types: tuple[str, ...] = tuple(EVENT_TYPES)
     repositories: tuple[str, ...] = ()
+    #: Read so many lines at most (all if None).
+    max_lines: int | None = None
 
     @property
     def background(self) -> int:
@@ -160,11 +163,16 @@ def truncated(observations: DataFrame, limits: Limits) -> DataFrame:
 
 def read_archive(spark: SparkSession, path: str, limits: Limits = Limits()) -> tuple[DataFrame, dict[str, int]]:
     """Observations of an archive hour and its counters. A gzip stream that ends early is an error."""
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
-    decoded = prefilter(lines, limits).withColumn("e", F.from_json("value", EVENT, {"mode": "PERMISSIVE"})).drop("value")
+    lines = spark.read.text(path)
+    if limits.max_lines is not None:
+        lines = lines.filter(F.length("value") > 0).limit(limits.max_lines)
+    lines = lines.withColumn("line_no", F.monotonically_increasing_id())
+    # The lines that may matter are at rest before they are decoded, so that counts and quotas do not read all again.
+    chosen = written(prefilter(lines, limits), "lines")
+    decoded = chosen.withColumn("e", F.from_json("value", EVENT, {"mode": "PERMISSIVE"})).drop("value")
     rows = normalise(decoded.filter(F.col("e.type").isin(list(limits.event_types))), "gharchive-hourly")
     rows = rows.withColumn("candidate", X.has(F.col("text"), X.CANDIDATE)).filter("candidate OR sampled")
-    rows = within_quotas(rows, limits)
+    rows = within_quotas(written(rows, "events"), limits)
     read = lines.filter(F.length("value") > 0)
     size = F.octet_length("value") <= limits.max_event_bytes
     named = F.regexp_extract("value", TYPE_ON_LINE, 1)

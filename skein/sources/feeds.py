@@ -13,15 +13,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
+from skein.sources import archive
 from skein.sources.observations import METADATA, canonical
 
 MAX_TEXT = 20_000
 USER = "struct<login:string,type:string>"
-ROOT = f"id long, number long, title string, body string, created_at string, repository_url string, html_url string, state string, user {USER}, pull_request struct<url:string>"
+ROOT = f"id long, number long, title string, body string, created_at string, repository_url string, html_url string, state string, updated_at string, user {USER}, pull_request struct<url:string>"
 COMMENT = f"id long, body string, created_at string, html_url string, user {USER}, performed_via_github_app struct<slug:string>, in_reply_to_id long"
 POST = "id string, subreddit string, author string, created_utc string, title string, selftext string, score long, num_comments long"
 POST_COMMENT = "id string, subreddit string, author string, created_utc string, body string, link_id string, parent_id string, score long"
 HIT = "repo string, path string, snippet string"
+CODE_HIT = "sha string, path string, html_url string, repository struct<full_name:string,owner:struct<login:string>>"
 
 
 class Collector(Protocol):
@@ -46,6 +48,36 @@ def _raw(df: DataFrame, **given: Column) -> DataFrame:
     return df.select(*[c.alias(k) for k, c in columns.items()], struct.alias("metadata"), provenance.alias("provenance"))
 
 
+def issue_observations(items: DataFrame) -> DataFrame:
+    """Issues and pull requests of a search, without their conversations."""
+    text = F.array_join(F.filter(F.array("title", "body"), lambda x: F.coalesce(x, F.lit("")) != ""), "\n\n")
+    when = F.coalesce(F.to_timestamp(F.nullif("updated_at", F.lit(""))), F.to_timestamp("created_at"), F.current_timestamp())
+    kind = F.when(F.col("pull_request").isNotNull(), "pull_request").otherwise("issue")
+    return canonical(
+        _raw(
+            items, source=F.lit("github-search"), source_event_id=F.concat(F.lit("issue:"), "id"), event_time=when, actor=F.coalesce("user.login", F.lit("unknown")), event_type=kind, text=text,
+            repository=F.nullif(F.regexp_extract(F.coalesce("repository_url", F.lit("")), r"/repos/(.+)$", 1), F.lit("")), thread_id=F.col("number").cast("string"), url=F.coalesce("html_url", F.lit("")), method=F.lit("github-rest-search-issues"), metadata={"actor_type": F.col("user.type")},
+        )
+    )
+
+
+def code_observations(items: DataFrame) -> DataFrame:
+    """Files of a code search; the repository's owner counts as the actor."""
+    path, repo = F.coalesce("path", F.lit("")), F.col("repository.full_name")
+    none = F.array().cast("array<string>")
+    return canonical(
+        _raw(
+            items, source=F.lit("github-code-search"), source_event_id=F.concat(F.lit("code:"), F.coalesce("sha", F.lit("None")), F.lit(":"), path), event_time=F.current_timestamp(), actor=F.coalesce("repository.owner.login", F.lit("unknown")),
+            event_type=F.lit("code_search_hit"), text=F.concat(F.coalesce(repo, F.lit("None")), F.lit(":"), path), repository=repo, artifact_urls=none, code_blocks=none, url=F.coalesce("html_url", F.lit("")), method=F.lit("github-rest-search-code"), metadata={"sha": F.col("sha")},
+        )
+    )
+
+
+def event_observations(events: DataFrame) -> DataFrame:
+    """Public events as the service gives them."""
+    return canonical(archive.normalise(events.select(F.struct(*events.columns).alias("e")), "github-public-events"))
+
+
 def thread_observations(roots: DataFrame, comments: DataFrame, review_comments: DataFrame, comments_per_thread: int = 100) -> DataFrame:
     """Issues or pull requests with their comments and, for pull requests, review comments with native replies.
 
@@ -110,7 +142,7 @@ def forum_observations(posts: DataFrame, comments: DataFrame, query: str = "") -
 
 def snippet_observations(hits: DataFrame) -> DataFrame:
     """Code-search hits: the snippet's text is the one code block, and the repository's owner counts as the actor."""
-    content = X.snippet_text(F.coalesce("snippet", F.lit("")))
+    content = X.strip(X.unescape(F.regexp_replace(F.coalesce("snippet", F.lit("")), "<[^>]+>", "")))
     repo, path = F.coalesce("repo", F.lit("")), F.coalesce("path", F.lit(""))
     text = F.trim(F.concat(repo, F.lit(":"), path, F.lit("\n"), content))
     url = F.when((repo != "") & (path != ""), F.concat(F.lit("https://github.com/"), repo, F.lit("/blob/HEAD/"), path)).otherwise(F.lit("https://grep.app"))

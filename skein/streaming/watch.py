@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators import state
-from skein.plans.analyze import analyze
+from skein.operators.scoring import CalibrationProfile, cluster_facts
+from skein.plans.analyze import Analysis, analyze, bundles, summary
 from skein.scratch import written
 from skein.sources.observations import RAW, canonical
+from skein.store import Store
 
 
 def observation_stream(spark: SparkSession, path: str, late: str = "24 hours") -> DataFrame:
@@ -27,54 +29,36 @@ def observation_stream(spark: SparkSession, path: str, late: str = "24 hours") -
 class Monitor:
     """Stores what comes in, analyses the newest history, and raises at most one pending alert at a time."""
 
-    def __init__(self, store: str, control: state.Control, threshold: float = 0.75, minutes: int = 1440, history: int = 20_000, on_cycle: Callable[[dict], None] | None = None):
-        self.store, self.control, self.threshold, self.minutes, self.history, self.on_cycle = store, control, threshold, minutes, history, on_cycle
-
-    def stored(self, spark: SparkSession) -> DataFrame | None:
-        try:
-            rows = spark.read.parquet(self.store)
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return None
-            raise
-        # Batches are appended; the last write of a key counts.
-        latest = rows.groupBy("event_key").agg(F.max("batch").alias("batch"))
-        return rows.join(latest, ["event_key", "batch"])
+    def __init__(self, store: Store, threshold: float = 0.75, minutes: int = 1440, history: int = 20_000, on_cycle: Callable[[dict], None] | None = None, calibration: CalibrationProfile | None = None):
+        self.store, self.threshold, self.minutes, self.history, self.on_cycle, self.calibration = store, threshold, minutes, history, on_cycle, calibration
 
     def cycle(self, batch: DataFrame, batch_id: int) -> dict:
         """One micro-batch; while an alert is pending nothing is collected into new alerts."""
-        spark = batch.sparkSession
-        fresh = written(batch.dropDuplicates(["event_key"]).withColumn("batch", F.lit(batch_id).cast("long")), "batch")
+        fresh = written(batch.dropDuplicates(["event_key"]), "batch")
         # A batch that is run again replaces itself.
-        self._put(fresh)
-        waiting = self.control.pending()
+        self.store.observations.put(fresh, batch_id)
+        waiting = self.store.control.pending()
         if waiting:
             return self._told({"state": "paused", "alert": waiting["id"], "observations": fresh.count()})
-        held = state.newest(self.stored(spark), self.history).drop("batch")
-        done = analyze(held, self.threshold, self.minutes)
+        return self._told(self.judge(fresh))
+
+    def judge(self, fresh: DataFrame) -> dict:
+        """Analyses the newest history; the best reviewable cluster with evidence in ``fresh`` becomes an alert."""
+        control = self.store.control
+        held = written(self.store.newest(fresh.sparkSession, self.history), "history")
+        done = analyze(held, self.threshold, self.minutes, self.calibration)
         scores = written(done.scores, "scores")
-        candidates = state.with_new_evidence(scores.filter("reviewable"), done.clustered, fresh)
-        best = candidates.orderBy(F.desc("score"), "cluster_id").limit(1).collect()
+        best = state.with_new_evidence(scores.filter("reviewable"), done.clustered, fresh).orderBy(F.desc("score"), "cluster_id").limit(1)
         result = {"state": "watching", "observations": fresh.count(), "clusters": scores.count()}
-        if best:
-            row = best[0]
-            mark = state.alert_fingerprints(done.clustered.filter(F.col("cluster_id") == row["cluster_id"])).first()["fingerprint"]
-            summary = {"cluster_id": row["cluster_id"], "score": row["score"], "confidence": row["confidence"], "reasons": list(row["reasons"])}
-            result |= {"state": "paused", "alert": self.control.raise_alert(mark, row["cluster_id"], summary)}
-            if not self.control.pending():
-                result["state"] = "watching"
-        else:
-            result["watchlist"] = [(r["cluster_id"], r["score"]) for r in state.watchlist(scores).collect()]
-        return self._told(result)
-
-    def _put(self, fresh: DataFrame) -> None:
-        spark = fresh.sparkSession
-        old = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
-            fresh.write.mode("overwrite").partitionBy("batch").parquet(self.store)
-        finally:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+        row = next(iter(best.collect()), None)
+        if row is None:
+            return result | {"watchlist": [(r["cluster_id"], r["score"]) for r in state.watchlist(scores).collect()]}
+        one = done.clustered.filter(F.col("cluster_id") == row["cluster_id"])
+        mark = state.alert_fingerprints(one).first()["fingerprint"]
+        alert = control.raise_alert(mark, row["cluster_id"], summary(scores.filter(F.col("cluster_id") == row["cluster_id"]), 1, one)["top_clusters"][0])
+        chosen = Analysis(done.features, one, done.signals, scores.filter(F.col("cluster_id") == row["cluster_id"]))
+        self.store.keep_bundles(bundles(chosen, held), done.signals, cluster_facts(one))
+        return result | {"state": "paused" if control.pending() else "watching", "alert": alert}
 
     def _told(self, result: dict) -> dict:
         if self.on_cycle:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
@@ -44,7 +45,7 @@ def dice_brute(text):
 def test_license_scan_equals_brute_force(spark):
     mit = TEMPLATES["mit"]
     texts = [None, "", "word", "no licence here at all", "x\nLicensed under CC BY-NC 4.0.\ny", "Released under the MIT License", mit, mit.upper().replace("\n", "  "), "Copyright\n" + mit.replace("Software", "Work", 1), mit[: len(mit) // 2], "intro\n" + TEMPLATES["isc"].replace("\n", " ") + "\nRELEASED UNDER THE MIT LICENSE.", " ".join(TEMPLATES["apache-2.0-header"].split()[:-3]), "é " * 4000]
-    df = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)] + [(3, texts[3], "")], "doc_id long, text string, license_matches string").drop("license_matches")
+    df = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)] + [(3, texts[3], "")], "doc_id long, text string, License_Matches string")
     out = license_scan.scan(df)
     no_python(out)
     got = {r["doc_id"]: [(m["dice"], m["line"], m["license"]) for m in r["license_matches"]] for r in out.collect()}
@@ -107,6 +108,15 @@ def test_targets_are_met(spark):
     assert np.allclose(reached, [mixing.TARGETS[d] for d in mixing.DOMAINS], atol=1e-5)
     truth = np.array([0 if i % 10 < 7 else 1 if i % 10 < 9 else 2 for i in rows["doc_id"]])
     assert (p.argmax(axis=1) == truth).mean() > 0.9
+    assert rows["targets_met"].all() and (rows["target_gap"] < 1e-4).all()
+
+
+def test_targets_out_of_reach_are_said(spark):
+    """One kind of text alone cannot have three shares."""
+    docs = spark.createDataFrame([(i, "good1 good2 good3") for i in range(9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(9)], "doc_id long, quality int, toxic int")
+    rows = mixing.mix(docs, labels, {"good": 0.1, "low": 0.1, "toxic": 0.8}).collect()
+    assert not rows[0]["targets_met"] and rows[0]["target_gap"] > 0.1
 
 
 def test_rates_equal_a_plain_projected_gradient(spark):
@@ -114,7 +124,8 @@ def test_rates_equal_a_plain_projected_gradient(spark):
     docs, labels = labelled(120, seed=3)
     scored = mixing.with_posteriors(spark.createDataFrame(docs, "doc_id long, text string"), mixing.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))).cache()
     targets = {"good": 0.5, "low": 0.5, "toxic": 0.0}
-    steps = mixing.solve(scored, targets)
+    solution = mixing.solve(scored, targets)
+    steps = solution.steps
     rows = scored.withColumn("rate", mixing.rate_after(steps)).toPandas()
     p, t = rows[["_p0", "_p1", "_p2"]].to_numpy(), rows["_tokens"].to_numpy()
     r = np.ones(len(rows))
@@ -188,6 +199,71 @@ def test_shards_prune_on_several_dimensions(spark, tmp_path):
     assert back.count() == 4000 and back.select("shard").distinct().count() == 16
 
 
+def cells_of(df, dims, spark):
+    """The code of each dimension, from the curve's index."""
+    bits = 4
+    cell = np.argsort(sharding.hilbert_order(len(dims), bits))
+    at = np.array([r["hilbert"] for r in df.select("hilbert").collect()])
+    return [(cell[at] >> bits * (len(dims) - 1 - i)) & 15 for i in range(len(dims))]
+
+
+@pytest.mark.parametrize("kind", ["short", "long", "shared", "skewed", "outlier", "doubles"])
+def test_codes_have_near_equal_mass(spark, kind):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    values = {
+        "short": [word(4) for _ in range(1000)],
+        "long": ["https://www.example.com/en/" + word(20) for _ in range(1000)],
+        "shared": ["x" * (i % 40) + word(3) for i in range(1000)],
+        "skewed": [("same prefix " if rng.random() < 0.9 else "") + word(9) for _ in range(1000)],
+        "outlier": [*range(1000), 1 << 60],
+        "doubles": [rng.expovariate(1) ** 9 for _ in range(1000)] + [float("nan"), float("inf")],
+    }[kind]
+    df = spark.createDataFrame([(v,) for v in values], "a " + {str: "string", int: "long", float: "double"}[type(values[0])])
+    (codes,) = cells_of(sharding.hilbert_shards(df, ["a"], ["a"]), ["a"], spark)
+    assert sorted(set(codes)) == list(range(16)) and np.bincount(codes).max() <= 90
+
+
+def test_a_common_value_has_one_code_and_null_the_first(spark):
+    values = [None] * 30 + ["b"] * 500 + [f"c{k}" for k in range(400)] + ["a"] * 3
+    df = spark.createDataFrame([(v,) for v in values], "a string")
+    out = sharding.hilbert_shards(df, ["a"], ["a"])
+    (codes,) = cells_of(out, ["a"], spark)
+    by_value = {}
+    for r, code in zip(out.collect(), codes, strict=True):
+        by_value.setdefault(r["a"], set()).add(int(code))
+    assert all(len(x) == 1 for x in by_value.values()) and by_value[None] == {0} and len(set(codes)) >= 6
+    assert [min(by_value[v]) for v in sorted(x for x in by_value if x)] == sorted(min(by_value[v]) for v in by_value if v)
+
+
+def test_places_equal_brute_force(spark):
+    """Codes by counting sorted values, the curve's index of the cell, ranks by sorting, and shards by dividing them."""
+    rows = [(i, t, g, s, n) for i, t, g, s, n in shard_rows(700, seed=4) if g] + [(2, "same", "en", "src0", 1)] * 3
+    out = sharding.document_shards(spark.createDataFrame(rows, DOCS)).collect()
+    n = len(rows)
+
+    def quantile_cuts(values):
+        ordered = sorted(values)
+        return sorted({ordered[max(0, -(-k * n // 16) - 1)] for k in range(1, 16)} - {ordered[0]})
+
+    size = lambda t: len((t or "").encode()) + 16
+    weights, ids = [math.log2(size(r[1])) for r in rows], [r[0] for r in rows]
+    cuts = [sharding._cuts(spark.createDataFrame(rows, DOCS), [c], 4)[c] for c in ("lang", "source")] + [quantile_cuts(weights), quantile_cuts(ids)]
+    for cut, column in zip(cuts[:2], (2, 3), strict=True):  # strings: a value's rank is within a 256th, and itself, of its cut
+        values = sorted(r[column] for r in rows)
+        assert cut == sorted(set(cut)) and all(any(abs(values.index(c) - k * n / 16) <= n / 256 + values.count(c) + max(map(values.count, values)) for k in range(1, 16)) for c in cut)
+    order = sharding.hilbert_order(4, 4)
+    keyed = []
+    for r, w in zip(rows, weights, strict=True):
+        cell = 0
+        for cut, v in zip(cuts, (r[2], r[3], w, r[0]), strict=True):
+            cell = cell * 16 + sum(v >= c for c in cut)
+        keyed.append((int(order[cell]), r[0], zlib.crc32((r[1] or "").encode())))
+    keyed.sort()
+    want = sorted((i, c, rank * 40 // n, rank - -(-(rank * 40 // n) * n // 40)) for rank, (_, i, c) in enumerate(keyed))
+    assert sorted((r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in out) == want
+
+
 @pytest.mark.parametrize("n", [0, 1, 39, 41])
 def test_few_rows(spark, n):
     got = sharding.document_shards(spark.createDataFrame(shard_rows(n), DOCS)).collect()

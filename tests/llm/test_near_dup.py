@@ -57,9 +57,11 @@ def varied(seed=3, groups=12, copies=9):
     return rows
 
 
-@pytest.mark.parametrize("block", [near_dup.BUCKET_BLOCK, 3])
-def test_components_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "hub", "few"), [(near_dup.BUCKET_BLOCK, near_dup.HUB, near_dup.BROADCAST_HUBS), (3, 2, 10**6), (3, 2, 0)])
+def test_components_equal_brute_force(spark, monkeypatch, block, hub, few):
     monkeypatch.setattr(near_dup, "BUCKET_BLOCK", block)
+    monkeypatch.setattr(near_dup, "HUB", hub)
+    monkeypatch.setattr(near_dup, "BROADCAST_HUBS", few)
     rows = varied()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
     assert got == brute(rows)
@@ -92,6 +94,30 @@ def test_stage_keeps_one_row_of_each_group_and_all_columns(spark):
     assert sorted((r["doc_id"] or -1, r["_word"], r["kept"]) for r in out) == [(-1, "n", 4), (1, "x", 1), (3, "x", 3), (4, "x", 5)]
 
 
+def test_blocks_let_every_two_members_of_different_components_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BUCKET_BLOCK", 4)
+    parts = {"one": [30], "large": [30, 25, 9], "mixed": [30, 3, 2, 1, 1, 1, 1, 9], "small": [1] * 11, "two": [1, 1]}
+    rows = [(b, 1000 * i + 100 * k + j, 1000 * i + 100 * k) for i, (b, sizes) in enumerate(parts.items()) for k, n in enumerate(sizes) for j in range(n)]
+    met = {}
+    for r in near_dup._blocks(spark.createDataFrame(rows, "band string, v long, c long")).collect():
+        met.setdefault((r["band"], r["block_a"], r["block_b"]), []).append((r["side"], r["v"], r["c"]))
+    pairs = []
+    for (band, a, b), members in met.items():
+        assert len(members) < 60
+        pairs += [(band, *sorted((x[1], y[1]))) for i, x in enumerate(members) for y in members[i + 1 :] if x[2] != y[2] and (a == b or x[0] != y[0])]
+    want = [(b, *sorted((v, w))) for i, (b, v, c) in enumerate(rows) for b2, w, d in rows[i + 1 :] if b == b2 and c != d]
+    assert sorted(pairs) == sorted(want)
+    # Blocks of one component do not meet.
+    assert all(len({c for _, _, c in members}) > 1 for (band, *_), members in met.items() if band == "large")
+
+
+def test_rows_that_share_an_id_leave_the_least(spark):
+    rows = [(1, "b b", "x"), (1, "a z", "y"), (1, "a z", "k"), (1, None, "n"), (2, "q", "x"), (2, "p", "x")]
+    for data in (rows, rows[::-1]):
+        out = near_dup.drop_near_duplicates(spark.createDataFrame(data, "doc_id long, text string, V string").repartition(3)).collect()
+        assert sorted(map(tuple, out)) == [(1, None, "n"), (2, "p", "x")]
+
+
 @pytest.mark.parametrize("bits", [near_dup.FILTER_BITS, 64])
 def test_stage_keeps_rows_without_id_when_the_filter_is_full(spark, monkeypatch, bits):
     monkeypatch.setattr(near_dup, "FILTER_BITS", bits)
