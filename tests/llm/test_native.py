@@ -199,11 +199,11 @@ def test_shards_prune_on_several_dimensions(spark, tmp_path):
     assert back.count() == 4000 and back.select("shard").distinct().count() == 16
 
 
-def cells_of(df, dims, spark):
+def cells_of(rows, dims):
     """The code of each dimension, from the curve's index."""
     bits = 4
     cell = np.argsort(sharding.hilbert_order(len(dims), bits))
-    at = np.array([r["hilbert"] for r in df.select("hilbert").collect()])
+    at = np.array([r["hilbert"] for r in rows])
     return [(cell[at] >> bits * (len(dims) - 1 - i)) & 15 for i in range(len(dims))]
 
 
@@ -220,17 +220,17 @@ def test_codes_have_near_equal_mass(spark, kind):
         "doubles": [rng.expovariate(1) ** 9 for _ in range(1000)] + [float("nan"), float("inf")],
     }[kind]
     df = spark.createDataFrame([(v,) for v in values], "a " + {str: "string", int: "long", float: "double"}[type(values[0])])
-    (codes,) = cells_of(sharding.hilbert_shards(df, ["a"], ["a"]), ["a"], spark)
+    (codes,) = cells_of(sharding.hilbert_shards(df, ["a"], ["a"]).collect(), ["a"])
     assert sorted(set(codes)) == list(range(16)) and np.bincount(codes).max() <= 90
 
 
 def test_a_common_value_has_one_code_and_null_the_first(spark):
     values = [None] * 30 + ["b"] * 500 + [f"c{k}" for k in range(400)] + ["a"] * 3
     df = spark.createDataFrame([(v,) for v in values], "a string")
-    out = sharding.hilbert_shards(df, ["a"], ["a"])
-    (codes,) = cells_of(out, ["a"], spark)
+    out = sharding.hilbert_shards(df, ["a"], ["a"]).collect()
+    (codes,) = cells_of(out, ["a"])
     by_value = {}
-    for r, code in zip(out.collect(), codes, strict=True):
+    for r, code in zip(out, codes, strict=True):
         by_value.setdefault(r["a"], set()).add(int(code))
     assert all(len(x) == 1 for x in by_value.values()) and by_value[None] == {0} and len(set(codes)) >= 6
     assert [min(by_value[v]) for v in sorted(x for x in by_value if x)] == sorted(min(by_value[v]) for v in by_value if v)
