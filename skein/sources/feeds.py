@@ -18,7 +18,8 @@ from skein.sources.observations import METADATA, canonical
 
 MAX_TEXT = 20_000
 USER = "struct<login:string,type:string>"
-ROOT = f"id long, number long, title string, body string, created_at string, repository_url string, html_url string, state string, updated_at string, user {USER}, pull_request struct<url:string>"
+ROOT = f"id long, number long, title string, body string, created_at string, repository_url string, html_url string, state string, user {USER}, pull_request struct<url:string>"
+ISSUE = f"{ROOT}, updated_at string"
 COMMENT = f"id long, body string, created_at string, html_url string, user {USER}, performed_via_github_app struct<slug:string>, in_reply_to_id long"
 POST = "id string, subreddit string, author string, created_utc string, title string, selftext string, score long, num_comments long"
 POST_COMMENT = "id string, subreddit string, author string, created_utc string, body string, link_id string, parent_id string, score long"

@@ -119,7 +119,7 @@ class Source:
 
 class Issues(Source):
     def collect(self, spark: SparkSession) -> DataFrame:
-        return feeds.issue_observations(payloads(spark, self.search("issues", self.limit), feeds.ROOT))
+        return feeds.issue_observations(payloads(spark, self.search("issues", self.limit), feeds.ISSUE))
 
 
 class Code(Source):
