@@ -34,8 +34,8 @@ from skein.llm.memory import released
 from skein.llm.words import Words, blocks, text_buffers
 from skein.scratch import written
 
-#: Tokens of a piece and of its warm-up on either side, and how far messages may be apart where pieces meet.
-PIECE, WARM, CLOSE = 512, 48, 1e-4
+#: Tokens of a piece, of its warm-up on either side and between checks; how far messages may be apart where pieces meet.
+PIECE, WARM, CHECK, CLOSE = 512, 48, 16, 1e-4
 #: Tokens a partition counts before it sends them on; tokens of a block in training and in scoring.
 COUNT_BLOCK, TRAIN_BLOCK, SCORE_BLOCK = 1 << 21, 1 << 19, 1 << 22
 #: Expected counts travel in this many parts, so that as many tasks add them up. A pass has at most PASS_TASKS tasks (and
@@ -224,13 +224,15 @@ def log_likelihoods(chain: Chain, sequences: list[np.ndarray]) -> np.ndarray:
     """log10 of each sequence's probability: the forward recursion, scaled at every step."""
     ragged = Ragged(sequences)
     total = np.zeros(len(sequences))
-    ahead = None
-    for t in range(len(ragged.active)):
-        seen = chain.emit[ragged.symbols(t)]
-        ahead = chain.start * seen if t == 0 else (ahead[: ragged.active[t]] @ chain.move) * seen
-        scale = ahead.sum(axis=1)
-        ahead /= scale[:, None]
-        total[: ragged.active[t]] += np.log10(scale)
+    emit, move = np.ascontiguousarray(chain.emit.T), np.ascontiguousarray(chain.move.T)
+    ahead = np.tile(chain.start[:, None], (1, len(sequences)))
+    for t, n in enumerate(ragged.active):
+        seen = emit.take(ragged.symbols(t), axis=1)
+        seen *= ahead[:, :n]
+        scale = seen.sum(axis=0)
+        seen /= scale
+        total[:n] += np.log10(scale)
+        ahead = move @ seen
     out = np.empty(len(sequences))
     out[ragged.order] = total
     return out
@@ -248,104 +250,127 @@ class Expected:
 
 
 def expected_counts(chain: Chain, sequences: list[np.ndarray]) -> Expected:
-    """The expectation step over whole sequences, whose pieces are run side by side."""
+    """The expectation step over whole sequences, whose pieces are run side by side.
+
+    Tables are (states, tokens), the tokens of one step of all pieces together and the longest pieces first, so that a step
+    works on one stretch of every table.
+    """
     size = np.array([len(s) for s in sequences])
     data = np.concatenate(sequences).astype(np.intp)
     begin = np.cumsum(size) - size
-    start, move, emit = (x.astype(np.float32) for x in (chain.start, chain.move, chain.emit))
-    back_move, states = np.ascontiguousarray(move.T), len(start)
+    start, move, emit = chain.start.astype(np.float32), chain.move.astype(np.float32), np.ascontiguousarray(chain.emit.T, np.float32)
+    ahead_move, states = np.ascontiguousarray(move.T), len(start)
     pieces = -(-size // PIECE)
     of = np.repeat(np.arange(len(size)), pieces)
     at = begin[of] + (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
-    to = np.minimum(at + PIECE, (begin + size)[of])
-    later, earlier = np.flatnonzero(at > begin[of]), np.flatnonzero(to < (begin + size)[of])
-
-    def forward(places: np.ndarray, lengths: np.ndarray, predicted: np.ndarray, keep: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
-        """Filtered states at the last tokens of runs of tokens, from predicted states at their first."""
-        order = np.argsort(-lengths, kind="stable")
-        places, lengths, predicted = places[order], lengths[order], predicted[order]
-        active = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
-        last = np.empty_like(predicted)
-        for t, n in enumerate(active):
-            now = places[:n] + t
-            ahead = emit[data[now]]
-            ahead *= predicted[:n]
-            scale = ahead.sum(axis=1)
-            ahead /= scale[:, None]
-            if keep:
-                keep[0][now], keep[1][now] = ahead, scale
-            n_next = active[t + 1] if t + 1 < len(active) else 0
-            last[n_next:n] = ahead[n_next:]
-            predicted = ahead[:n_next] @ move
-        out = np.empty_like(last)
-        out[order] = last
-        return out
+    length = np.minimum(at + PIECE, (begin + size)[of]) - at
+    order = np.argsort(-length, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    steps = int(length.max())
+    active = np.searchsorted(-length[order], -np.arange(steps), "left")
+    first = np.concatenate([[0], np.cumsum(active)])
+    later = np.flatnonzero(at > begin[of])
+    symbol, sorted_at = np.empty(len(data), np.intp), at[order]
+    for t, n in enumerate(active):
+        symbol[first[t] : first[t + 1]] = data[sorted_at[:n] + t]
+    seen_as = emit.take(symbol, axis=1)
+    filtered, scales, behind = np.empty_like(seen_as), np.empty(len(data), np.float32), np.empty_like(seen_as)
+
+    def forward(predicted: np.ndarray, ranks: np.ndarray | None = None) -> None:
+        """Filters all pieces, or some (ascending ranks) until their states are again those that are there."""
+        for t in range(steps):
+            n = int(active[t] if ranks is None else np.searchsorted(ranks, active[t]))
+            if not n:
+                break
+            now = slice(first[t], first[t] + n) if ranks is None else first[t] + ranks[:n]
+            ahead = seen_as[:, now] * predicted[:, :n]
+            scale = ahead.sum(axis=0)
+            ahead /= scale
+            moved = None
+            if ranks is not None and t % CHECK == CHECK - 1:
+                moved = np.abs(ahead - filtered[:, now]).max(axis=0) > CLOSE
+            filtered[:, now], scales[now] = ahead, scale
+            if moved is not None:
+                ranks, ahead = ranks[:n][moved], ahead[:, moved]
+            predicted = ahead_move @ ahead
+
+    def backward(after: np.ndarray, ranks: np.ndarray | None = None) -> None:
+        """What follows each token says of its states, from what is known behind the pieces; as in ``forward``."""
+        known = after[:, :0]
+        for t in range(steps - 1, -1, -1):
+            n = int(active[t] if ranks is None else np.searchsorted(ranks, active[t]))
+            if not n:
+                continue
+            now = slice(first[t], first[t] + n) if ranks is None else first[t] + ranks[:n]
+            if n > known.shape[1]:
+                known = np.concatenate([known, after[:, known.shape[1] : n]], axis=1)
+            moved = None
+            if ranks is not None and t % CHECK == 0:
+                moved = (np.abs(known - behind[:, now]) > CLOSE * np.maximum(1, np.abs(known))).any(axis=0)
+            behind[:, now] = known
+            if moved is not None:
+                stay = np.concatenate([moved, np.ones(len(ranks) - n, bool)])
+                ranks, after, known, now = ranks[stay], after[:, stay], known[:, moved], now[moved]
+            into = seen_as[:, now] * known
+            into /= scales[now]
+            known = move @ into
+
+    predicted = np.tile(start[:, None], (1, len(at)))
+    if len(later):
+        warm = np.full((states, len(later)), 1 / states, np.float32)
+        for t in range(WARM):
+            warm *= emit.take(data[at[later] - WARM + t], axis=1)
+            warm /= warm.sum(axis=0)
+            warm = ahead_move @ warm
+        predicted[:, rank[later]] = warm
+    forward(predicted)
+    before, opening = first[PIECE - 1] + rank[later - 1] if len(later) else later, rank[later]
+    while len(later):
+        carried = ahead_move @ filtered[:, before]
+        off = np.abs(carried - predicted[:, opening]).max(axis=0) > CLOSE
+        if not off.any():
+            break
+        predicted[:, opening[off]] = carried[:, off]
+        again = np.sort(opening[off])
+        forward(predicted[:, again], again)
 
-    def backward(ends: np.ndarray, lengths: np.ndarray, behind: np.ndarray, scales: np.ndarray, keep: np.ndarray | None) -> np.ndarray:
-        """What the tokens after say of the first token's states in runs of tokens that end before ``ends``."""
-        order = np.argsort(-lengths, kind="stable")
-        ends, lengths, behind = ends[order], lengths[order], behind[order]
-        active = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
-        first = np.empty_like(behind)
-        for t, n in enumerate(active):
-            now = ends[:n] - 1 - t
-            if keep is not None:
-                keep[now] = behind[:n]
-            n_next = active[t + 1] if t + 1 < len(active) else 0
-            first[n_next:n] = behind[n_next:n]
-            into = emit[data[now[:n_next]]]
-            into *= behind[:n_next]
-            into /= scales[now[:n_next], None]
-            behind = into @ back_move
-        out = np.empty_like(first)
-        out[order] = first
-        return out
+    def passed(known: np.ndarray) -> np.ndarray:
+        """From what is known at the openings of later pieces to what is known behind the pieces before them, such that the
+        products with their states add up to 1."""
+        known = move @ (seen_as[:, opening] * known / scales[opening])
+        return known / (known * filtered[:, before]).sum(axis=0)
 
-    filtered, scales = np.empty((len(data), states), np.float32), np.empty(len(data), np.float32)
-    predicted = np.tile(start, (len(at), 1))
+    after = np.ones((states, len(at)), np.float32)
     if len(later):
-        warm = forward(at[later] - WARM, np.full(len(later), WARM), np.full((len(later), states), 1 / states, np.float32), None)
-        predicted[later] = warm @ move
-    todo = np.arange(len(at))
-    while len(todo):
-        forward(at[todo], (to - at)[todo], predicted[todo], (filtered, scales))
-        carried = filtered[at[later] - 1] @ move
-        off = np.abs(carried - predicted[later]).max(axis=1, initial=0) > CLOSE
-        todo = later[off]
-        predicted[todo] = carried[off]
-    behind, after = np.empty_like(filtered), np.ones((len(at), states), np.float32)
-
-    def passed(nexts: np.ndarray, of_next: np.ndarray) -> np.ndarray:
-        """What is known behind the tokens before ``nexts``, such that their states' products add up to 1."""
-        known = (emit[data[nexts]] * of_next / scales[nexts, None]) @ back_move
-        return known / (known * filtered[nexts - 1]).sum(axis=1, keepdims=True)
-
-    if len(earlier):
-        reach = np.minimum(to[earlier] + WARM, (begin + size)[of[earlier]])
-        warm = backward(reach, reach - to[earlier], np.ones((len(earlier), states), np.float32), scales, None)
-        after[earlier] = passed(to[earlier], warm)
-    todo = np.arange(len(at))
-    while len(todo):
-        backward(to[todo], (to - at)[todo], after[todo], scales, behind)
-        carried = passed(to[earlier], behind[to[earlier]])
-        off = np.abs(carried - after[earlier]).max(axis=1, initial=0) > CLOSE * np.maximum(1, np.abs(carried)).max(axis=1, initial=1)
-        todo = earlier[off]
-        after[todo] = carried[off]
-    into = emit[data]
-    into *= behind
-    into /= scales[:, None]
-    gamma = filtered * behind
-    inner = np.ones(len(data), bool)
-    inner[begin] = False
-    inner = np.flatnonzero(inner)
+        reach, known = np.minimum(WARM, length[later]), np.ones((states, len(later)), np.float32)
+        for t in range(int(reach.max()) - 1, 0, -1):
+            own = np.flatnonzero(reach > t)
+            now = first[t] + opening[own]
+            known[:, own] = move @ (seen_as[:, now] * known[:, own] / scales[now])
+        after[:, rank[later - 1]] = passed(known)
+    backward(after)
+    while len(later):
+        carried, had = passed(behind[:, opening]), after[:, rank[later - 1]]
+        off = (np.abs(carried - had) > CLOSE * np.maximum(1, np.abs(carried))).any(axis=0)
+        if not off.any():
+            break
+        again = rank[later - 1][off]
+        after[:, again] = carried[:, off]
+        again = np.sort(again)
+        backward(after[:, again], again)
+    seen_as *= behind
+    seen_as /= scales
     moves = np.zeros((states, states))
-    for cut in range(0, len(inner), 1 << 16):  # single precision adds up few terms
-        some = inner[cut : cut + (1 << 16)]
-        moves += filtered[some - 1].T @ into[some]
-    order = np.argsort(data.astype(np.uint16), kind="stable")
-    seen, first = np.unique(data[order], return_index=True)
-    emissions = np.add.reduceat(gamma[order], first, axis=0, dtype=np.float64)
-    return Expected(gamma[begin].sum(axis=0, dtype=np.float64), moves * chain.move, seen, emissions, float(np.log10(scales).sum(dtype=np.float64)))
+    for t in range(1, steps):
+        moves += filtered[:, first[t - 1] : first[t - 1] + active[t]] @ seen_as[:, first[t] : first[t + 1]].T
+    if len(later):
+        moves += filtered[:, before] @ seen_as[:, opening].T
+    behind *= filtered
+    seen = np.flatnonzero(np.bincount(symbol))
+    emissions = np.stack([np.bincount(symbol, of_state)[seen] for of_state in behind], axis=1)
+    starts = behind[:, rank[np.flatnonzero(at == begin[of])]].sum(axis=1, dtype=np.float64)
+    return Expected(starts, moves * chain.move, seen, emissions, float(np.log10(scales).sum(dtype=np.float64)))
 
 
 def renewed(starts: np.ndarray, moves: np.ndarray, emissions: np.ndarray, frequency: np.ndarray, prior: float) -> Chain:
