@@ -216,7 +216,7 @@ units AS (
 sized AS (SELECT doc_id, line, {bigrams} AS b FROM units),
 scored AS (
   SELECT s.doc_id, s.line, t.license, 2.0::DOUBLE * len(list_intersect(s.b, t.b)) / (len(s.b) + len(t.b)) AS dice
-  FROM sized s JOIN templates t ON len(s.b) > 0 AND len(t.b) >= len(s.b) * {LEAST / (2 - LEAST)} AND len(s.b) >= len(t.b) * {LEAST / (2 - LEAST)}),
+  FROM sized s JOIN templates t ON len(s.b) > 0),
 best AS (SELECT * FROM scored WHERE dice >= {LEAST} QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, license) = 1),
 docs AS (
   SELECT doc_id, list(license ORDER BY dice DESC, line, license) AS l, list(dice ORDER BY dice DESC, line, license) AS d,
