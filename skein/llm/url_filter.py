@@ -25,6 +25,9 @@ from skein.scratch import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Listed keys that are sent to all executors to be taken out of the universe; more of them are joined.
+BROADCAST_KEYS = 100_000
+
 # The production rules (host, path prefix, verdict).
 RULES = [
     ("com", "/en/", "block"),
@@ -94,9 +97,10 @@ def build(spark: SparkSession, listed: list[str], universe: DataFrame, most_leve
     """``universe``: distinct keys in column ``key``, at rest, so that it can be read for every other level."""
     if not listed:
         return Cascade(())
-    wanted = spark.createDataFrame([(k,) for k in sorted(set(listed))], "key string")
-    others = universe.join(F.broadcast(wanted), "key", "left_anti")
-    n_wanted, n_others = len(set(listed)), others.count()
+    n_wanted = len(set(listed))
+    wanted = spark.range(1).select(F.explode(F.lit(sorted(set(listed)))).alias("key"))
+    others = universe.join(F.broadcast(wanted) if n_wanted <= BROADCAST_KEYS else wanted, "key", "left_anti")
+    n_others = others.count()
     rate, salt = min(0.5, n_wanted / max(n_others, 1) / math.sqrt(2)), 0
     while True:
         first = encode(wanted, n_wanted, rate, salt)
