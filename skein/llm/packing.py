@@ -3,7 +3,8 @@
 Every document is tokenised, closed with an end id, and cut into pieces whose lengths are the powers of two of its
 length: as many full windows as fit, then one piece for every set bit of the rest, the longest first. Each piece is a
 sequence of its own, filed under its length, so no sequence crosses documents and none needs padding. The job is one
-pass over the table without a shuffle; its memory is bounded by a block of text and a bounded cache of word ids.
+pass over the table without a shuffle; its memory is bounded by a block of text and a bounded cache of word ids. A tokenizer
+that splits text in another way than the cache of words needs encodes each text as a whole.
 
 Cases: a null text counts as empty, and an empty text is its end id alone, one piece of length 1. A null id is kept.
 Repeated rows are packed once each. Other columns are not carried. An empty table gives an empty result.
@@ -11,7 +12,9 @@ Repeated rows are packed once each. Other columns are not carried. An empty tabl
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from array import array
 from collections.abc import Iterator
 from functools import partial
@@ -28,6 +31,8 @@ from skein.llm.words import blocks, text_buffers
 CACHED_WORD_BYTES, CACHED_WORDS = 48, 300_000
 #: ASCII marks that end a word in running text; after a letter they always make a token of their own.
 MARKS = b".,!?;:%&*$#"
+# Fixed value: how the vocabularies that ``WordEncoder`` reads split a text.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
 
@@ -99,7 +104,41 @@ class WordEncoder:
         return out
 
 
-_encoders: dict[int, WordEncoder] = {}
+class PlainEncoder:
+    """Ids of a text by any tokenizer, each text as a whole."""
+
+    def __init__(self, spec: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_str(spec)
+
+    def forget(self) -> None:
+        """Nothing is remembered."""
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.whole.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+
+def by_words(spec: str) -> bool:
+    """Whether a tokenizer normalises and splits as ``WordEncoder`` takes for granted."""
+    given = json.loads(spec)
+    normalizer, splitter = given.get("normalizer") or {}, given.get("pre_tokenizer") or {}
+    steps, parts = normalizer.get("normalizers", []), splitter.get("pretokenizers", [])
+    if [x["type"] for x in steps] != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in parts] != ["Split", "ByteLevel"]:
+        return False
+    spaces = steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+    words = parts[0]["pattern"] == {"Regex": WORD_PATTERN} and parts[0]["behavior"] == "Removed" and parts[0]["invert"]
+    bytewise = not parts[1]["add_prefix_space"] and not parts[1]["use_regex"]
+    special = all(x["content"].startswith("<|") and not x["lstrip"] and not x["rstrip"] and not x["single_word"] and not re.search(r"\s", x["content"]) for x in given.get("added_tokens", []))
+    return spaces and words and bytewise and special and given.get("truncation") is None and given.get("padding") is None
+
+
+def encoder_of(spec: str) -> WordEncoder | PlainEncoder:
+    return WordEncoder(spec) if by_words(spec) else PlainEncoder(spec)
+
+
+_encoders: dict[int, WordEncoder | PlainEncoder] = {}
 
 
 def cuts(n: int, window: int) -> list[tuple[int, int]]:
@@ -116,7 +155,7 @@ def cuts(n: int, window: int) -> list[tuple[int, int]]:
 
 def _pieces(batches: Iterator[pa.RecordBatch], spec, end: bytes, window: int) -> Iterator[pa.RecordBatch]:
     text = spec.value
-    encoder = _encoders.get(hash(text)) or _encoders.setdefault(hash(text), WordEncoder(text))
+    encoder = _encoders.get(hash(text)) or _encoders.setdefault(hash(text), encoder_of(text))
     try:
         yield from _packed(batches, encoder, end, window)
     finally:
@@ -124,7 +163,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], spec, end: bytes, window: int) ->
         release()
 
 
-def _packed(batches: Iterator[pa.RecordBatch], encoder: WordEncoder, end: bytes, window: int) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch], encoder: WordEncoder | PlainEncoder, end: bytes, window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         offs, raw = text_buffers(batch.column(1))
         for at, to in blocks(offs, 1 << 20):

@@ -49,6 +49,17 @@ def test_round_trip(spark, tokenizer):
     assert all(r["ids_crc32"] == zlib.crc32(p["ids"]) for r, p in zip(packing.digest(packing.pack(docs, PATH)).orderBy("doc_id", "start").collect(), rows))
 
 
+def test_other_tokenizers_encode_whole_texts(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other = Tokenizer.from_file(path)
+    assert packing.by_words(open(PATH).read()) and not packing.by_words(open(path).read())
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    ids = {}
+    for r in packing.pack(docs, path).orderBy("doc_id", "start").collect():
+        ids.setdefault(r["doc_id"], []).extend(np.frombuffer(r["ids"], "<u4").tolist())
+    assert ids == {i: expected(other, t) for i, t in enumerate(TEXTS)}
+
+
 def test_cuts_cover_every_length():
     for n in [*range(1, 300), 4095, 4096, 4097, 20001]:
         pieces = packing.cuts(n, 4096)
