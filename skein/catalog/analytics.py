@@ -36,13 +36,19 @@ def idle_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey", "c_name")
 
 
+def calm_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers without an urgent order."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
+    return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey", "c_name")
+
+
 def regional_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, n, s = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
     joined = s.join(F.broadcast(n), s["s_nationkey"] == n["n_nationkey"]).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey"))
     return joined.groupBy("r_name", "n_name").agg(F.count("*").alias("suppliers"), F.round(F.sum("s_acctbal"), 2).alias("balance"))
 
 
-QUERIES = {"pricing_summary": pricing_summary, "market_revenue": market_revenue, "top_orders": top_orders, "idle_customers": idle_customers, "regional_supply": regional_supply}
+QUERIES = {"pricing_summary": pricing_summary, "market_revenue": market_revenue, "top_orders": top_orders, "idle_customers": idle_customers, "calm_customers": calm_customers, "regional_supply": regional_supply}
 ORACLES = {
     "pricing_summary": """SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS sum_qty,
       round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_net, round(avg(l_discount), 6) AS avg_disc
@@ -52,6 +58,7 @@ ORACLES = {
     "top_orders": """SELECT o_custkey, o_orderkey, o_totalprice, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rank
       FROM orders QUALIFY rank <= 3""",
     "idle_customers": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "calm_customers": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')",
     "regional_supply": """SELECT r_name, n_name, count(*) AS suppliers, round(sum(s_acctbal), 2) AS balance
       FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2""",
 }

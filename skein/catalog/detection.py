@@ -254,7 +254,7 @@ ORACLES = {
       SELECT 'authored' AS relation, count(*) AS n, CAST(count(*) AS BIGINT) AS weight FROM c UNION ALL SELECT 'in_repository', count(*), count(*) FROM c
       UNION ALL SELECT 'reply_to', count(*), count(*) FROM c WHERE parent_key IN (SELECT event_key FROM c c2) UNION ALL SELECT 'responded_to', count(*), CAST(sum(w) AS BIGINT) FROM r UNION ALL SELECT 'contains', count(*), count(*) FROM (SELECT DISTINCT event_key, kind, value FROM uses)"""),
     "score": with_obs(
-        """WITH s AS (SELECT 's' || CAST(floor(ingest_ord / 12) AS BIGINT) AS cluster_id, ['artifact', 'semantic', 'temporal', 'protocol', 'behavior', 'benign', 'identity'][ingest_ord % 7 + 1] AS family, (ingest_ord * 37 % 100) / 100.0 AS score, ingest_ord AS o, ingest_ord % 5 = 0 AS exc FROM obs WHERE ingest_ord % 3 = 0),
+        """WITH s AS (SELECT 's' || CAST(floor(ingest_ord / 12) AS BIGINT) AS cluster_id, ['artifact', 'semantic', 'temporal', 'protocol', 'behavior', 'benign', 'identity'][ingest_ord % 7 + 1] AS family, (ingest_ord * 37 % 100) / 100.0 AS score, ingest_ord AS o, ingest_ord % 5 = 0 AS exc FROM obs),
       b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY cluster_id, family ORDER BY score DESC, o) = 1),
       e AS (SELECT *, score * CASE family WHEN 'artifact' THEN 0.95 WHEN 'semantic' THEN 1.0 WHEN 'temporal' THEN 0.65 WHEN 'protocol' THEN 0.9 WHEN 'behavior' THEN 0.9 WHEN 'identity' THEN 1.0 END AS eff FROM b WHERE score >= 0.35 AND family <> 'benign'),
       f AS (SELECT *, CASE WHEN family = 'temporal' AND EXISTS (SELECT 1 FROM e e2 WHERE e2.cluster_id = e.cluster_id AND e2.family = 'artifact') THEN 'artifact' ELSE family END AS comp FROM e),

@@ -70,7 +70,7 @@ QUERIES = {
     "watchlist": watchlist,
 }
 ORACLES = {
-    "upsert_latest": """WITH e AS (SELECT 'u' || user_id AS key, event_id, value, CASE WHEN event_id % 2 = 1 THEN 1 ELSE 0 END AS new FROM events WHERE event_id % 2 = 0 OR user_id % 3 = 0)
+    "upsert_latest": """WITH e AS (SELECT 'u' || user_id AS key, event_id, value, CASE WHEN event_id % 2 = 1 THEN 1 ELSE 0 END AS new FROM events)
       SELECT key, event_id, round(value, 6) AS value FROM e QUALIFY row_number() OVER (PARTITION BY key ORDER BY new DESC, event_id DESC) = 1""",
     "fingerprint_claim": """WITH f AS (SELECT sha256(user_id || ':' || (event_id % 3)) AS fingerprint, event_id FROM events UNION ALL SELECT sha256(CAST(user_id AS VARCHAR)), event_id FROM events)
       SELECT fingerprint, min(event_id) AS first_seen FROM f WHERE fingerprint NOT IN (SELECT sha256(CAST(user_id AS VARCHAR)) FROM events WHERE event_id % 10 = 0) GROUP BY 1""",
@@ -79,7 +79,7 @@ ORACLES = {
     "ledger_rollup": with_obs("""WITH s AS (SELECT cluster_id, count(*) % 10 / 10.0 AS score FROM obs GROUP BY 1), m AS (SELECT DISTINCT repository, cluster_id FROM obs)
       , best AS (SELECT repository, max(score) AS max_score FROM m JOIN s USING (cluster_id) GROUP BY 1), own AS (SELECT repository, count(*) AS observations, max(us) AS last_us FROM obs GROUP BY 1)
       SELECT repository, observations, last_us, CAST(max_score AS DOUBLE) AS max_score, CASE WHEN max_score >= 0.7 THEN 'high_confidence' ELSE 'no_high_confidence' END AS status FROM own JOIN best USING (repository)"""),
-    "alert_reviews": "SELECT d.doc_id AS id, source, lang, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id % 7 = 0",
+    "alert_reviews": "SELECT d.doc_id AS id, source, lang, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "health": """SELECT 'observations' AS name, count(*) AS rows, epoch_us(min(ts)) AS oldest_us, epoch_us(max(ts)) AS newest_us FROM events
       UNION ALL SELECT 'documents', count(*), NULL, NULL FROM documents UNION ALL SELECT 'labels', count(*), NULL, NULL FROM labels""",
     "alert_fingerprints": with_obs("SELECT cluster_id, sha256(string_agg(provenance_url, chr(10) ORDER BY provenance_url)) AS fingerprint FROM obs GROUP BY 1"),
