@@ -141,7 +141,7 @@ def demo_observations(spark: SparkSession) -> DataFrame:
         when = (start + timedelta(seconds=after)).isoformat()
         row = {"source": "demo", "source_event_id": str(i), "observed_at": when, "event_time": when, "actor": actor, "event_type": kind, "text": text, "repository": "demo/pair", "thread_id": "1", "reply_to": reply, "code_blocks": blocks}
         rows.append(row | {"provenance": {"url": f"https://example.invalid/{i}"}})
-    return canonical(fetch.payloads(spark, rows, RAW.simpleString().removeprefix("struct<").removesuffix(">")).withColumn("ingest_ord", F.monotonically_increasing_id()))
+    return canonical(fetch.payloads(spark, rows, RAW).withColumn("ingest_ord", F.monotonically_increasing_id()))
 
 
 def _exported(a: Analysis, observations: DataFrame) -> DataFrame:

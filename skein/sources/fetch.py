@@ -18,6 +18,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from skein.sources import archive, feeds
 
@@ -99,7 +100,7 @@ def paged(fetch: Callable[[int, int], list], limit: int, start: int = 1, size: i
     return out, False
 
 
-def payloads(spark: SparkSession, items: list[dict], schema: str) -> DataFrame:
+def payloads(spark: SparkSession, items: list[dict], schema: str | StructType) -> DataFrame:
     rows = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(items)], "n long, raw string")
     return rows.orderBy("n").select(F.from_json("raw", schema).alias("p")).select("p.*")
 
