@@ -25,7 +25,8 @@ def _detector(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         c = written(clustered(spark, sf_dir, _CLUSTERS.get(name, "cluster_id"), _CLOCKS.get(name, "us")), "clustered")
         found = detectors.REGISTRY[name](c)
-        return found.select("cluster_id", "family", "name", F.round("score", 6).alias("score"), F.size("observation_ids").alias("ids"))
+        keys = F.sha2(F.array_join("observation_ids", "\n"), 256)
+        return found.select("cluster_id", "family", "name", F.round("score", 6).alias("score"), F.size("observation_ids").alias("ids"), keys.alias("keys"), F.array_join("depends_on", ",").alias("depends"), "longitudinal", "cross_resource", "exceptional", "verified_native")
 
     return query
 
@@ -107,13 +108,20 @@ QUERIES = {f"detect_{name}": _detector(name) for name in detectors.REGISTRY} | {
 }
 _DAY = "'d' || CAST(floor(th / 48.0) AS BIGINT)"
 _WEEK = "'w' || CAST(floor(th / 336.0) AS BIGINT)"
-_OUT = "SELECT cluster_id, '{family}' AS family, '{name}' AS name, round(CAST({score} AS DOUBLE), 6) AS score, CAST({ids} AS INTEGER) AS ids FROM {rel}"
+_OUT = "SELECT cluster_id, '{family}' AS family, '{name}' AS name, round(CAST({score} AS DOUBLE), 6) AS score, CAST({ids} AS INTEGER) AS ids, {more} FROM {rel}"
+
+
+def _more(keys: str, depends: str = "''", longitudinal: str = "false", cross_resource: str = "false", exceptional: str = "false", verified_native: str = "0") -> str:
+    """The digest of the observations' keys (a list in the signal's order) and what scoring reads of a signal."""
+    return f"sha256(array_to_string({keys}, chr(10))) AS keys, {depends} AS depends, {longitudinal} AS longitudinal, {cross_resource} AS cross_resource, {exceptional} AS exceptional, CAST({verified_native} AS INTEGER) AS verified_native"
+
+
 _C = "c AS (SELECT * EXCLUDE (cluster_id, us), {by} AS cluster_id, {us} AS us, actor_type IS NOT NULL OR regexp_matches(actor, '(?i)(?:\\[bot\\]$|(?:^|[-_])(?:bot|ci)(?:$|[-_])|(?:automation|renovate|dependabot))') AS is_bot, lower(actor) AS raw FROM obs)"
 
 
-def _sql(by: str, ctes: str, family: str, name: str, score: str, ids: str, rel: str, us: str = "us") -> str:
+def _sql(by: str, ctes: str, family: str, name: str, score: str, ids: str, rel: str, us: str = "us", keys: str = "kl", **flags: str) -> str:
     middle = f", {ctes}" if ctes else ""
-    return with_obs(f"WITH {_C.format(by=by, us=us)}{middle} {_OUT.format(family=family, name=name, score=score, ids=ids, rel=rel)}")
+    return with_obs(f"WITH {_C.format(by=by, us=us)}{middle} {_OUT.format(family=family, name=name, score=score, ids=ids, rel=rel, more=_more(keys, **flags))}")
 
 
 _PROTOCOL = " + ".join(
@@ -137,7 +145,7 @@ _ACTS = """acts AS (SELECT *, text LIKE 'Please run%' AS delegation, text LIKE '
 _LINES = """up AS (SELECT cluster_id, event_key AS start, parent_key AS top, 1 AS depth FROM c WHERE parent_key IN (SELECT event_key FROM c c2)
   UNION ALL SELECT u.cluster_id, u.start, c.parent_key, u.depth + 1 FROM up u JOIN c ON c.event_key = u.top AND c.cluster_id = u.cluster_id WHERE u.depth < 16 AND c.parent_key IN (SELECT event_key FROM c c2))"""
 ORACLES = {
-    "detect_protocol": _sql("cluster_id", f"h AS (SELECT *, {_PROTOCOL} AS n FROM c)", "protocol", "protocol_markers", "least(1.0, 0.15 + 0.14 * n)", "1", "h WHERE n > 0"),
+    "detect_protocol": _sql("cluster_id", f"h AS (SELECT *, {_PROTOCOL} AS n FROM c)", "protocol", "protocol_markers", "least(1.0, 0.15 + 0.14 * n)", "1", "h WHERE n > 0", keys="[event_key]"),
     "detect_exchange": with_obs(
         f"""WITH {_C.format(by="cluster_id", us="us")}, {_ACTS}, {_LINES},
       pairs AS (SELECT r.cluster_id, l.event_key AS lk, r.event_key AS rk, l.us AS lus, r.us AS rus, r.raw AS rraw, l.ref AS ref, r.result AS is_result,
@@ -146,34 +154,34 @@ ORACLES = {
       paths AS (SELECT * FROM pairs WHERE native OR shared),
       acked AS (SELECT p.*, (SELECT min(struct_pack(us := a.us, o := a.ingest_ord, k := a.event_key)) FROM acts a WHERE a.cluster_id = p.cluster_id AND a.ack AND a.raw = p.rraw AND a.us > p.lus AND a.us < p.rus AND a.event_key NOT IN (p.lk, p.rk)
           AND CASE WHEN p.native THEN EXISTS (SELECT 1 FROM up WHERE up.start = a.event_key AND up.top = p.lk) ELSE a.ref = p.ref END) AS ack FROM paths p),
-      keys AS (SELECT cluster_id, count(DISTINCT k) AS ids FROM (SELECT cluster_id, lk AS k FROM acked UNION ALL SELECT cluster_id, rk FROM acked UNION ALL SELECT cluster_id, ack.k FROM acked WHERE ack IS NOT NULL) GROUP BY 1),
-      per AS (SELECT cluster_id, count(*) AS n, count(ack) AS acks, bool_or(NOT is_result) AS resumed FROM acked GROUP BY 1)
+      keys AS (SELECT cluster_id, count(DISTINCT k) AS ids, list_sort(list(DISTINCT k)) AS kl FROM (SELECT cluster_id, lk AS k FROM acked UNION ALL SELECT cluster_id, rk FROM acked UNION ALL SELECT cluster_id, ack.k FROM acked WHERE ack IS NOT NULL) GROUP BY 1),
+      per AS (SELECT cluster_id, count(*) AS n, count(ack) AS acks, bool_or(NOT is_result) AS resumed, bool_or(NOT native) AS by_ref, count(*) FILTER (native AND (ack IS NOT NULL OR NOT is_result)) AS nat FROM acked GROUP BY 1)
       SELECT cluster_id, 'semantic' AS family, 'linked_coordination_exchange' AS name,
-        round(CAST(least(0.98, CASE WHEN acks > 0 THEN 0.94 WHEN resumed THEN 0.90 ELSE 0.78 END + 0.02 * (n - 1)) AS DOUBLE), 6) AS score, CAST(ids AS INTEGER) AS ids FROM per JOIN keys USING (cluster_id)"""
+        round(CAST(least(0.98, CASE WHEN acks > 0 THEN 0.94 WHEN resumed THEN 0.90 ELSE 0.78 END + 0.02 * (n - 1)) AS DOUBLE), 6) AS score, CAST(ids AS INTEGER) AS ids, {_more('kl', depends="CASE WHEN by_ref THEN 'artifact' ELSE '' END", verified_native='nat')} FROM per JOIN keys USING (cluster_id)"""
     ),
     "detect_artifact_reuse": _sql(
         _DAY,
         f"""{_ARTIFACTS}, u AS (SELECT cluster_id, kind, value, count(DISTINCT actor_key) AS actors, least(0.95, CASE WHEN kind LIKE 'marker:%' THEN 0.82 ELSE 0.56 END + 0.08 * (count(DISTINCT context) - 1)) AS strength, list(event_key) AS keys FROM uses GROUP BY 1, 2, 3 HAVING count(DISTINCT actor_key) >= 2),
       n AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY kind, value) AS i FROM u),
-      k AS (SELECT cluster_id, count(DISTINCT e) AS ids FROM (SELECT cluster_id, unnest(keys) AS e FROM n WHERE i <= 20) GROUP BY 1),
+      k AS (SELECT cluster_id, count(DISTINCT e) AS ids, list_sort(list(DISTINCT e)) AS kl FROM (SELECT cluster_id, unnest(keys) AS e FROM n WHERE i <= 20) GROUP BY 1),
       per AS (SELECT cluster_id, max(strength) AS s, max(actors) AS a, count(*) AS m FROM n GROUP BY 1)""",
         "artifact", "cross_actor_typed_artifact_reuse", "least(0.98, s + 0.04 * (a - 2) + 0.03 * (m - 1))", "ids", "per JOIN k USING (cluster_id)",
     ),
     "detect_identity_markers": _sql(
         _DAY,
-        "u AS (SELECT cluster_id, event_key, actor_key, coalesce(conversation_key, resource_key, event_key) AS context, regexp_extract(text, '(?i)fingerprint\\s*[:=]\\s*([A-Za-z0-9:_-]{8,})', 1) AS m FROM c WHERE text LIKE 'fingerprint:%'), g AS (SELECT cluster_id, m FROM u WHERE m <> '' GROUP BY 1, 2 HAVING count(DISTINCT actor_key) >= 2 AND count(DISTINCT context) >= 2), per AS (SELECT cluster_id, count(DISTINCT m) AS n, count(DISTINCT event_key) AS ids FROM u JOIN g USING (cluster_id, m) GROUP BY 1)",
+        "u AS (SELECT cluster_id, event_key, actor_key, coalesce(conversation_key, resource_key, event_key) AS context, regexp_extract(text, '(?i)fingerprint\\s*[:=]\\s*([A-Za-z0-9:_-]{8,})', 1) AS m FROM c WHERE text LIKE 'fingerprint:%'), g AS (SELECT cluster_id, m FROM u WHERE m <> '' GROUP BY 1, 2 HAVING count(DISTINCT actor_key) >= 2 AND count(DISTINCT context) >= 2), per AS (SELECT cluster_id, count(DISTINCT m) AS n, count(DISTINCT event_key) AS ids, list_sort(list(DISTINCT event_key)) AS kl FROM u JOIN g USING (cluster_id, m) GROUP BY 1)",
         "identity", "shared_identity_marker", "least(1.0, 0.65 + 0.08 * n)", "ids", "per",
     ),
     "detect_handoffs": _sql(
         "cluster_id",
         f"""{_ARTIFACTS}, o AS (SELECT *, lag(event_key) OVER w AS pk, lag(raw) OVER w AS praw, us - lag(us) OVER w AS gap FROM c WINDOW w AS (PARTITION BY cluster_id ORDER BY us, ingest_ord)),
       s AS (SELECT o.*, o.raw <> praw AND (coalesce(parent_key = pk, false) OR EXISTS (SELECT 1 FROM uses x JOIN uses y ON x.kind = y.kind AND x.value = y.value WHERE x.event_key = o.event_key AND y.event_key = o.pk)) AS linked FROM o),
-      per AS (SELECT cluster_id, count(*) AS n, count(DISTINCT raw) AS a, count(*) FILTER (linked) AS ch, median(gap / 1000000.0) FILTER (linked) AS med FROM s GROUP BY 1)""",
-        "temporal", "rapid_cross_actor_handoffs", "least(1.0, 0.65 * CASE WHEN med <= 10 THEN 1.0 WHEN med <= 60 THEN 0.85 WHEN med <= 300 THEN 0.6 ELSE 0.25 END + 0.35 * ch / (n - 1))", "n", "per WHERE n >= 4 AND a >= 2 AND ch > 0",
+      per AS (SELECT cluster_id, count(*) AS n, count(DISTINCT raw) AS a, count(*) FILTER (linked) AS ch, median(gap / 1000000.0) FILTER (linked) AS med, list(event_key ORDER BY us, ingest_ord) AS kl, bool_or(linked AND NOT coalesce(parent_key = pk, false)) AS by_art FROM s GROUP BY 1)""",
+        "temporal", "rapid_cross_actor_handoffs", "least(1.0, 0.65 * CASE WHEN med <= 10 THEN 1.0 WHEN med <= 60 THEN 0.85 WHEN med <= 300 THEN 0.6 ELSE 0.25 END + 0.35 * ch / (n - 1))", "n", "per WHERE n >= 4 AND a >= 2 AND ch > 0", depends="CASE WHEN by_art THEN 'artifact' ELSE '' END",
     ),
     "detect_periodicity": _sql(
         _DAY,
-        "o AS (SELECT *, (us - lag(us) OVER (PARTITION BY cluster_id ORDER BY us, ingest_ord)) / 1000000.0 AS gap FROM c), m AS (SELECT cluster_id, count(*) AS n, count(*) FILTER (gap > 0) AS k, median(gap) FILTER (gap > 0) AS med FROM o GROUP BY 1), per AS (SELECT cluster_id, n, k, count(*) FILTER (gap > 0 AND abs(gap - med) / med <= 0.1) / k AS f FROM o JOIN m USING (cluster_id) WHERE n >= 6 AND k >= 5 GROUP BY cluster_id, n, k)",
+        "o AS (SELECT *, (us - lag(us) OVER (PARTITION BY cluster_id ORDER BY us, ingest_ord)) / 1000000.0 AS gap FROM c), m AS (SELECT cluster_id, count(*) AS n, count(*) FILTER (gap > 0) AS k, median(gap) FILTER (gap > 0) AS med FROM o GROUP BY 1), per AS (SELECT cluster_id, n, k, count(*) FILTER (gap > 0 AND abs(gap - med) / med <= 0.1) / k AS f, list(event_key ORDER BY us, ingest_ord) AS kl FROM o JOIN m USING (cluster_id) WHERE n >= 6 AND k >= 5 GROUP BY cluster_id, n, k)",
         "temporal", "periodic_activity", "least(0.85, 0.35 + f * 0.5)", "n", "per WHERE f >= 0.6", _MINUTES,
     ),
     "detect_benign": _sql(
@@ -181,7 +189,7 @@ ORACLES = {
         r"""t AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://\S+', '<url>', 'g'), '\b[0-9a-f]{7,64}\b', '<hash>', 'g'), '\b\d+(?:\.\d+)*\b', '<number>', 'g'), '\s+', ' ', 'g')) AS tpl,
         regexp_matches(text, '(?i)\b(?:bump|update)\s+(?:dependency|dependencies|lockfile)\b') OR regexp_matches(text, '(?i)\b(?:generated by|auto[- ]generated|do not edit)\b') OR regexp_matches(text, '(?i)\b(?:release notes?|changelog)\b.*\bv?\d+\.\d+\.\d+\b') AS routine FROM c),
       r AS (SELECT cluster_id, sum(k) AS rep FROM (SELECT cluster_id, tpl, count(*) AS k FROM t WHERE is_bot GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY 1),
-      per AS (SELECT t.cluster_id, count(*) AS n, count(*) FILTER (is_bot) AS b, count(*) FILTER (is_bot AND routine) AS k, coalesce(any_value(rep), 0) AS rep FROM t LEFT JOIN r USING (cluster_id) GROUP BY 1),
+      per AS (SELECT t.cluster_id, count(*) AS n, count(*) FILTER (is_bot) AS b, count(*) FILTER (is_bot AND routine) AS k, coalesce(any_value(rep), 0) AS rep, list(event_key ORDER BY us, ingest_ord) AS kl FROM t LEFT JOIN r USING (cluster_id) GROUP BY 1),
       fin AS (SELECT *, least(1.0, 0.15 * b / n + 0.75 * k / n + 0.10 * rep / n) AS s FROM per WHERE k > 0)""",
         "benign", "routine_automation_fingerprint", "s", "n", "fin WHERE s >= 0.2",
     ),
@@ -190,51 +198,51 @@ ORACLES = {
         """p AS (SELECT *, unnest(regexp_extract_all(text, '[A-Za-z0-9+/]{28,}')) AS v FROM c WHERE text LIKE 'session-%'),
       ch AS (SELECT event_key, x, count(*) AS k FROM (SELECT event_key, unnest(string_split(v, '')) AS x FROM p) GROUP BY 1, 2), e AS (SELECT event_key, -sum(k / 64 * log2(k / 64)) / 5.2 AS q FROM ch GROUP BY 1 HAVING count(*) >= 14),
       h AS (SELECT p.*, actor_key <> lag(actor_key) OVER w AS changed, us - lag(us) OVER w <= 60000000 AS fast FROM p JOIN e USING (event_key) WHERE q >= 0.72 WINDOW w AS (PARTITION BY cluster_id ORDER BY us, ingest_ord)),
-      per AS (SELECT cluster_id, count(*) AS n, count(DISTINCT actor_key) AS a, avg(changed::INT) AS alt, avg(fast::INT) AS f FROM h GROUP BY 1)""",
-        "artifact", "opaque_cross_actor_exchange", "least(0.99, 0.68 + 0.20 * alt + 0.12 * f)", "n", "per WHERE n >= 6 AND a >= 2 AND alt >= 0.6 AND f >= 0.25", _FAST,
+      per AS (SELECT cluster_id, count(*) AS n, count(DISTINCT actor_key) AS a, avg(changed::INT) AS alt, avg(fast::INT) AS f, list(event_key ORDER BY us, ingest_ord) AS kl FROM h GROUP BY 1)""",
+        "artifact", "opaque_cross_actor_exchange", "least(0.99, 0.68 + 0.20 * alt + 0.12 * f)", "n", "per WHERE n >= 6 AND a >= 2 AND alt >= 0.6 AND f >= 0.25", _FAST, exceptional="true",
     ),
     "detect_shared_credential": _sql(
         _WEEK,
-        "u AS (SELECT *, lower(regexp_extract(text, 'session-[A-Za-z0-9]+')) AS v FROM c WHERE text LIKE 'session-%'), g AS (SELECT cluster_id, v FROM u GROUP BY 1, 2 HAVING count(DISTINCT actor_key) >= 2 AND count(DISTINCT resource_key) >= 2), per AS (SELECT cluster_id, count(DISTINCT actor_key) AS a, count(DISTINCT event_key) AS n FROM u JOIN g USING (cluster_id, v) GROUP BY 1)",
-        "identity", "shared_credential_across_identities", "least(0.99, 0.88 + 0.02 * (a - 2))", "n", "per",
+        "u AS (SELECT *, lower(regexp_extract(text, 'session-[A-Za-z0-9]+')) AS v FROM c WHERE text LIKE 'session-%'), g AS (SELECT cluster_id, v FROM u GROUP BY 1, 2 HAVING count(DISTINCT actor_key) >= 2 AND count(DISTINCT resource_key) >= 2), per AS (SELECT cluster_id, count(DISTINCT actor_key) AS a, count(DISTINCT event_key) AS n, list_sort(list(DISTINCT event_key)) AS kl FROM u JOIN g USING (cluster_id, v) GROUP BY 1)",
+        "identity", "shared_credential_across_identities", "least(0.99, 0.88 + 0.02 * (a - 2))", "n", "per", exceptional="true",
     ),
     "detect_round_the_clock": _sql(
         _WEEK,
         """w AS (SELECT *, array_to_string(regexp_extract_all(lower(text), '[A-Za-z0-9]+'), ' ') AS words FROM c WHERE NOT is_bot),
       t AS (SELECT cluster_id, actor_key, max(k) AS top FROM (SELECT cluster_id, actor_key, words, count(*) AS k FROM w WHERE words <> '' GROUP BY 1, 2, 3) GROUP BY 1, 2),
-      a AS (SELECT cluster_id, actor_key, count(*) AS n, (max(us) - min(us)) / 3600000000.0 AS span, count(DISTINCT (us // 3600000000) % 24 // 4) AS bins, count(DISTINCT resource_key) AS res FROM w GROUP BY 1, 2),
+      a AS (SELECT cluster_id, actor_key, count(*) AS n, (max(us) - min(us)) / 3600000000.0 AS span, count(DISTINCT (us // 3600000000) % 24 // 4) AS bins, count(DISTINCT resource_key) AS res, list(event_key ORDER BY us, ingest_ord) AS kl FROM w GROUP BY 1, 2),
       per AS (SELECT *, coalesce(top, 0) / n AS rep FROM a LEFT JOIN t USING (cluster_id, actor_key) WHERE n >= 10 AND span >= 36 AND bins >= 5)""",
-        "behavior", "round_the_clock_objective_persistence", "least(0.96, 0.48 + 0.16 * least(1.0, span / 72) + 0.16 * (bins / 6) + 0.12 * least(1.0, res / 3) + 0.08 * rep)", "n", "per WHERE res >= 2 OR rep >= 0.45",
+        "behavior", "round_the_clock_objective_persistence", "least(0.96, 0.48 + 0.16 * least(1.0, span / 72) + 0.16 * (bins / 6) + 0.12 * least(1.0, res / 3) + 0.08 * rep)", "n", "per WHERE res >= 2 OR rep >= 0.45", longitudinal="true", cross_resource="res >= 2", exceptional="res >= 3 AND rep >= 0.8",
     ),
     "detect_shift_coverage": _sql(
         _WEEK,
         """a AS (SELECT cluster_id, actor_key FROM c WHERE NOT is_bot GROUP BY 1, 2 HAVING count(*) >= 8 AND max(us) - min(us) >= 129600000000 AND count(DISTINCT (us // 3600000000) % 24 // 4) >= 4),
-      per AS (SELECT cluster_id, count(DISTINCT actor_key) AS k, count(*) AS n FROM c JOIN a USING (cluster_id, actor_key) WHERE NOT is_bot GROUP BY 1)""",
-        "behavior", "multi_actor_continuous_shift_coverage", "least(0.98, 0.88 + 0.02 * k)", "n", "per WHERE k >= 2",
+      per AS (SELECT cluster_id, count(DISTINCT actor_key) AS k, count(*) AS n, count(DISTINCT resource_key) AS res, list(event_key ORDER BY actor_key, us, ingest_ord) AS kl FROM c JOIN a USING (cluster_id, actor_key) WHERE NOT is_bot GROUP BY 1)""",
+        "behavior", "multi_actor_continuous_shift_coverage", "least(0.98, 0.88 + 0.02 * k)", "n", "per WHERE k >= 2", longitudinal="true", cross_resource="res >= 2", exceptional="true",
     ),
     "detect_style_reuse": _sql(
         _DAY,
         """w AS (SELECT *, array_to_string(regexp_extract_all(lower(text), '[A-Za-z0-9]+'), ' ') AS words FROM c WHERE text LIKE '# %'), g AS (SELECT cluster_id, words FROM w WHERE length(words) >= 18 GROUP BY 1, 2 HAVING count(*) >= 4 AND count(DISTINCT actor_key) >= 2),
-      per AS (SELECT cluster_id, count(*) AS n FROM w JOIN g USING (cluster_id, words) GROUP BY 1)""",
+      per AS (SELECT cluster_id, count(*) AS n, list_sort(list(DISTINCT event_key)) AS kl FROM w JOIN g USING (cluster_id, words) GROUP BY 1)""",
         "semantic", "cross_actor_structural_style_reuse", "least(0.88, 0.62 + 0.03 * n)", "n", "per",
     ),
     "detect_commit_intervals": _sql(
         _DAY,
         """p AS (SELECT * FROM c WHERE event_type = 'PushEvent' AND cluster_id IN (SELECT cluster_id FROM c c2 WHERE event_type = 'PushEvent' GROUP BY 1 HAVING count(*) >= 5)),
       g AS (SELECT *, lag(event_key) OVER w AS pk, us - lag(us) OVER w AS gap FROM p WINDOW w AS (PARTITION BY cluster_id, actor_key ORDER BY us, ingest_ord)), x AS (SELECT *, gap > 0 AND gap % 60000000 = 0 AND gap <= 21600000000 AS exact FROM g),
-      per AS (SELECT cluster_id, count(*) FILTER (exact) AS e, count(*) FILTER (gap > 0) AS k, len(list_distinct(flatten(list([event_key, pk]) FILTER (exact)))) AS n FROM x GROUP BY 1)""",
+      per AS (SELECT cluster_id, count(*) FILTER (exact) AS e, count(*) FILTER (gap > 0) AS k, list_sort(list_distinct(flatten(list([event_key, pk]) FILTER (exact)))) AS kl, len(kl) AS n FROM x GROUP BY 1)""",
         "commit", "machine_exact_commit_intervals", "least(0.90, 0.55 + 0.35 * e / greatest(1, k))", "n", "per WHERE e >= 4 AND e / greatest(1, k) >= 0.75", _MINUTES,
     ),
     "detect_commit_templates": _sql(
         _DAY,
-        """p AS (SELECT *, regexp_replace(lower(commit_message), '\\b(?:[0-9a-f]{7,40}|\\d+(?:\\.\\d+)*)\\b', '<var>', 'g') AS t FROM c WHERE event_type = 'PushEvent'), q AS (SELECT cluster_id, count(*) AS k, sum(CASE WHEN commit_message IS NOT NULL THEN 1 ELSE 0 END) AS n FROM p GROUP BY 1),
-      d AS (SELECT cluster_id, max(k) AS top FROM (SELECT cluster_id, t, count(*) AS k FROM p GROUP BY 1, 2) GROUP BY 1), per AS (SELECT cluster_id, k, n, top / n AS dom FROM q JOIN d USING (cluster_id))""",
+        """p AS (SELECT *, regexp_replace(lower(commit_message), '\\b(?:[0-9a-f]{7,40}|\\d+(?:\\.\\d+)*)\\b', '<var>', 'g') AS t FROM c WHERE event_type = 'PushEvent'), q AS (SELECT cluster_id, count(*) AS k, sum(CASE WHEN commit_message IS NOT NULL THEN 1 ELSE 0 END) AS n, list(event_key ORDER BY us, ingest_ord) AS kl FROM p GROUP BY 1),
+      d AS (SELECT cluster_id, max(k) AS top FROM (SELECT cluster_id, t, count(*) AS k FROM p GROUP BY 1, 2) GROUP BY 1), per AS (SELECT cluster_id, k, n, kl, top / n AS dom FROM q JOIN d USING (cluster_id))""",
         "commit", "uniform_commit_message_template", "least(0.88, 0.52 + 0.40 * dom)", "k", "per WHERE k >= 5 AND n >= 8 AND dom >= 0.7",
     ),
     "detect_commit_domains": _sql(
         _DAY,
         """p AS (SELECT * FROM c WHERE event_type = 'PushEvent' AND cluster_id IN (SELECT cluster_id FROM c c2 WHERE event_type = 'PushEvent' GROUP BY 1 HAVING count(*) >= 5)),
-      g AS (SELECT cluster_id, email_domain, count(DISTINCT actor_key) AS a, count(*) AS n FROM p WHERE email_domain LIKE '%noreply%' GROUP BY 1, 2 HAVING count(DISTINCT actor_key) >= 3), per AS (SELECT cluster_id, max(a) AS a, sum(n) AS n FROM g GROUP BY 1)""",
+      g AS (SELECT cluster_id, email_domain, count(DISTINCT actor_key) AS a, count(*) AS n, list(event_key) AS ks FROM p WHERE email_domain LIKE '%noreply%' GROUP BY 1, 2 HAVING count(DISTINCT actor_key) >= 3), per AS (SELECT cluster_id, max(a) AS a, sum(n) AS n, list_sort(list_distinct(flatten(list(ks)))) AS kl FROM g GROUP BY 1)""",
         "commit", "shared_generated_author_domain", "least(0.86, 0.62 + 0.05 * a)", "n", "per",
     ),
     "detect_topology": with_obs(f"""WITH {_C.format(by=_DAY, us="us")}, e AS (SELECT a.cluster_id, p.actor_key AS s, a.actor_key AS d, count(*) AS w FROM c a JOIN c p ON a.parent_key = p.event_key AND a.cluster_id = p.cluster_id AND a.actor_key <> p.actor_key GROUP BY 1, 2, 3),
@@ -246,8 +254,8 @@ ORACLES = {
       u AS (SELECT * FROM t WHERE sc >= 0.25),
       l AS (SELECT cluster_id, s, count(*) AS k, sum(w) AS w, min(first) AS first FROM e JOIN (SELECT cluster_id, actor_key AS s, min(ingest_ord) AS first FROM c GROUP BY 1, 2) USING (cluster_id, s) WHERE w >= 2 GROUP BY 1, 2 HAVING count(*) >= 3),
       b AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY k DESC, first) = 1)
-      SELECT cluster_id, 'graph' AS family, 'coordination_topology' AS name, round(CAST(sc AS DOUBLE), 6) AS score, 0 AS ids FROM u
-      UNION ALL SELECT b.cluster_id, 'graph', 'repeated_leader_worker_aggregation', round(CAST(least(0.94, 0.68 + 0.04 * k + 0.015 * w) AS DOUBLE), 6), 0 FROM b JOIN u USING (cluster_id)"""),
+      SELECT cluster_id, 'graph' AS family, 'coordination_topology' AS name, round(CAST(sc AS DOUBLE), 6) AS score, 0 AS ids, {_more('[]::VARCHAR[]')} FROM u
+      UNION ALL SELECT b.cluster_id, 'graph', 'repeated_leader_worker_aggregation', round(CAST(least(0.94, 0.68 + 0.04 * k + 0.015 * w) AS DOUBLE), 6), 0, {_more('[]::VARCHAR[]')} FROM b JOIN u USING (cluster_id)"""),
     "isolated_acts": with_obs(f"WITH {_C.format(by='cluster_id', us='us')}, {_ACTS} SELECT cluster_id, event_key, round(CAST(0.18 + 0.05 AS DOUBLE), 6) AS score FROM acts WHERE delegation OR ack OR result OR state_out OR state_in"),
     "reply_edges": with_obs(f"WITH {_C.format(by=_DAY, us='us')} SELECT a.cluster_id, p.actor_key AS src, a.actor_key AS dst, count(*) AS weight FROM c a JOIN c p ON a.parent_key = p.event_key AND a.cluster_id = p.cluster_id AND a.actor_key <> p.actor_key GROUP BY 1, 2, 3"),
     "graph_edges": with_obs(f"""WITH {_C.format(by="cluster_id", us="us")}, {_ARTIFACTS}, r AS (SELECT p.actor_key AS s, a.actor_key AS d, count(*) AS w FROM c a JOIN c p ON a.parent_key = p.event_key AND a.actor_key <> p.actor_key GROUP BY 1, 2)
