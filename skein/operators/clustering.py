@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.components import connected
+from skein.operators.ordered import counted, latest, previous
 from skein.scratch import written
 
 MAX_LINKED_BUCKETS = 50
@@ -78,14 +79,14 @@ def linked_buckets(features: DataFrame) -> DataFrame:
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, us, ...) sorted by key and time to the index of their anchored window; the state is one row's."""
-    key = start = None
+    """Rows (key, segment, us, ...) sorted by these to the index of their anchored window in the segment; the state is one row's."""
+    own = start = None
     index = 0
     for batch in batches:
         out = []
-        for now, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if now != key:
-                key, start, index = now, at, 0
+        for key, segment, at in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+            if (key, segment) != own:
+                own, start, index = (key, segment), at, 0
             elif at - start > window:
                 start, index = at, index + 1
             out.append(index)
@@ -94,11 +95,25 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 
 def anchored_windows(rows: DataFrame, key: str, minutes: int = 60) -> DataFrame:
     """``rows`` (with us and ingest_ord) and their ``window``: a row opens a new one if it lies more than ``minutes`` after
-    the row that opened the last (inclusive bound). Rows stream in order through a task; nothing is gathered."""
+    the row that opened the last (inclusive bound).
+
+    A row that lies so far after the row before it opens a window in any case: there a key is cut into segments, each of
+    which streams in order through a task, and the windows of earlier segments are counted in. Nothing is gathered.
+    """
+    size = minutes * 60_000_000
+    order = ["us", "ingest_ord"]
     narrow = rows.select(F.col(key).alias("key"), "us", "ingest_ord", "event_key")
-    dealt = narrow.repartition("key").sortWithinPartitions("key", "us", "ingest_ord")
-    schema = narrow.schema.simpleString()[len("struct<") : -1]
-    return dealt.mapInArrow(lambda b: _windows(b, minutes * 60_000_000), f"{schema},window:int".replace(":", " "))
+    apart = F.col("prev").isNull() | (F.col("us") - F.col("prev.us") > size)
+    marked = previous(narrow, ["key"], order, ["us"]).withColumn("segment", F.when(apart, F.col("us"))).drop("prev")
+    cut = latest(marked, ["key"], order, "segment").select("key", "segment", *order, "event_key")
+    dealt = cut.repartition("key", "segment").sortWithinPartitions("key", "segment", *order)
+    schema = cut.schema.simpleString()[len("struct<") : -1]
+    found = written(dealt.mapInArrow(lambda b: _windows(b, size), f"{schema},window:int".replace(":", " ")), "windows")
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1))
+    counts = found.groupBy("key", "segment").agg((F.max("window") + 1).alias("n"))
+    counts = counts.select(F.col("key").alias("_key"), F.col("segment").alias("_segment"), F.coalesce(before, F.lit(0)).cast("int").alias("_before"))
+    out = found.join(counts, F.col("key").eqNullSafe(F.col("_key")) & (F.col("segment") == F.col("_segment")))
+    return out.select("key", *order, "event_key", (F.col("window") + F.col("_before")).alias("window"))
 
 
 def window_clusters(features: DataFrame, minutes: int = 60) -> DataFrame:
@@ -114,9 +129,10 @@ def window_clusters(features: DataFrame, minutes: int = 60) -> DataFrame:
 
 def sessions(rows: DataFrame, by: list[str], hours: int = 2) -> DataFrame:
     """``rows`` with ``session`` (from 0): a new one starts after a gap of more than ``hours``."""
-    w = Window.partitionBy(*by).orderBy("us", "ingest_ord")
-    gap = (F.col("us") - F.lag("us").over(w) > hours * MICROS_PER_HOUR).cast("int")
-    return rows.withColumn("_new", F.coalesce(gap, F.lit(0))).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_new")
+    order = ["us", "ingest_ord"]
+    gap = F.coalesce((F.col("us") - F.col("prev.us") > hours * MICROS_PER_HOUR).cast("int"), F.lit(0))
+    opened = previous(rows, by, order, ["us"]).withColumn("session", gap).drop("prev")
+    return counted(opened, by, order, "session")
 
 
 def _none_counts(c: str) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
+from skein.operators.ordered import previous
 from skein.scratch import written
 
 MAX_REFERENCE_OCCURRENCES, MAX_PATHS, MAX_REPLY_DEPTH = 100, 500, 16
@@ -189,14 +190,11 @@ def identity_markers(c: DataFrame) -> DataFrame:
 
 
 def handoffs(c: DataFrame) -> DataFrame:
-    reply = F.col("parent_key").eqNullSafe(F.lag("event_key").over(_ordered())) & F.lag("event_key").over(_ordered()).isNotNull()
-    previous = F.lag("artifacts").over(_ordered())
-    shared = F.coalesce(F.arrays_overlap("artifacts", previous), F.lit(False))
-    steps = c.select(
-        "cluster_id", "actor_raw", "us", "ingest_ord", "event_key",
-        F.coalesce(F.col("actor_raw") != F.lag("actor_raw").over(_ordered()), F.lit(False)).alias("changed"),
-        reply.alias("reply"), shared.alias("shared"), ((F.col("us") - F.lag("us").over(_ordered())) / MICROS).alias("gap"),
-    )
+    rows = previous(c.select("cluster_id", "actor_raw", "artifacts", "parent_key", "us", "ingest_ord", "event_key"), ["cluster_id"], _TIME, ["event_key", "actor_raw", "artifacts", "us"])
+    reply = F.col("prev").isNotNull() & F.col("parent_key").eqNullSafe(F.col("prev.event_key")) & F.col("prev.event_key").isNotNull()
+    shared = F.coalesce(F.arrays_overlap("artifacts", "prev.artifacts"), F.lit(False))
+    changed = F.coalesce(F.col("actor_raw") != F.col("prev.actor_raw"), F.lit(False))
+    steps = rows.select("cluster_id", "actor_raw", "us", "ingest_ord", "event_key", changed.alias("changed"), reply.alias("reply"), shared.alias("shared"), ((F.col("us") - F.col("prev.us")) / MICROS).alias("gap"))
     linked = F.col("changed") & (F.col("reply") | F.col("shared"))
     per = steps.groupBy("cluster_id").agg(
         F.count("*").alias("n"),
@@ -214,7 +212,8 @@ def handoffs(c: DataFrame) -> DataFrame:
 
 
 def periodicity(c: DataFrame) -> DataFrame:
-    gaps = c.select("cluster_id", "us", "ingest_ord", "event_key", ((F.col("us") - F.lag("us").over(_ordered())) / MICROS).alias("gap"))
+    rows = previous(c.select("cluster_id", "us", "ingest_ord", "event_key"), ["cluster_id"], _TIME, ["us"])
+    gaps = rows.withColumn("gap", (F.col("us") - F.col("prev.us")) / MICROS).drop("prev")
     positive = F.when(F.col("gap") > 0, F.col("gap"))
     middle = gaps.groupBy("cluster_id").agg(F.count("*").alias("n"), F.count(positive).alias("gaps"), F.median(positive).alias("med")).filter("n >= 6 AND gaps >= 5 AND med > 0")
     per = gaps.join(middle, "cluster_id").groupBy("cluster_id", "gaps", "med").agg(F.count_if((F.col("gap") > 0) & (F.abs(F.col("gap") - F.col("med")) / F.col("med") <= 0.10)).alias("near"), _keys_in_order().alias("ids"))
@@ -234,8 +233,8 @@ def benign(c: DataFrame) -> DataFrame:
 
 def opaque_exchange(c: DataFrame) -> DataFrame:
     hits = c.select("cluster_id", "actor_key", "event_key", "us", "ingest_ord", F.posexplode("opaque").alias("pos", "payload"))
-    w = Window.partitionBy("cluster_id").orderBy(*_TIME, "pos")
-    steps = hits.withColumns({"changed": (F.col("actor_key") != F.lag("actor_key").over(w)).cast("double"), "fast": (F.col("us") - F.lag("us").over(w) <= 60 * MICROS).cast("double")})
+    rows = previous(hits, ["cluster_id"], [*_TIME, "pos"], ["actor_key", "us"])
+    steps = rows.withColumns({"changed": (F.col("actor_key") != F.col("prev.actor_key")).cast("double"), "fast": (F.col("us") - F.col("prev.us") <= 60 * MICROS).cast("double")})
     per = steps.groupBy("cluster_id").agg(F.count("*").alias("n"), F.count_distinct("actor_key").alias("actors"), F.avg("changed").alias("alternation"), F.avg("fast").alias("fast"), F.transform(F.array_sort(F.collect_list(F.struct("us", "ingest_ord", "pos", "event_key"))), lambda x: x["event_key"]).alias("ids"))
     per = per.filter("n >= 6 AND actors >= 2 AND alternation >= 0.60 AND fast >= 0.25")
     evidence = _strings(F.concat(F.lit("opaque_payload_count="), F.col("n").cast("string")), F.concat(F.lit("actor_count="), F.col("actors").cast("string")), F.concat(F.lit("alternation="), _two(F.col("alternation"))), F.concat(F.lit("fast_gap_fraction="), _two(F.col("fast"))))
@@ -289,8 +288,8 @@ def _pushes(c: DataFrame) -> DataFrame:
 
 
 def commit_intervals(c: DataFrame) -> DataFrame:
-    w = Window.partitionBy("cluster_id", "actor_key").orderBy(*_TIME)
-    steps = _pushes(c).select("cluster_id", "event_key", F.lag("event_key").over(w).alias("before"), (F.col("us") - F.lag("us").over(w)).alias("gap"))
+    rows = previous(_pushes(c).select("cluster_id", "actor_key", "event_key", *_TIME), ["cluster_id", "actor_key"], _TIME, ["event_key", "us"])
+    steps = rows.select("cluster_id", "event_key", F.col("prev.event_key").alias("before"), (F.col("us") - F.col("prev.us")).alias("gap"))
     exact = (F.col("gap") > 0) & (F.col("gap") % (60 * MICROS) == 0) & (F.col("gap") <= 6 * HOUR)
     per = steps.groupBy("cluster_id").agg(F.count_if(exact).alias("exact"), F.count_if(F.col("gap") > 0).alias("gaps"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(exact, F.array("before", "event_key")))))).alias("ids"))
     per = per.withColumn("share", F.col("exact") / F.greatest(F.lit(1), F.col("gaps"))).filter("exact >= 4 AND share >= 0.75")
