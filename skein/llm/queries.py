@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bitslice, hmm, lang_id, license_scan, media, mixing, near_dup, packing, sharding, url_filter
+from skein.llm import bitslice, decontaminate, filter_audit, hmm, lang_id, license_scan, media, merkle, mixing, near_dup, packing, sharding, url_filter
 from skein.scratch import small_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,18 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs_of_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_hmm": op1_hmm,
     "op2_bitslice": op2_bitslice,
@@ -70,5 +82,8 @@ QUERIES: dict[str, Query] = {
     "op8_url_filter": op8_url_filter,
     "op9_media": op9_media,
     "op10_near_dup": op10_near_dup,
+    "op11_merkle": op11_merkle,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_decontaminate": op13_decontaminate,
 }
-ORACLES: dict[str, str] = {"op2_bitslice": bitslice.ORACLE, "op3_license_scan": license_scan.ORACLE, "op8_url_filter": url_filter.ORACLE, "op10_near_dup": near_dup.ORACLE}
+ORACLES: dict[str, str] = {"op2_bitslice": bitslice.ORACLE, "op3_license_scan": license_scan.ORACLE, "op8_url_filter": url_filter.ORACLE, "op10_near_dup": near_dup.ORACLE, "op11_merkle": merkle.ORACLE, "op12_filter_audit": filter_audit.ORACLE, "op13_decontaminate": decontaminate.ORACLE}
