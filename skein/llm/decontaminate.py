@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.license_scan import _let as let
-from skein.llm.names import numbered
+from skein.llm.names import chosen
 from skein.llm.sharding import longs
 from skein.llm.url_filter import LOWER, UPPER
 from skein.scratch import written
@@ -122,10 +122,8 @@ def _candidates(stretches: DataFrame, bits: Bits, width: int) -> DataFrame:
 def occurrences(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three tables: (row_id, doc_id, n_words) of every document; (row_id, start, length, window_id) of every occurrence of
     a window, in words from 0; and (item_id, window_id) of the items."""
-    docs, of = numbered(docs)
-    items, of_item = numbered(items)
-    docs = docs.select(F.col(of(id_col)).cast("long").alias("doc_id"), F.col(of(text_col)).alias("text"))
-    held, windows = _windows(items.select(F.col(of_item(item_id_col)).cast("long").alias("item_id"), F.col(of_item(item_text_col)).alias("text")))
+    docs = chosen(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    held, windows = _windows(chosen(items, item_id_col, item_text_col).select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")))
     widths = [r[0] for r in windows.select("width").distinct().orderBy("width").collect()]  # SHINGLE at most
     listed = docs.select("doc_id", words_of(F.col("text")).alias("words"))
     if not widths:

@@ -27,7 +27,7 @@ from math import factorial
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.names import numbered
+from skein.llm.names import chosen
 
 # The filters' thresholds.
 LEAST_WORDS, LEAST_DISTINCT, MOST_CAPITALS, SYMBOLS = 100, 80, 10, "[#$%&*|]"
@@ -45,11 +45,9 @@ def text_failures(text: Column) -> Column:
 
 def masks(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
     """(part, mask, good, toxic, n): documents by the set of filters they fail; bit i of ``mask`` is filter i."""
-    docs, of = numbered(docs)
-    labels, of_label = numbered(labels)
-    text = F.coalesce(F.col(of(text_col)), F.lit(""))
-    rows = docs.select(F.col(of(id_col)).cast("long").alias("doc_id"), F.coalesce(F.col(of(part_col)).cast("string"), F.lit("")).alias("part"), F.unhex(F.sha2(text, 256)).alias("digest"), text_failures(text).alias("mask"))
-    said = labels.select(F.col(of_label("doc_id")).cast("long").alias("doc_id"), F.coalesce(F.col(of_label("quality")) == 1, F.lit(False)).alias("good"), F.coalesce(F.col(of_label("toxic")) == 1, F.lit(False)).alias("toxic"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = chosen(docs, id_col, text_col, part_col).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), F.unhex(F.sha2(text, 256)).alias("digest"), text_failures(text).alias("mask"))
+    said = chosen(labels, "doc_id", "quality", "toxic").select(F.col("doc_id").cast("long").alias("doc_id"), *[F.coalesce(F.col(c) == 1, F.lit(False)).alias(k) for c, k in (("quality", "good"), ("toxic", "toxic"))])
     said = said.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or("good").alias("good"), F.bool_or("toxic").alias("toxic"))
     no = F.lit(False)
     known = rows.filter("doc_id IS NOT NULL").join(said, "doc_id", "left").withColumns({"good": F.coalesce("good", no), "toxic": F.coalesce("toxic", no)})

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.memory import released
+from skein.llm.names import chosen
 from skein.llm.words import Words, blocks, text_buffers
 from skein.scratch import written
 
@@ -508,7 +509,7 @@ def score_documents(docs: DataFrame, size: Size = Size()) -> DataFrame:
     if size.symbols > 1 << 16:
         raise ValueError("symbols must fit 16 bits")
     spark = docs.sparkSession
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    narrow = chosen(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = count_words(narrow, size)
     ends = narrow.filter(~held_out(F.col("doc_id"))).count()
     lex = lexicon(counts, ends, size)

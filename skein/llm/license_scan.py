@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.license_texts import TEMPLATES
-from skein.llm.names import numbered, with_results
+from skein.llm.names import chosen, numbered, with_results
 from skein.llm.url_filter import LOWER, UPPER
 
 LEAST = 0.8
@@ -195,7 +195,7 @@ def _better(a: Column, b: Column) -> Column:
 
 def licenses_of_documents(docs: DataFrame) -> DataFrame:
     """doc_id, license, dice, line (of the best match), n_matches, licenses (all, joined) of every row."""
-    found = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    found = scan(chosen(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     best = F.get("license_matches", 0)
     names = F.array_join(F.array_sort(F.array_distinct(F.transform("license_matches", lambda m: m["license"]))), ",")
     return found.select("doc_id", best["license"].alias("license"), best["dice"].alias("dice"), best["line"].alias("line"), F.size("license_matches").alias("n_matches"), names.alias("licenses"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.names import numbered, with_results
+from skein.llm.names import chosen, numbered, with_results
 
 # The magic bytes of the formats and where they stand from a file's start.
 MAGIC = {
@@ -358,6 +358,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def text_features(docs: DataFrame) -> DataFrame:
     """Stores every text as sound, sniffs what was stored, reads its samples back and describes them."""
+    docs = chosen(docs, "doc_id", "text")
     n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     stored = store_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n_bytes"), "text")).select("doc_id", "n_bytes", "media")
     return stored.mapInArrow(_features, f"doc_id long, n_bytes long, {FEATURES}")

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.names import numbered
+from skein.llm.names import chosen, numbered
 from skein.llm.sampling import hash_sample
 from skein.llm.url_filter import LOWER, UPPER
 from skein.scratch import written
@@ -187,7 +187,8 @@ def solve(scored: DataFrame, targets: dict[str, float] = TARGETS, most: int = 80
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, how: Fit = Fit()) -> DataFrame:
     """doc_id, tokens, a posterior for each domain, rate and copies of every row; and, the same in all rows, the largest
     distance of a domain's share from its target and whether all targets are met."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    narrow = chosen(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    labels = chosen(labels, "doc_id", "quality", "toxic")
     scored = written(with_posteriors(narrow, fit(narrow, labels, how), how).drop("text"), "posteriors")
     solution = solve(scored, targets)
     rated = scored.withColumn("rate", rate_after(solution.steps))
@@ -205,6 +206,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     """The rows of ``docs``, each as often as its copies say. Columns of any name are returned as they came."""
     plain, of = numbered(docs)
     named = plain.withColumnsRenamed({of("doc_id"): "doc_id", of("text"): "text"})
+    labels = chosen(labels, "doc_id", "quality", "toxic")
     scored = written(with_posteriors(named, fit(named, labels, how), how), "posteriors")
     rated = scored.withColumn("_n", copies(rate_after(solve(scored, targets).steps), F.col("doc_id")))
     repeated = rated.filter("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))

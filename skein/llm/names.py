@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def numbered(df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
@@ -23,6 +24,12 @@ def numbered(df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
     return df.toDF(*names), of
 
 
+def chosen(df: DataFrame, *names: str) -> DataFrame:
+    """Only the named columns of ``df``, whatever others it has."""
+    plain, of = numbered(df)
+    return plain.select(*[F.col(of(n)).alias(n) for n in names])
+
+
 def with_results(df: DataFrame, results: list[str], last: list[str]) -> DataFrame:
     """The columns of ``last`` under the names ``results`` after all others of ``df``; of the others, one that bears a
     result's name gets ``own_`` before it, as often as it takes."""

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from skein.llm import shingles
 from skein.llm.memory import released
-from skein.llm.names import numbered
+from skein.llm.names import chosen, numbered
 from skein.operators.components import connected
 from skein.scratch import written
 
@@ -186,7 +186,7 @@ def _search_across(members: DataFrame, labels: DataFrame, sets: DataFrame) -> Da
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = chosen(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(narrow.mapInArrow(lambda b: released(shingles.sketch_batches(b)), "doc_id long, n_shingles long, set_key binary, bands array<long>"), "signed")
     known = signed.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
     nodes = written(known.groupBy("set_key").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "nodes")

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.memory import release
+from skein.llm.names import chosen
 from skein.llm.words import blocks, text_buffers
 
 #: Words of at most this many bytes are remembered, and so many of them in a task.
@@ -194,7 +195,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = 40
         raise ValueError("window must be a power of two")
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = chosen(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = narrow.mapInArrow(partial(_pieces, spec=spec, end=np.array([end_id], "<u4").tobytes(), window=window), SCHEMA)
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "bucket": F.col("length")})
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.names import numbered, with_results
+from skein.llm.names import chosen, numbered, with_results
 from skein.scratch import written
 
 #: A cell with more than this share of all rows, and more than so many, is ranked in parts.
@@ -201,6 +201,6 @@ def document_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     """The law is ``rows``: counts of shards differ by one at most."""
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long")
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", size.alias("size"), crc.alias("text_crc32"), F.log2(size).alias("_weight"))
+    narrow = chosen(docs, "doc_id", "text", "lang", "source").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", size.alias("size"), crc.alias("text_crc32"), F.log2(size).alias("_weight"))
     out = hilbert_shards(narrow, ["lang", "source", "_weight", "doc_id"], ["doc_id", "text_crc32"], shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")

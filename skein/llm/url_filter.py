@@ -21,6 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.llm.names import chosen
 from skein.scratch import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -135,7 +136,7 @@ def _candidates(rules: list[tuple[str, str, str]]) -> Column:
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict of every row."""
-    named = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    named = chosen(pages, id_col, url_col).select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     found = named.withColumn("_tried", _candidates(rules))
     universe = written(found.select(F.explode("_tried.key").alias("key")).distinct(), "universe")
     cascades = {v: build(pages.sparkSession, [h + p for h, p, x in rules if x == v], universe) for v in sorted({v for _, _, v in rules})}

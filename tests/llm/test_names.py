@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skein.llm import lang_id, license_scan, media, mixing, near_dup, sharding
+from skein.llm import bitslice, decontaminate, filter_audit, hmm, lang_id, license_scan, media, merkle, mixing, near_dup, packing, sharding, url_filter
 from skein.llm.names import numbered, with_results
 
 NAMES = ["Score", "_own_score", "score_", "LANG_PRED", "language_share", "_row", "row_", "Hilbert", "shard", "own_shard", "media_parts", "Media_Type", "License_Matches", "_hit", "_kept", "v", "N", "salt", "_p0", "_tokens", "_k", "band", "own_0_", "_Found", "_lang"]
@@ -79,3 +80,30 @@ def test_names(spark):
 
 def test_stage_functions_say_what_they_do():
     assert all(stage.__doc__ and "empty" in stage.__doc__ for _, stage in corpus_pipeline.STAGES)
+
+
+DOORS = {
+    "hmm": lambda df, labels: hmm.score_documents(df),
+    "bitslice": lambda df, labels: bitslice.top_rows(df.sparkSession.range(3).select(F.col("id").alias("vec_id"), F.array(F.lit(0.5), F.lit(0.25)).alias("embedding"), F.lit("x").alias("EMBEDDING"), F.lit("y").alias("Vec_Id"))),
+    "licenses": lambda df, labels: license_scan.licenses_of_documents(df),
+    "mix": lambda df, labels: mixing.mix(df, labels),
+    "pack": lambda df, labels: packing.digest(packing.pack(df, public_tokenizers.path("word_bpe_49k.json"))),
+    "shards": lambda df, labels: sharding.document_shards(df),
+    "urls": lambda df, labels: url_filter.judge(df.sparkSession.range(3).select(F.col("id").alias("page_id"), F.lit("http://a.com/en/1").alias("url"), F.lit("x").alias("URL"), F.lit("y").alias("Page_Id"))),
+    "media": lambda df, labels: media.text_features(df),
+    "near_dup": lambda df, labels: near_dup.near_duplicates(df),
+    "merkle": lambda df, labels: merkle.proofs_of_documents(df),
+    "audit": lambda df, labels: filter_audit.audit(df, labels),
+    "decontaminate": lambda df, labels: decontaminate.contaminated_documents(df, labels.select(F.lit(1).alias("item_id"), F.lit("tako riko").alias("text"), F.lit("x").alias("Text")).toDF("item_id", "text", "Text")),
+}
+
+
+@pytest.mark.parametrize("name", list(DOORS))
+def test_columns_that_bear_an_input_s_name(spark, name):
+    """The column of the exact name is read, whatever other cases of it stand beside it."""
+    plain = spark.createDataFrame([(i, t, "xx" if i % 2 else "yy", "s", 1) for i, t in enumerate(TEXTS)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    odd = plain.select("*", *[F.lit("other").alias(k) for k in ("TEXT", "Doc_Id", "LANG", "Source", "N_CHARS", "row_id", "digest", "kept")])
+    odd_labels = labels.select(F.lit(9).alias("Quality"), "*", F.lit(9).alias("TOXIC"), F.lit("z").alias("DOC_ID"))
+    got, want = (sorted(map(tuple, DOORS[name](df, said).collect()), key=str) for df, said in ((odd, odd_labels), (plain, labels)))
+    assert got and [tuple(map(str, r)) for r in got] == [tuple(map(str, r)) for r in want]
