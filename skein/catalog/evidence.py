@@ -70,7 +70,7 @@ def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("event_key", "actor_key", "conversation_key", "parent_key", F.unix_micros("event_time").alias("us"), "text", F.array_join("context_ids", ",").alias("context"), F.array_join("commit_messages", ",").alias("messages"), "provenance_url")
 
 
-def _archive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, int]]:
+def _archive(spark: SparkSession, sf_dir: str, quota: int = 2**31 - 1, rate: float = 0.0) -> tuple[DataFrame, dict[str, int]]:
     e = table(spark, sf_dir, "events")
     number = F.col("event_id").cast("string")
     kind = F.element_at(F.lit(["IssuesEvent", "IssueCommentEvent", "PushEvent", "WatchEvent"]), (F.col("event_id") % 4 + 1).cast("int"))
@@ -82,7 +82,7 @@ def _archive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, int
     row = F.struct(number.alias("id"), kind.alias("type"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), F.struct(F.concat(F.lit("user"), "user_id").alias("login"), F.lit("User").alias("type")).alias("actor"), F.struct(F.lit("acme/widgets").alias("name")).alias("repo"), payload.alias("payload"))
     path = shared_path(spark, "archive")
     e.select(F.to_json(row)).write.option("compression", "gzip").text(path)
-    return archive.read_archive(spark, path, archive.Limits(sample_rate=0.0, max_observations=10**9))
+    return archive.read_archive(spark, path, archive.Limits(sample_rate=rate, max_observations=quota))
 
 
 def archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,9 +91,9 @@ def archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def archive_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, counters = _archive(spark, sf_dir)
-    shown = ("candidate_events", "events_scanned", "malformed_events", "observations")
-    return spark.createDataFrame([(k, int(counters[k])) for k in shown], "name string, n long")
+    """All counters of an hour whose quotas cut both kinds."""
+    _, counters = _archive(spark, sf_dir, quota=500, rate=1.0)
+    return spark.createDataFrame([(k, int(n)) for k, n in counters.items()], "name string, n long")
 
 
 def parquet_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,8 +168,11 @@ ORACLES = {
         CASE WHEN event_id % 4 = 0 THEN 'https://x.org/a' ELSE '' END AS urls, CASE WHEN event_id % 4 = 2 THEN 'checkpoint ' || event_id ELSE '' END AS messages,
         CASE WHEN event_id % 4 = 2 THEN 'b' || (user_id % 3) || '.example' ELSE '' END AS domains, epoch_us(date_trunc('second', ts)) AS us
       FROM events WHERE event_id % 4 IN (0, 2) OR event_id % 8 = 1""",
-    "archive_counters": """SELECT 'candidate_events' AS name, count(*) AS n FROM events WHERE event_id % 4 IN (0, 2) OR event_id % 8 = 1 UNION ALL SELECT 'events_scanned', count(*) FROM events
-      UNION ALL SELECT 'malformed_events', 0 UNION ALL SELECT 'observations', count(*) FROM events WHERE event_id % 4 IN (0, 2) OR event_id % 8 = 1""",
+    "archive_counters": """WITH e AS (SELECT event_id % 4 < 3 AS listed, event_id % 4 IN (0, 2) OR event_id % 8 = 1 AS candidate FROM events),
+      n AS (SELECT count(*) AS scanned, count_if(listed) AS relevant, count_if(listed AND candidate) AS c, count_if(listed AND NOT candidate) AS s FROM e),
+      k AS (SELECT *, least(c, 400) AS kc, least(s, 100) AS ks FROM n)
+      SELECT u.name, CAST(u.n AS BIGINT) AS n FROM k, LATERAL (VALUES ('events_scanned', scanned), ('relevant_events', relevant), ('repository_filtered_events', 0), ('malformed_events', 0), ('candidate_events', c), ('sampled_events', s),
+        ('candidate_observations', kc), ('sampled_observations', ks), ('dropped_candidate_events', c - kc), ('dropped_sampled_events', s - ks), ('observations', kc + ks)) u(name, n)""",
     "parquet_sink": with_obs("""SELECT event_key, actor_key, text, sha256(text) AS content_sha256, CASE WHEN actor_type IS NULL THEN '{}' ELSE '{"actor_type":"' || actor_type || '"}' END AS metadata_json, provenance_url FROM obs"""),
     "new_evidence": with_obs("SELECT DISTINCT cluster_id FROM obs WHERE ingest_ord % 50 = 0"),
     "tier_histogram": f"SELECT confidence, reviewable, count(*) AS clusters FROM ({detection.ORACLES['score']}) GROUP BY 1, 2",

@@ -163,11 +163,8 @@ def _allowed(spark: SparkSession, args) -> Callable[[DataFrame], DataFrame]:
 def factories(spark: SparkSession, args, web: fetch.Web) -> dict[str, feeds.CollectorFactory]:
     allowed = _allowed(spark, args)
 
-    def one(repository: str) -> bool:
-        return not allowed(spark.createDataFrame([(repository,)], "repository string")).isEmpty()
-
     known: dict[str, feeds.CollectorFactory] = {
-        "github-thread": lambda q, page: fetch.Threads(web.get, q, args.threads, args.comments, page, one),
+        "github-thread": lambda q, page: fetch.Threads(web.get, q, args.threads, args.comments, page, allowed),
         "github-code": lambda q, page: fetch.Code(web.get, q, args.limit, page),
         "grep": lambda q, page: fetch.Snippets(web.get, q, args.limit, page),
         "reddit": lambda q, page: fetch.Forum(web.get, q, args.limit, args.comments),

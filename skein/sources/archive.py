@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
+from skein.operators.selection import ordinals
 from skein.scratch import written
 from skein.sources.observations import canonical
 
@@ -135,18 +136,15 @@ def normalise(events: DataFrame, retrieval_method: str) -> DataFrame:
 def within_quotas(observations: DataFrame, limits: Limits) -> DataFrame:
     """``retained``: whether a row is among the first of its kind, in line order, up to the quota.
 
-    Rows beyond a quota are marked, not lost, so that they can be counted. The rank of a row is bounded by first finding
-    each quota's last line among the lowest line numbers; no kind is gathered in one task.
+    Rows beyond a quota are marked, not lost, so that they can be counted. A quota's last line is found by counting digits
+    of line numbers, so that no task holds, sorts or allocates as many rows as the quota says.
     """
-    bounds = []
-    for candidate, quota in ((True, limits.candidates), (False, limits.background)):
-        last = observations.filter(F.col("candidate") == candidate).select("line_no").orderBy("line_no").limit(quota)
-        bounds.append((candidate, last.agg(F.max("line_no"), F.count("*")).first(), quota))
-    keep = F.lit(False)
-    for candidate, (last, n), quota in bounds:
-        if n:
-            keep = keep | ((F.col("candidate") == candidate) & (F.col("line_no") <= last if n == quota else F.lit(True)))
-    return observations.withColumn("retained", keep)
+    quotas = {True: limits.candidates, False: limits.background}
+    wanted = observations.sparkSession.createDataFrame([(c, q - 1) for c, q in quotas.items() if q > 0], "candidate boolean, k long")
+    last = {r["candidate"]: r["line_no"] for r in ordinals(observations, ["candidate"], "line_no", wanted).collect()}
+    # A kind with fewer rows than its quota has no last line and keeps all.
+    within = {c: F.lit(False) if q <= 0 else F.col("line_no") <= last[c] if c in last else F.lit(True) for c, q in quotas.items()}
+    return observations.withColumn("retained", F.when(F.col("candidate"), within[True]).otherwise(within[False]))
 
 
 def truncated(observations: DataFrame, limits: Limits) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Fetching payloads of public services: one page after another, bounded, with retries left to the caller.
+"""Fetching payloads of public services: bounded, with retries left to the caller.
 
-``Web.get`` returns decoded JSON; any callable of the same form takes its place in tests. The payloads become tables by the
-functions of ``feeds`` and ``archive``; a search holds at most 1,000 items, so its payloads go through the driver.
+A collector that is given ``Web.get`` leaves the asking to executors (``service``), and no payload passes the driver. Any
+other callable of that form, such as answers given in a test, is asked from the driver, one page after another. The payloads
+become tables by the functions of ``feeds`` and ``archive``.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from skein.scratch import written
 from skein.sources import archive, feeds
 
 # The services' addresses, page sizes and the most items that a search gives.
@@ -44,8 +46,10 @@ class Refused(RuntimeError):
 
 
 class Web:
-    def __init__(self, token: str | None = None, agent: str = "skein", timeout: float = 45.0):
-        self.token, self.agent, self.timeout = token, agent, timeout
+    """``address``: where all services are asked, in place of their own addresses."""
+
+    def __init__(self, token: str | None = None, agent: str = "skein", timeout: float = 45.0, address: str | None = None):
+        self.token, self.agent, self.timeout, self.address = token, agent, timeout, address
 
     @classmethod
     def from_environment(cls) -> Web:
@@ -65,6 +69,17 @@ class Web:
         with self._open(f"{url}?{urllib.parse.urlencode(params)}" if params else url, "application/json") as answer:
             return json.load(answer)
 
+    def page(self, kind: str, query: str, number: int, size: int) -> list[dict]:
+        """The items of one page of a search, or of the feed of public events."""
+        if kind == "events":
+            return self.get(f"{self.address or API}/events", {"per_page": size, "page": number})
+        if kind == "snippets":
+            return snippet_page(self.get(self.address and f"{self.address}/api/search" or SNIPPETS, {"q": query, "page": number}))
+        return self.get(f"{self.address or API}/search/{kind}", {"q": query, "per_page": size, "page": number}).get("items", [])
+
+    def comments(self, repository: str, kind: str, thread: int, number: int, size: int) -> list[dict]:
+        return self.get(f"{self.address or API}/repos/{repository}/{kind}/{thread}/comments", {"per_page": size, "page": number})
+
     def save(self, url: str, path: Path, most_bytes: int) -> int:
         """Stores a file; more bytes than allowed are an error, and nothing is left behind."""
         partial = path.with_name(path.name + ".part")
@@ -109,67 +124,105 @@ class Source:
     """A search with its place; after ``collect``, ``exhausted`` says whether it has no further page."""
 
     exhausted = False
+    #: What a search is called, and its page size.
+    kind, size = "issues", PAGE
 
     def __init__(self, get: Get, query: str = "", limit: int = 100, start: int = 1):
         self.get, self.query, self.limit, self.start = get, query, max(1, min(limit, MOST)), start
 
-    def search(self, kind: str, limit: int) -> list[dict]:
-        items, self.exhausted = paged(lambda n, size: self.get(f"{API}/search/{kind}", {"q": self.query, "per_page": size, "page": n}).get("items", []), limit, self.start)
-        return items
+    @property
+    def web(self) -> Web | None:
+        """The web that executors can ask in the driver's place."""
+        owner = getattr(self.get, "__self__", None)
+        return owner if type(owner) is Web else None
+
+    def page(self, number: int, size: int) -> list[dict]:
+        return self.get(f"{API}/search/{self.kind}", {"q": self.query, "per_page": size, "page": number}).get("items", [])
+
+    def items(self, spark: SparkSession, schema: str) -> DataFrame:
+        """The decoded items, and ``exhausted`` set: whether a page was empty."""
+        if self.web is None:
+            found, self.exhausted = paged(self.page, self.limit, self.start, self.size)
+            return payloads(spark, found, schema)
+        from skein.sources import service
+
+        size = min(self.size, self.limit)
+        pages = -(-self.limit // size)
+        rows = written(service.search(spark, self.web, self.kind, self.query, max(1, self.start), pages, size), "pages")
+        self.exhausted = rows.select("page").distinct().count() < pages
+        own = (F.col("page") - max(1, self.start)) * size + F.col("place") < self.limit
+        return service.decoded(rows.filter(own).orderBy("page", "place"), schema)
 
 
 class Issues(Source):
     def collect(self, spark: SparkSession) -> DataFrame:
-        return feeds.issue_observations(payloads(spark, self.search("issues", self.limit), feeds.ISSUE))
+        return feeds.issue_observations(self.items(spark, feeds.ISSUE))
 
 
 class Code(Source):
+    kind = "code"
+
     def collect(self, spark: SparkSession) -> DataFrame:
-        return feeds.code_observations(payloads(spark, self.search("code", self.limit), feeds.CODE_HIT))
+        return feeds.code_observations(self.items(spark, feeds.CODE_HIT))
 
 
 class Threads(Source):
-    """Issues and pull requests with their conversations. ``allowed``: whether a repository is to be read."""
+    """Issues and pull requests with their conversations. ``allowed``: of a table of repositories, those that are to be read;
+    all roots are held against it at once, before any conversation is asked for."""
 
-    def __init__(self, get: Get, query: str, threads: int = 20, comments: int = 100, start: int = 1, allowed: Callable[[str], bool] | None = None):
+    def __init__(self, get: Get, query: str, threads: int = 20, comments: int = 100, start: int = 1, allowed: Callable[[DataFrame], DataFrame] | None = None):
         super().__init__(get, query, min(threads, PAGE), start)
         self.comments, self.allowed = max(1, min(comments, 500)), allowed
 
     def collect(self, spark: SparkSession) -> DataFrame:
-        roots, said, reviews = [], [], []
-        for root in self.search("issues", self.limit):
-            _, found, repository = str(root.get("repository_url") or "").partition("/repos/")
-            if not found or self.allowed and not self.allowed(repository):
-                continue
-            roots.append(root)
-            for out, kind in ((said, "issues"), (reviews, "pulls")):
-                if kind == "issues" or "pull_request" in root:
-                    items, _ = paged(lambda n, size, kind=kind, root=root, repository=repository: self.get(f"{API}/repos/{repository}/{kind}/{root['number']}/comments", {"per_page": size, "page": n}), self.comments)
-                    out += [x | {"root_id": root["id"]} for x in items]
+        roots = self.items(spark, feeds.ROOT).withColumn("repository", F.nullif(F.regexp_extract(F.coalesce("repository_url", F.lit("")), "/repos/(.+)$", 1), F.lit(""))).filter("repository IS NOT NULL")
+        if self.allowed:
+            roots = roots.join(self.allowed(roots.select("repository").distinct()), "repository", "left_semi")
+        roots = written(roots, "roots")
+        asked = roots.select(F.col("id").alias("root_id"), "repository", "number", F.col("pull_request").isNotNull().alias("is_pull"))
         held = f"root_id long, {feeds.COMMENT}"
-        return feeds.thread_observations(payloads(spark, roots, feeds.ROOT), payloads(spark, said, held), payloads(spark, reviews, held), self.comments)
+        if self.web is not None:
+            from skein.sources import service
+
+            said = written(service.comments(asked, self.web, self.comments), "comments")
+            parts = [service.decoded(said.filter(F.col("kind") == kind), feeds.COMMENT, "root_id") for kind in ("issues", "pulls")]
+        else:
+            found: dict[str, list] = {"issues": [], "pulls": []}
+            for root in asked.collect():
+                for kind in ("issues", "pulls") if root["is_pull"] else ("issues",):
+                    items, _ = paged(lambda n, size, kind=kind, root=root: self.get(f"{API}/repos/{root['repository']}/{kind}/{root['number']}/comments", {"per_page": size, "page": n}), self.comments)
+                    found[kind] += [x | {"root_id": root["root_id"]} for x in items]
+            parts = [payloads(spark, found[kind], held) for kind in ("issues", "pulls")]
+        return feeds.thread_observations(roots.drop("repository"), *parts, self.comments)
 
 
 class Events(Source):
     """The newest public events, of which a few pages are kept."""
 
+    kind = "events"
+
     def __init__(self, get: Get, pages: int = 1):
-        super().__init__(get)
-        self.pages = max(1, min(pages, EVENT_PAGES))
+        super().__init__(get, limit=max(1, min(pages, EVENT_PAGES)) * PAGE)
+
+    def page(self, number: int, size: int) -> list[dict]:
+        return self.get(f"{API}/events", {"per_page": size, "page": number}) if number <= self.limit // PAGE else []
 
     def collect(self, spark: SparkSession) -> DataFrame:
-        items, self.exhausted = paged(lambda n, size: self.get(f"{API}/events", {"per_page": size, "page": n}) if n <= self.pages else [], self.pages * PAGE)
-        return feeds.event_observations(payloads(spark, items, archive.EVENT))
+        return feeds.event_observations(self.items(spark, archive.EVENT))
 
 
 class Snippets(Source):
+    kind, size = "snippets", SNIPPET_PAGE
+
+    def page(self, number: int, size: int) -> list[dict]:
+        return snippet_page(self.get(SNIPPETS, {"q": self.query, "page": number}))
+
     def collect(self, spark: SparkSession) -> DataFrame:
-        def fetch(n: int, _: int) -> list[dict]:
-            hits = self.get(SNIPPETS, {"q": self.query, "page": n}).get("hits", {}).get("hits", [])
-            return [{"repo": _raw(x.get("repo")), "path": _raw(x.get("path")), "snippet": _raw((x.get("content") or {}).get("snippet"))} for x in hits]
+        return feeds.snippet_observations(self.items(spark, feeds.HIT))
+
 
-        items, self.exhausted = paged(fetch, self.limit, self.start, SNIPPET_PAGE)
-        return feeds.snippet_observations(payloads(spark, items, feeds.HIT))
+def snippet_page(answer: dict) -> list[dict]:
+    return [{"repo": _raw(x.get("repo")), "path": _raw(x.get("path")), "snippet": _raw((x.get("content") or {}).get("snippet"))} for x in answer.get("hits", {}).get("hits", [])]
 
 
 def _raw(value) -> str:
