@@ -5,19 +5,18 @@ The result is a table of memberships (cluster_id, event_key, ord); an observatio
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.components import connected
-from skein.operators.ordered import counted, latest, previous
+from skein.operators.ordered import counted, runs
 from skein.scratch import written
 
 MAX_LINKED_BUCKETS = 50
 MICROS_PER_HOUR = 3_600_000_000
+#: Rows of a segment whose windows one task finds by a walk; of a larger one they are found by doubling.
+SEGMENT_ROWS = 20_000
 
 
 def digest(text: Column, n: int) -> Column:
@@ -78,42 +77,76 @@ def linked_buckets(features: DataFrame) -> DataFrame:
     return named.select(F.explode("keys").alias("bucket"), "cluster_key")
 
 
-def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, segment, us, ...) sorted by these to the index of their anchored window in the segment; the state is one row's."""
-    own = start = None
-    index = 0
-    for batch in batches:
-        out = []
-        for key, segment, at in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-            if (key, segment) != own:
-                own, start, index = (key, segment), at, 0
-            elif at - start > window:
-                start, index = at, index + 1
-            out.append(index)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "window"])
+def _walked(segments: DataFrame, size: int) -> DataFrame:
+    """(key, segment, us) of the rows that open a window, of segments of SEGMENT_ROWS times at most."""
+    opened = F.aggregate(
+        F.array_sort(F.collect_set("us")),
+        F.struct(F.min("us").alias("at"), F.array(F.min("us")).alias("all")),
+        lambda a, us: F.when(us - a["at"] > size, F.struct(us.alias("at"), F.array_append(a["all"], us).alias("all"))).otherwise(a),
+        lambda a: a["all"],
+    )
+    return segments.groupBy("key", "segment").agg(opened.alias("all")).select("key", "segment", F.explode("all").alias("us"))
+
+
+def _jumps(rows: DataFrame, size: int) -> DataFrame:
+    """(key, segment, us, next) of distinct times: the next opener, if the row opens a window.
+
+    A window's length makes a part, so that the next opener lies in the part after the row's own or, if none there is late
+    enough, is the first row of a later part. Each part is merged with the times at which windows of the part before end.
+    """
+    by = ["key", "segment"]
+    rows = rows.select(*by, "us").distinct().withColumn("part", F.floor(F.col("us") / size))
+    over = Window.partitionBy(*by).orderBy("part")
+    firsts = rows.groupBy(*by, "part").agg(F.min("us").alias("us"))
+    far = F.when(F.lead("part").over(over) > F.col("part") + 1, F.lead("us").over(over)).otherwise(F.lead("us", 2).over(over))
+    ends = rows.join(firsts.select(*by, "part", far.alias("far")), [*by, "part"]).select(*by, (F.col("part") + 1).alias("part"), (F.col("us") + size).alias("at"), F.lit(0).alias("kind"), "us", "far")
+    none = F.lit(None).cast("long")
+    both = ends.union(rows.select(*by, "part", F.col("us").alias("at"), F.lit(1).alias("kind"), none, none))
+    # From the last time to the first: the time met last before a window's end is the first after it.
+    after = F.last(F.when(F.col("kind") == 1, F.col("at")), ignorenulls=True).over(Window.partitionBy(*by, "part").orderBy(F.desc("at"), "kind").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("near", after).filter("kind = 0").select(*by, "us", F.coalesce("near", "far").alias("next")).filter("next IS NOT NULL")
+
+
+def _jumped(rows: DataFrame, size: int) -> DataFrame:
+    """(key, segment, us) of the rows that open a window, by doubling: after n rounds the first 2^n of each segment are known."""
+    by = ["key", "segment"]
+    jumps = written(_jumps(rows, size), "jumps")
+    openers = written(rows.groupBy(*by).agg(F.min("us").alias("us")), "openers")
+    while True:
+        more = written(openers.join(jumps, [*by, "us"]).select(*by, F.col("next").alias("us")), "openers")
+        if more.isEmpty():
+            return openers
+        openers = openers.union(more)
+        onward = jumps.select(*by, F.col("us").alias("next"), F.col("next").alias("then"))
+        jumps = written(jumps.join(onward, [*by, "next"]).select(*by, "us", F.col("then").alias("next")), "jumps")
 
 
 def anchored_windows(rows: DataFrame, key: str, minutes: int = 60) -> DataFrame:
     """``rows`` (with us and ingest_ord) and their ``window``: a row opens a new one if it lies more than ``minutes`` after
     the row that opened the last (inclusive bound).
 
-    A row that lies so far after the row before it opens a window in any case: there a key is cut into segments, each of
-    which streams in order through a task, and the windows of earlier segments are counted in. Nothing is gathered.
+    A row that lies so far after the row before it opens a window in any case, which cuts a key into segments. A segment no
+    longer than a window is one; the openers of one with few rows are found by one walk over its times, those of a larger
+    one by doubling jumps from opener to opener, which is the work of as many tasks as its rows need.
     """
     size = minutes * 60_000_000
     order = ["us", "ingest_ord"]
-    narrow = rows.select(F.col(key).alias("key"), "us", "ingest_ord", "event_key")
-    apart = F.col("prev").isNull() | (F.col("us") - F.col("prev.us") > size)
-    marked = previous(narrow, ["key"], order, ["us"]).withColumn("segment", F.when(apart, F.col("us"))).drop("prev")
-    cut = latest(marked, ["key"], order, "segment").select("key", "segment", *order, "event_key")
-    dealt = cut.repartition("key", "segment").sortWithinPartitions("key", "segment", *order)
-    schema = cut.schema.simpleString()[len("struct<") : -1]
-    found = written(dealt.mapInArrow(lambda b: _windows(b, size), f"{schema},window:int".replace(":", " ")), "windows")
-    before = F.sum("n").over(Window.partitionBy("key").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1))
-    counts = found.groupBy("key", "segment").agg((F.max("window") + 1).alias("n"))
-    counts = counts.select(F.col("key").alias("_key"), F.col("segment").alias("_segment"), F.coalesce(before, F.lit(0)).cast("int").alias("_before"))
-    out = found.join(counts, F.col("key").eqNullSafe(F.col("_key")) & (F.col("segment") == F.col("_segment")))
-    return out.select("key", *order, "event_key", (F.col("window") + F.col("_before")).alias("window"))
+    own = F.col(key)
+    narrow = rows.select(F.when(own.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), own)).alias("key"), "us", "ingest_ord", "event_key")
+    cut = written(runs(narrow, ["key"], order, size, "segment"), "segments")
+    sizes = written(cut.groupBy("key", "segment").agg(F.count("*").alias("n"), F.min("us").alias("first"), F.max("us").alias("last")), "sizes")
+    long = sizes.filter(F.col("last") - F.col("first") > size)
+    openers = sizes.filter(F.col("last") - F.col("first") <= size).select("key", "segment", F.col("first").alias("us"))
+    for few, found in ((True, _walked), (False, _jumped)):
+        own = long.filter((F.col("n") <= SEGMENT_ROWS) if few else (F.col("n") > SEGMENT_ROWS)).select("key", "segment")
+        if not own.isEmpty():
+            openers = openers.unionByName(found(cut.select("key", "segment", "us").join(own, ["key", "segment"], "left_semi"), size))
+    marked = cut.join(openers.select("key", "us", F.lit(True).alias("opens")), ["key", "us"], "left")
+    # Of rows at an opener's time the first opens the window.
+    first = F.row_number().over(Window.partitionBy("key", "us").orderBy("ingest_ord")) == 1
+    flagged = marked.withColumn("window", (F.col("opens").isNotNull() & first).cast("int"))
+    out = counted(flagged.select("key", *order, "event_key", "window"), ["key"], order, "window")
+    return out.select(F.when(F.col("key") != "-", F.substring("key", 2, 1 << 30)).alias("key"), *order, "event_key", (F.col("window") - 1).alias("window"))
 
 
 def window_clusters(features: DataFrame, minutes: int = 60) -> DataFrame:
@@ -129,10 +162,7 @@ def window_clusters(features: DataFrame, minutes: int = 60) -> DataFrame:
 
 def sessions(rows: DataFrame, by: list[str], hours: int = 2) -> DataFrame:
     """``rows`` with ``session`` (from 0): a new one starts after a gap of more than ``hours``."""
-    order = ["us", "ingest_ord"]
-    gap = F.coalesce((F.col("us") - F.col("prev.us") > hours * MICROS_PER_HOUR).cast("int"), F.lit(0))
-    opened = previous(rows, by, order, ["us"]).withColumn("session", gap).drop("prev")
-    return counted(opened, by, order, "session")
+    return runs(rows, by, ["us", "ingest_ord"], hours * MICROS_PER_HOUR, "session")
 
 
 def _none_counts(c: str) -> Column:

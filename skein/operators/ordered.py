@@ -33,11 +33,22 @@ def previous(rows: DataFrame, by: list[str], order: list[str], cols: list[str])
     return placed.withColumn("prev", F.coalesce(F.lag(own).over(within), F.col("_before"))).drop("_part", "_before")
 
 
-def latest(rows: DataFrame, by: list[str], order: list[str], mark: str) -> DataFrame:
-    """``rows`` with ``mark``, which ascends and is null in places, filled with its last value at or before the row."""
-    placed = _with_earlier(rows, by, F.max(mark), F.max("_v"), (Window.unboundedPreceding, -1))
-    within = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return placed.withColumn(mark, F.coalesce(F.max(mark).over(within), F.col("_before"))).drop("_part", "_before")
+def runs(rows: DataFrame, by: list[str], order: list[str], gap: int, name: str) -> DataFrame:
+    """``rows`` with ``name``, the number of times at or before the row that more than ``gap`` microseconds passed between
+    neighbours of its group."""
+    within = Window.partitionBy(*by, "_part").orderBy(*order)
+    apart = (F.col("us") - F.lag("us").over(within) > gap).cast("int")
+    rows = rows.withColumn("_part", F.floor(F.col("us") / PART)).withColumn("_apart", F.coalesce(apart, F.lit(0)))
+    # A part's first row is compared with the last of the part before it.
+    over = Window.partitionBy(*by).orderBy("_part")
+    per = rows.groupBy(*by, "_part").agg(F.min("us").alias("_lo"), F.max("us").alias("_hi"), F.sum("_apart").alias("_n"))
+    per = per.withColumn("_first", F.coalesce((F.col("_lo") - F.lag("_hi").over(over) > gap).cast("int"), F.lit(0)))
+    before = F.sum(F.col("_first") + F.col("_n")).over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    per = per.select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], F.col("_part").alias("_p"), before.alias("_before"))
+    same = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_by{i}")) for i, b in enumerate(by)])
+    placed = rows.join(per, same & (F.col("_part") == F.col("_p"))).drop("_p", *[f"_by{i}" for i in range(len(by))])
+    count = F.sum("_apart").over(within.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
+    return placed.withColumn(name, count.cast("int")).drop("_part", "_apart", "_before")
 
 
 def counted(rows: DataFrame, by: list[str], order: list[str], flag: str) -> DataFrame:
