@@ -17,6 +17,8 @@ MAX_LINKED_BUCKETS = 50
 MICROS_PER_HOUR = 3_600_000_000
 #: Rows of a segment whose windows one task finds by a walk; of a larger one they are found by doubling.
 SEGMENT_ROWS = 20_000
+#: Edges of an oversized component that one task walks; more of them are settled in rounds first.
+WALKED_EDGES = 50_000
 
 
 def digest(text: Column, n: int) -> Column:
@@ -39,22 +41,54 @@ def link_edges(features: DataFrame) -> DataFrame:
     return keys.select("kind", "value", F.get("keys", F.lit(0)).alias("a"), F.explode(F.slice("keys", 2, 10)).alias("b"))
 
 
-def _capped(rows: pd.DataFrame) -> pd.DataFrame:
-    """Unions of one oversized component, edge by edge; one that would pass the cap is left out."""
+def _settled(rows: pd.DataFrame) -> pd.DataFrame:
+    """Unions of what is left of one oversized component, edge by edge; one that would pass the cap is left out."""
     parent: dict[str, str] = {}
-    size: dict[str, int] = {}
+    size: dict[str, int] = dict(zip(rows["x"], rows["sx"], strict=True)) | dict(zip(rows["y"], rows["sy"], strict=True))
 
     def root(x: str) -> str:
         while parent.setdefault(x, x) != x:
             x = parent[x]
         return x
 
-    for a, b in rows.sort_values(["kind", "value", "b"])[["a", "b"]].itertuples(index=False):
+    for a, b in rows.sort_values(["kind", "value", "b"])[["x", "y"]].itertuples(index=False):
         x, y = root(a), root(b)
-        if x != y and size.get(x, 1) + size.get(y, 1) <= MAX_LINKED_BUCKETS:
+        if x != y and size[x] + size[y] <= MAX_LINKED_BUCKETS:
             parent[y] = x
-            size[x] = size.get(x, 1) + size.get(y, 1)
-    return pd.DataFrame([(k, root(k)) for k in parent], columns=["bucket", "component"])
+            size[x] += size[y]
+    return pd.DataFrame([(k, root(k)) for k in parent], columns=["at", "to"])
+
+
+def _capped(edges: DataFrame) -> DataFrame:
+    """(bucket, component) of oversized components, whose edges (component, kind, value, a, b) count in the order of (kind,
+    value, b), one that would pass the cap being left out.
+
+    An edge that comes first at both its ends is decided: no edge before it can change either. All such edges are taken at
+    once, which merges ends in pairs; edges that the cap rules out already, or whose ends have met, go. What is left of a
+    component is walked in one task once it has few edges.
+    """
+    buckets = edges.select(F.col("a").alias("bucket")).union(edges.select("b")).distinct()
+    labels = written(buckets.withColumn("at", F.col("bucket")), "labels")
+    order, one = F.struct("kind", "value", "b").alias("r"), F.lit(1)
+    pending = edges.select("component", order, F.col("a").alias("x"), F.col("b").alias("y"), one.alias("sx"), one.alias("sy"))
+    while True:
+        open_ = pending.filter((F.col("x") != F.col("y")) & (F.col("sx") + F.col("sy") <= MAX_LINKED_BUCKETS))
+        turned = F.col("x") > F.col("y")
+        pair = [F.when(turned, F.col(q)).otherwise(F.col(p)).alias(p) for p, q in (("x", "y"), ("y", "x"), ("sx", "sy"), ("sy", "sx"))]
+        # Of several edges between two ends only the first can be taken.
+        pending = written(open_.select("component", "r", *pair).groupBy("component", "x", "y").agg(F.min("r").alias("r"), F.first("sx").alias("sx"), F.first("sy").alias("sy")), "pending")
+        if pending.groupBy("component").count().filter(F.col("count") > WALKED_EDGES).isEmpty():
+            break
+        first = pending.select(F.col("x").alias("c"), "r").union(pending.select("y", "r")).groupBy("c").agg(F.min("r").alias("first"))
+        at_x, at_y = (first.select(F.col("c").alias(k), F.col("first").alias(f"first_{k}")) for k in ("x", "y"))
+        taken = pending.join(at_x, "x").join(at_y, "y").filter("r = first_x AND r = first_y").select("x", "y", (F.col("sx") + F.col("sy")).alias("size"))
+        moved = written(taken.select(F.col("y").alias("c"), F.col("x").alias("to"), "size").union(taken.select("x", "x", "size")), "moved")
+        for end in ("x", "y"):
+            new = moved.select(F.col("c").alias(end), F.col("to").alias("to_"), F.col("size").alias("size_"))
+            pending = pending.join(new, end, "left").withColumns({end: F.coalesce("to_", end), f"s{end}": F.coalesce("size_", f"s{end}")}).drop("to_", "size_")
+        labels = written(labels.join(moved.select(F.col("c").alias("at"), "to"), "at", "left").select("bucket", F.coalesce("to", "at").alias("at")), "labels")
+    rest = pending.select("component", "r.*", "x", "y", "sx", "sy").groupBy("component").applyInPandas(lambda rows: _settled(rows), "at string, to string")
+    return labels.join(rest, "at", "left").select("bucket", F.coalesce("to", "at").alias("component"))
 
 
 def linked_buckets(features: DataFrame) -> DataFrame:
@@ -70,8 +104,7 @@ def linked_buckets(features: DataFrame) -> DataFrame:
     small = whole.join(sizes.filter(F.col("n") <= MAX_LINKED_BUCKETS), "component").select("bucket", "component")
     large = sizes.filter(F.col("n") > MAX_LINKED_BUCKETS).select("component")
     inside = edges.join(whole, edges["a"] == whole["bucket"]).join(large, "component").select("component", "kind", "value", "a", "b")
-    capped = inside.groupBy("component").applyInPandas(lambda rows: _capped(rows), "bucket string, component string")
-    members = small.union(capped)
+    members = small if large.isEmpty() else small.union(_capped(inside))
     named = members.groupBy("component").agg(F.array_sort(F.collect_set("bucket")).alias("keys")).filter(F.size("keys") > 1)
     named = named.select(F.concat(F.lit("linked:"), digest(F.array_join("keys", "\n"), 20)).alias("cluster_key"), "keys")
     return named.select(F.explode("keys").alias("bucket"), "cluster_key")
