@@ -55,19 +55,22 @@ def redacted_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _notes(spark, sf_dir).select("id", X.redact(F.col("text")).alias("text"))
 
 
-def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observations written as JSON lines and read back."""
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations written as JSON lines, with metadata that nothing here knows, and read back."""
     e = table(spark, sf_dir, "events").join(_notes(spark, sf_dir).withColumnRenamed("id", "event_id"), "event_id")
     number, when = F.col("event_id").cast("string"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     row = F.struct(
         F.lit("jsonl").alias("source"), number.alias("source_event_id"), when.alias("observed_at"), when.alias("event_time"), F.concat(F.lit("User"), "user_id").alias("actor"), "event_type", "text",
         F.concat(F.lit("Acme/W"), F.col("user_id") % 7).alias("repository"), (F.col("user_id") % 9).cast("string").alias("thread_id"), F.when(F.col("event_id") % 4 == 1, (F.col("event_id") - 1).cast("string")).alias("reply_to"),
-        F.struct(F.concat(F.lit("ABC"), number).alias("sha"), F.array(F.concat(F.lit("fix "), number)).alias("commit_messages")).alias("metadata"), F.struct(F.concat(F.lit("https://e.test/"), number).alias("url")).alias("provenance"),
+        F.struct(F.concat(F.lit("ABC"), number).alias("sha"), F.array(F.concat(F.lit("fix "), number)).alias("commit_messages"), (F.col("event_id") % 9).alias("score"), F.concat(F.lit('say "'), number).alias("title"), F.struct(F.lit("q").alias("z"), F.array(F.lit("a"), F.concat(F.lit("b"), F.col("user_id") % 5)).alias("labels")).alias("extra")).alias("metadata"), F.sha2("text", 256).alias("content_sha256"), F.struct(F.concat(F.lit("https://e.test/"), number).alias("url")).alias("provenance"),
     )
     path = shared_path(spark, "lines")
     e.select(F.to_json(row)).write.text(path)
-    got = read_jsonl(spark, path)
-    return got.select("event_key", "actor_key", "conversation_key", "parent_key", F.unix_micros("event_time").alias("us"), "text", F.array_join("context_ids", ",").alias("context"), F.array_join("commit_messages", ",").alias("messages"), "provenance_url")
+    return read_jsonl(spark, path)
+
+
+def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("event_key", "actor_key", "conversation_key", "parent_key", F.unix_micros("event_time").alias("us"), "text", F.array_join("context_ids", ",").alias("context"), F.array_join("commit_messages", ",").alias("messages"), "provenance_url")
 
 
 def _archive(spark: SparkSession, sf_dir: str, quota: int = 2**31 - 1, rate: float = 0.0) -> tuple[DataFrame, dict[str, int]]:
@@ -97,9 +100,10 @@ def archive_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parquet_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns at rest, of observations as the reader gives them."""
     path = shared_path(spark, "sink")
-    write_parquet(observations(spark, sf_dir).withColumn("metadata_json", F.to_json(F.struct("actor_type"))), path)
-    return spark.read.parquet(path).select("event_key", "actor_key", "text", "content_sha256", "metadata_json", "provenance_url")
+    write_parquet(_lines(spark, sf_dir), path)
+    return spark.read.parquet(path).withColumn("event_time", F.unix_micros("event_time"))
 
 
 def new_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +177,10 @@ ORACLES = {
       k AS (SELECT *, least(c, 400) AS kc, least(s, 100) AS ks FROM n)
       SELECT u.name, CAST(u.n AS BIGINT) AS n FROM k, LATERAL (VALUES ('events_scanned', scanned), ('relevant_events', relevant), ('repository_filtered_events', 0), ('malformed_events', 0), ('candidate_events', c), ('sampled_events', s),
         ('candidate_observations', kc), ('sampled_observations', ks), ('dropped_candidate_events', c - kc), ('dropped_sampled_events', s - ks), ('observations', kc + ks)) u(name, n)""",
-    "parquet_sink": with_obs("""SELECT event_key, actor_key, text, sha256(text) AS content_sha256, CASE WHEN actor_type IS NULL THEN '{}' ELSE '{"actor_type":"' || actor_type || '"}' END AS metadata_json, provenance_url FROM obs"""),
+    "parquet_sink": f"""{_WITH_NOTES} SELECT 'jsonl:event:jsonl:' || event_id AS event_key, 'jsonl' AS source, CAST(event_id AS VARCHAR) AS source_event_id, 'jsonl' AS platform, epoch_us(ts) AS event_time, 'jsonl:actor:user' || user_id AS actor_key,
+      event_type, 'Acme/W' || (user_id % 7) AS repository, 'jsonl:repository:acme/w' || (user_id % 7) || ':thread:' || (user_id % 9) AS conversation_key, text, sha256(text) AS content_sha256,
+      '{{"commit_messages":["fix ' || event_id || '"],"extra":{{"labels":["a","b' || (user_id % 5) || '"],"z":"q"}},"score":' || (event_id % 9) || ',"sha":"ABC' || event_id || '","title":"say \\"' || event_id || '"}}' AS metadata_json, 'https://e.test/' || event_id AS provenance_url
+      FROM events JOIN notes ON id = event_id""",
     "new_evidence": with_obs("SELECT DISTINCT cluster_id FROM obs WHERE ingest_ord % 50 = 0"),
     "tier_histogram": f"SELECT confidence, reviewable, count(*) AS clusters FROM ({detection.ORACLES['score']}) GROUP BY 1, 2",
     "calibrated_scores": with_obs("""WITH f AS (SELECT CAST(floor(ingest_ord / 12) AS BIGINT) AS k, count(DISTINCT lower(actor)) >= 2 AND bool_and(provenance_url <> '') AS elig FROM obs GROUP BY 1),

@@ -225,7 +225,7 @@ def _archive_hour(spark: SparkSession, store: Store, args, web: fetch.Web) -> in
         limits = archive.Limits(args.sample_rate, args.max_observations, event_types=kinds, repositories=tuple(args.repository), max_lines=args.limit)
         path, counters = fetch.archive_file(hour, args.folder, web, most)
         fetch.whole_lines(path, limits.max_event_bytes)
-        rows, read = archive.read_archive(spark, path, limits)
+        rows, read = archive.read_archive(spark, path, limits, hour)
         counters |= read
         rows = written(rows, "archive")
         if args.parquet:

@@ -21,7 +21,7 @@ from skein.plans.analyze import Analysis, analyze, bundles, saved_bundles, summa
 from skein.scratch import written
 from skein.sources.feeds import CollectorFactory
 from skein.sources.fetch import Refused
-from skein.sources.observations import METADATA
+from skein.sources.observations import sorted_json
 from skein.store import Store
 
 
@@ -75,9 +75,10 @@ def _collected(spark: SparkSession, factory: CollectorFactory, query: str, sourc
 
 def _as_found(rows: DataFrame, query: str, source: str, order: int) -> DataFrame:
     """Observations of a campaign: the origin and the search are kept in their metadata."""
-    known = F.from_json("metadata_json", METADATA)
-    meta = F.struct(*[known[f.name].alias(f.name) for f in METADATA if f.name not in ("origin_source", "campaign_source")], F.col("source").alias("origin_source"), F.lit(source).alias("campaign_source"), F.lit(query).alias("campaign_query"))
-    moved = {"metadata_json": F.to_json(meta), "source_event_id": F.concat("source", F.lit(":"), "source_event_id"), "source": F.lit("campaign"), "job_ord": F.lit(order)}
+    own = {"origin_source": F.col("source"), "campaign_source": F.lit(source), "campaign_query": F.lit(query)}
+    known = F.map_filter(F.coalesce(F.try_parse_json("metadata_json"), F.parse_json(F.lit("{}"))).cast("map<string,variant>"), lambda k, _: ~k.isin(list(own)))
+    meta = F.map_concat(known, F.create_map(*[x for k, c in own.items() for x in (F.lit(k), c.cast("variant"))]))
+    moved = {"metadata_json": sorted_json(F.to_json(meta)), "source_event_id": F.concat("source", F.lit(":"), "source_event_id"), "source": F.lit("campaign"), "job_ord": F.lit(order)}
     return rows.withColumns(moved)
 
 

@@ -108,6 +108,13 @@ def normalise(events: DataFrame, retrieval_method: str) -> DataFrame:
         F.when(push, F.transform(said, lambda c: F.substring(c["message"], 1, MAX_MESSAGE_CHARS))).alias("commit_messages"),
         F.when(push, F.array_sort(F.array_distinct(F.transform(emails, lambda m: F.lower(F.substring_index(m, "@", -1)))))).alias("author_email_domains"),
     )
+    said_of = {"public": F.coalesce("e.public", F.lit(True)), "payload_action": col("action"), "actor_type": F.col("e.actor.type")}
+    about = {"conversation_root": F.when(is_("IssueCommentEvent"), F.concat(F.lit("issue:"), F.coalesce(col("issue.id").cast("string"), F.lit("None"))))}
+    about |= {"commit_count": F.when(push, F.size(commits)), "commit_shas": F.when(push, F.filter(F.transform(commits, lambda c: c["sha"]), lambda x: F.coalesce(x, F.lit("")) != ""))}
+    # Of a push or a comment only: absent elsewhere, where the others may be null.
+    own_keys = F.to_json(F.struct(*[c.alias(k) for k, c in about.items()], meta["commit_messages"].alias("commit_messages"), meta["author_email_domains"].alias("author_email_domains")))
+    always = F.to_json(F.struct(*[c.alias(k) for k, c in said_of.items()]), {"ignoreNullFields": "false"})
+    whole = F.when(own_keys == "{}", always).otherwise(F.concat(F.substring(always, F.lit(1), F.length(always) - 1), F.lit(","), F.substring(own_keys, 2, 1 << 30)))
     nothing = F.lit(None).cast("string")
     out = events.filter(kind.isin(EVENT_TYPES)).withColumn("text", text)
     return out.select(
@@ -130,6 +137,7 @@ def normalise(events: DataFrame, retrieval_method: str) -> DataFrame:
         F.sha2(F.coalesce("text", kind), 256).alias("content_sha256"),
         meta.alias("metadata"),
         F.struct(F.coalesce(F.nullif(own, F.lit("")), home).alias("url"), F.lit(retrieval_method).alias("retrieval_method"), F.current_timestamp().alias("retrieved_at")).alias("provenance"),
+        whole.alias("metadata_text"),
     )
 
 
@@ -159,8 +167,9 @@ def truncated(observations: DataFrame, limits: Limits) -> DataFrame:
     )
 
 
-def read_archive(spark: SparkSession, path: str, limits: Limits = Limits()) -> tuple[DataFrame, dict[str, int]]:
-    """Observations of an archive hour and its counters. A gzip stream that ends early is an error."""
+def read_archive(spark: SparkSession, path: str, limits: Limits = Limits(), hour: str | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """Observations of an archive hour and its counters. A gzip stream that ends early is an error. ``hour`` is noted in
+    the metadata, beside what of a row was found and cut."""
     lines = spark.read.text(path)
     if limits.max_lines is not None:
         lines = lines.filter(F.length("value") > 0).limit(limits.max_lines)
@@ -189,5 +198,8 @@ def read_archive(spark: SparkSession, path: str, limits: Limits = Limits()) -> t
     counters["dropped_candidate_events"] = counters["candidate_events"] - counters["candidate_observations"]
     counters["dropped_sampled_events"] = counters["sampled_events"] - counters["sampled_observations"]
     counters["observations"] = counters["candidate_observations"] + counters["sampled_observations"]
-    rows = truncated(rows.filter("retained"), limits).withColumns({"source": F.lit("gharchive"), "event_key": F.concat(F.lit("github:event:gharchive:"), "source_event_id"), "ingest_ord": F.col("line_no")})
+    noted = F.struct(F.lit(hour).alias("archive_hour"), F.col("candidate").alias("candidate_retained"), F.when(F.col("text_truncated"), F.lit(True)).alias("text_truncated"))
+    rows = truncated(rows.filter("retained"), limits)
+    rows = rows.withColumn("metadata_text", F.concat(F.substring(F.col("metadata_text"), F.lit(1), F.length("metadata_text") - 1), F.lit(","), F.substring(F.to_json(noted), 2, 1 << 30)))
+    rows = rows.withColumns({"source": F.lit("gharchive"), "event_key": F.concat(F.lit("github:event:gharchive:"), "source_event_id"), "ingest_ord": F.col("line_no")})
     return canonical(rows), counters

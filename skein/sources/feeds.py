@@ -18,13 +18,15 @@ from skein.sources.observations import METADATA, canonical
 
 MAX_TEXT = 20_000
 USER = "struct<login:string,type:string>"
-ROOT = f"id long, number long, title string, body string, created_at string, repository_url string, html_url string, state string, user {USER}, pull_request struct<url:string>"
+#: What metadata holds of an item besides its own fields.
+_STANDING = "author_association string"
+ROOT = f"id long, number long, title string, body string, created_at string, repository_url string, html_url string, state string, user {USER}, pull_request struct<url:string>, labels array<struct<name:string>>, comments long, {_STANDING}"
 ISSUE = f"{ROOT}, updated_at string"
-COMMENT = f"id long, body string, created_at string, html_url string, user {USER}, performed_via_github_app struct<slug:string>, in_reply_to_id long"
+COMMENT = f"id long, body string, created_at string, html_url string, user {USER}, performed_via_github_app struct<slug:string>, in_reply_to_id long, path string, {_STANDING}"
 POST = "id string, subreddit string, author string, created_utc string, title string, selftext string, score long, num_comments long"
 POST_COMMENT = "id string, subreddit string, author string, created_utc string, body string, link_id string, parent_id string, score long"
 HIT = "repo string, path string, snippet string"
-CODE_HIT = "sha string, path string, html_url string, repository struct<full_name:string,owner:struct<login:string>>"
+CODE_HIT = "sha string, path string, html_url string, score double, repository struct<full_name:string,owner:struct<login:string>>"
 
 
 class Collector(Protocol):
@@ -37,16 +39,18 @@ CollectorFactory = Callable[[str, int], Collector]
 
 
 def _raw(df: DataFrame, **given: Column) -> DataFrame:
-    """Raw observations from the given columns; the rest is null."""
+    """Raw observations from the given columns; the rest is null. ``metadata`` may hold any keys."""
     text = given["text"]
     meta = given.pop("metadata", {})
+    # A key without a value is kept as null.
+    whole = F.to_json(F.struct(*[c.alias(k) for k, c in meta.items()]), {"ignoreNullFields": "false"}) if meta else F.lit("{}")
     struct = F.struct(*[meta.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in METADATA])
     absent = ["event_key", "platform", "actor_key", "repository", "resource_key", "thread_id", "conversation_key", "reply_to", "parent_key"]
     columns = {name: F.lit(None).cast("string") for name in absent}
     columns |= {"observed_at": F.current_timestamp(), "artifact_urls": X.extract_urls(text), "code_blocks": X.extract_code_blocks(text), "content_sha256": F.sha2(text, 256)} | given
     url, method = columns.pop("url"), columns.pop("method")
     provenance = F.struct(url.alias("url"), F.lit(method).alias("retrieval_method"), F.current_timestamp().alias("retrieved_at"))
-    return df.select(*[c.alias(k) for k, c in columns.items()], struct.alias("metadata"), provenance.alias("provenance"))
+    return df.select(*[c.alias(k) for k, c in columns.items()], struct.alias("metadata"), provenance.alias("provenance"), whole.alias("metadata_text"))
 
 
 def issue_observations(items: DataFrame) -> DataFrame:
@@ -57,7 +61,8 @@ def issue_observations(items: DataFrame) -> DataFrame:
     return canonical(
         _raw(
             items, source=F.lit("github-search"), source_event_id=F.concat(F.lit("issue:"), "id"), event_time=when, actor=F.coalesce("user.login", F.lit("unknown")), event_type=kind, text=text,
-            repository=F.nullif(F.regexp_extract(F.coalesce("repository_url", F.lit("")), r"/repos/(.+)$", 1), F.lit("")), thread_id=F.col("number").cast("string"), url=F.coalesce("html_url", F.lit("")), method=F.lit("github-rest-search-issues"), metadata={"actor_type": F.col("user.type")},
+            repository=F.nullif(F.regexp_extract(F.coalesce("repository_url", F.lit("")), r"/repos/(.+)$", 1), F.lit("")), thread_id=F.col("number").cast("string"), url=F.coalesce("html_url", F.lit("")), method=F.lit("github-rest-search-issues"),
+            metadata={"number": F.col("number"), "state": F.col("state"), "labels": F.coalesce(F.transform("labels", lambda x: x["name"]), F.array().cast("array<string>")), "comments": F.coalesce("comments", F.lit(0)), "actor_type": F.col("user.type"), "author_association": F.col("author_association")},
         )
     )
 
@@ -69,7 +74,7 @@ def code_observations(items: DataFrame) -> DataFrame:
     return canonical(
         _raw(
             items, source=F.lit("github-code-search"), source_event_id=F.concat(F.lit("code:"), F.coalesce("sha", F.lit("None")), F.lit(":"), path), event_time=F.current_timestamp(), actor=F.coalesce("repository.owner.login", F.lit("unknown")),
-            event_type=F.lit("code_search_hit"), text=F.concat(F.coalesce(repo, F.lit("None")), F.lit(":"), path), repository=repo, artifact_urls=none, code_blocks=none, url=F.coalesce("html_url", F.lit("")), method=F.lit("github-rest-search-code"), metadata={"sha": F.col("sha")},
+            event_type=F.lit("code_search_hit"), text=F.concat(F.coalesce(repo, F.lit("None")), F.lit(":"), path), repository=repo, artifact_urls=none, code_blocks=none, url=F.coalesce("html_url", F.lit("")), method=F.lit("github-rest-search-code"), metadata={"path": F.col("path"), "sha": F.col("sha"), "score": F.col("score")},
         )
     )
 
@@ -91,23 +96,27 @@ def thread_observations(roots: DataFrame, comments: DataFrame, review_comments:
     login = F.coalesce(F.col("user.login"), F.lit("unknown"))
     first = _raw(
         roots, source=F.lit("github-thread-search"), source_event_id=F.concat(F.lit("issue:"), "id"), event_time=F.coalesce(F.to_timestamp("created_at"), F.current_timestamp()), actor=login,
-        event_type=F.when(is_pull, "pull_request").otherwise("issue"), text=text, repository=F.col("repository"), thread_id=F.col("number").cast("string"), url=F.coalesce("html_url", F.lit("")), method="github-rest-thread-search", metadata={"actor_type": F.col("user.type")},
+        event_type=F.when(is_pull, "pull_request").otherwise("issue"), text=text, repository=F.col("repository"), thread_id=F.col("number").cast("string"), url=F.coalesce("html_url", F.lit("")), method="github-rest-thread-search",
+        metadata={"number": F.col("number"), "state": F.col("state"), "root": F.lit(True), "actor_type": F.col("user.type"), "author_association": F.col("author_association")},
     )
     keys = roots.select(F.col("id").alias("root_id"), "repository", F.col("number").cast("string").alias("thread_id"), F.col("html_url").alias("root_url"), is_pull.alias("is_pull"))
 
-    def replies(rows: DataFrame, prefix: str, kind: str, method: str, reply: Column) -> DataFrame:
+    root = F.concat(F.lit("issue:"), "root_id")
+    thread = F.col("thread_id").cast("long")
+
+    def replies(rows: DataFrame, prefix: str, kind: str, method: str, reply: Column, more: dict[str, Column]) -> DataFrame:
         from pyspark.sql import Window
 
         held = rows.join(keys, "root_id").withColumn("_n", F.row_number().over(Window.partitionBy("root_id").orderBy("created_at", "id"))).filter(F.col("_n") <= comments_per_thread)
         return _raw(
             held, source=F.lit("github-thread-search"), source_event_id=F.concat(F.lit(f"{prefix}:"), "id"), event_time=F.coalesce(F.to_timestamp("created_at"), F.current_timestamp()), actor=login, event_type=F.lit(kind),
             text=F.coalesce("body", F.lit("")), repository=F.col("repository"), thread_id=F.col("thread_id"), reply_to=reply, url=F.coalesce("html_url", "root_url", F.lit("")), method=method,
-            metadata={"actor_type": F.col("user.type"), "github_app_slug": F.col("performed_via_github_app.slug")},
+            metadata=more | {"conversation_root": root, "actor_type": F.col("user.type"), "author_association": F.col("author_association"), "github_app_slug": F.col("performed_via_github_app.slug")},
         )
 
-    plain = replies(comments, "comment", "issue_comment", "github-rest-thread-comments", F.lit(None).cast("string"))
+    plain = replies(comments, "comment", "issue_comment", "github-rest-thread-comments", F.lit(None).cast("string"), {"issue_number": thread, "root": F.lit(False)})
     pulls = review_comments.join(keys.filter("is_pull").select("root_id"), "root_id", "left_semi")
-    review = replies(pulls, "review-comment", "pull_request_review_comment", "github-rest-pr-review-comments", F.concat(F.lit("review-comment:"), "in_reply_to_id"))
+    review = replies(pulls, "review-comment", "pull_request_review_comment", "github-rest-pr-review-comments", F.concat(F.lit("review-comment:"), "in_reply_to_id"), {"pull_request_number": thread, "path": F.col("path")})
     return canonical(first.unionByName(plain).unionByName(review))
 
 
@@ -129,19 +138,19 @@ def forum_observations(posts: DataFrame, comments: DataFrame, query: str = "") -
     none = F.array().cast("array<string>")
     first = _raw(
         posts, source=F.lit("reddit"), source_event_id=F.col("id"), observed_at=when, event_time=when, actor=author, platform=F.lit("reddit"), event_type=F.lit("submission"), text=F.nullif(F.substring(text, 1, MAX_TEXT), F.lit("")),
-        repository=F.concat(F.lit("reddit/r/"), sub), thread_id=F.col("id"), url=F.concat(place, "id", F.lit("/")), method="arctic-shift", artifact_urls=none, code_blocks=none, content_sha256=F.lit(None).cast("string"),
+        repository=F.concat(F.lit("reddit/r/"), sub), thread_id=F.col("id"), url=F.concat(place, "id", F.lit("/")), method="arctic-shift", metadata={"subreddit": sub, "score": F.col("score"), "num_comments": F.col("num_comments")}, artifact_urls=none, code_blocks=none, content_sha256=F.lit(None).cast("string"),
     )
     link = F.regexp_replace(F.coalesce("link_id", F.lit("")), "^t3_", "")
     under = comments.filter(F.col("body").isNotNull() & ~F.col("body").isin("[deleted]", "[removed]")).withColumn("post_id", link).join(posts.select(F.col("id").alias("post_id")).distinct(), "post_id", "left_semi")
     parent = F.nullif(F.regexp_replace(F.regexp_replace(F.coalesce("parent_id", F.lit("")), "^t1_", ""), "^t3_", ""), F.lit(""))
     said = _raw(
         under, source=F.lit("reddit"), source_event_id=F.col("id"), observed_at=when, event_time=when, actor=author, platform=F.lit("reddit"), event_type=F.lit("comment"), text=F.substring("body", 1, MAX_TEXT),
-        repository=F.concat(F.lit("reddit/r/"), sub), thread_id=F.col("post_id"), reply_to=parent, url=F.concat(place, "post_id", F.lit("/comment/"), "id", F.lit("/")), method="arctic-shift", artifact_urls=none, code_blocks=none, content_sha256=F.lit(None).cast("string"),
+        repository=F.concat(F.lit("reddit/r/"), sub), thread_id=F.col("post_id"), reply_to=parent, url=F.concat(place, "post_id", F.lit("/comment/"), "id", F.lit("/")), method="arctic-shift", metadata={"score": F.col("score")}, artifact_urls=none, code_blocks=none, content_sha256=F.lit(None).cast("string"),
     )
     return canonical(first.unionByName(said))
 
 
-def snippet_observations(hits: DataFrame) -> DataFrame:
+def snippet_observations(hits: DataFrame, query: str = "") -> DataFrame:
     """Code-search hits: the snippet's text is the one code block, and the repository's owner counts as the actor."""
     content = X.strip(X.unescape(F.regexp_replace(F.coalesce("snippet", F.lit("")), "<[^>]+>", "")))
     repo, path = F.coalesce("repo", F.lit("")), F.coalesce("path", F.lit(""))
@@ -150,7 +159,7 @@ def snippet_observations(hits: DataFrame) -> DataFrame:
     return canonical(
         _raw(
             hits, source=F.lit("grep.app"), source_event_id=F.concat(F.lit("grep:"), F.sha2(text, 256)), event_time=F.current_timestamp(), actor=F.coalesce(F.nullif(F.substring_index(repo, "/", 1), F.lit("")), F.lit("unknown")), platform=F.lit("github"),
-            event_type=F.lit("code_search_hit"), text=text, repository=F.nullif(repo, F.lit("")), artifact_urls=F.array().cast("array<string>"), code_blocks=F.when(content != "", F.array(content)).otherwise(F.array().cast("array<string>")), url=url, method="grep.app-public-search",
+            event_type=F.lit("code_search_hit"), text=text, repository=F.nullif(repo, F.lit("")), artifact_urls=F.array().cast("array<string>"), code_blocks=F.when(content != "", F.array(content)).otherwise(F.array().cast("array<string>")), url=url, method="grep.app-public-search", metadata={"path": path, "query": F.lit(query), "experimental": F.lit(True)},
         )
     )
 

@@ -218,7 +218,7 @@ class Snippets(Source):
         return snippet_page(self.get(SNIPPETS, {"q": self.query, "page": number}))
 
     def collect(self, spark: SparkSession) -> DataFrame:
-        return feeds.snippet_observations(self.items(spark, feeds.HIT))
+        return feeds.snippet_observations(self.items(spark, feeds.HIT), self.query)
 
 
 def snippet_page(answer: dict) -> list[dict]:

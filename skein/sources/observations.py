@@ -1,6 +1,7 @@
 """The canonical observation table: schema, derived keys, and the readers of observations.
 
-Metadata keys that the analysis reads are columns of their own; the rest travels as JSON in ``metadata_json``.
+Metadata is an open JSON object. The keys that the analysis reads are columns of their own; all keys travel in
+``metadata_json``, sorted, in the form that Spark's variants have as JSON (numbers without trailing zeros).
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ RAW = T.StructType(
     + [T.StructField(k, _S) for k in ("actor", "platform", "actor_key", "event_type", "text", "repository", "resource_key", "thread_id", "conversation_key", "reply_to", "parent_key")]
     + [T.StructField("artifact_urls", _A), T.StructField("code_blocks", _A), T.StructField("content_sha256", _S), T.StructField("metadata", METADATA), T.StructField("provenance", PROVENANCE)]
 )
+#: As it stands in JSON lines: the metadata as one piece of text, whatever its keys.
+JSON_RAW = T.StructType([T.StructField(f.name, _S if f.name == "metadata" else f.dataType) for f in RAW])
 REQUIRED = ["source", "source_event_id", "observed_at", "event_time", "actor", "event_type"]
 # Sources that name the code host by another name.
 HOST_SOURCES, HOST_CAMPAIGNS = ["gharchive", "grepapp"], ["github-thread", "github-code", "grep"]
@@ -53,9 +56,22 @@ def derive_keys(df: DataFrame) -> DataFrame:
     return df.withColumn("conversation_key", F.coalesce(_set(F.col("conversation_key")), F.concat("resource_key", F.lit(":thread:"), _set(F.col("thread_id")))))
 
 
+def sorted_json(text: Column) -> Column:
+    """A JSON object with its keys in order; one that is no variant, as with a key twice, stays as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(text)), text)
+
+
+def opened(raw: DataFrame) -> DataFrame:
+    """Rows of JSON_RAW with the keys that are read in ``metadata`` and the whole in ``metadata_text``."""
+    wrong = F.col("metadata").isNotNull() & ~F.ltrim("metadata").startswith("{")
+    whole = F.when(wrong, F.raise_error(F.lit("metadata must be an object"))).otherwise(F.col("metadata"))
+    return raw.withColumn("metadata_text", whole).withColumn("metadata", F.from_json("metadata_text", METADATA))
+
+
 def canonical(df: DataFrame) -> DataFrame:
     """Keys, flattened metadata and provenance, and the input order that breaks ties of time."""
     df = derive_keys(df)
+    whole = F.col("metadata_text") if "metadata_text" in df.columns else F.to_json("metadata")
     context = F.filter(F.array(*[F.lower(F.col(f"metadata.{k}")) for k in CONTEXT_KEYS]), lambda x: x.isNotNull())
     out = df.select(
         *[f.name for f in RAW if f.name not in ("metadata", "provenance")],
@@ -65,7 +81,7 @@ def canonical(df: DataFrame) -> DataFrame:
         F.coalesce(F.col("metadata.commit_messages"), F.array().cast("array<string>")).alias("commit_messages"),
         F.coalesce(F.col("metadata.author_email_domains"), F.array().cast("array<string>")).alias("email_domains"),
         F.col("provenance.url").alias("provenance_url"),
-        F.to_json("metadata").alias("metadata_json"),
+        F.coalesce(sorted_json(whole), F.lit("{}")).alias("metadata_json"),
         *[c for c in ("ingest_ord",) if c in df.columns],
     )
     return out if "ingest_ord" in df.columns else out.withColumn("ingest_ord", F.monotonically_increasing_id())
@@ -73,9 +89,9 @@ def canonical(df: DataFrame) -> DataFrame:
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """One validated observation for each line; a malformed line or a missing required field stops the job when read."""
-    raw = spark.read.schema(RAW).option("mode", "FAILFAST").json(path)
+    raw = opened(spark.read.schema(JSON_RAW).option("mode", "FAILFAST").json(path))
     for name in REQUIRED:
-        raw = raw.withColumn(name, F.when(F.col(name).isNotNull(), F.col(name)).otherwise(F.raise_error(F.lit(f"observation without {name}")).cast(RAW[name].dataType)))
+        raw = raw.withColumn(name, F.when(F.col(name).isNotNull(), F.col(name)).otherwise(F.raise_error(F.lit(f"observation without {name}")).cast(JSON_RAW[name].dataType)))
     return canonical(raw)
 
 

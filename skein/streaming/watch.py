@@ -15,13 +15,13 @@ from skein.operators import state
 from skein.operators.scoring import CalibrationProfile, cluster_facts
 from skein.plans.analyze import Analysis, analyze, bundles, summary
 from skein.scratch import written
-from skein.sources.observations import RAW, canonical
+from skein.sources.observations import JSON_RAW, canonical, opened
 from skein.store import Store
 
 
 def observation_stream(spark: SparkSession, path: str, late: str = "24 hours") -> DataFrame:
     """A stream of files of observation JSON, keyed; a key that comes again within the watermark is dropped."""
-    raw = spark.readStream.schema(RAW).json(path)
+    raw = opened(spark.readStream.schema(JSON_RAW).json(path))
     keyed = canonical(raw.withColumn("ingest_ord", F.unix_micros("event_time")))
     return keyed.withWatermark("event_time", late).dropDuplicatesWithinWatermark(["event_key"])
 

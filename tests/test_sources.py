@@ -91,9 +91,9 @@ def test_hour_names():
 
 def test_review_threads_reach_the_verified_route(spark):
     user = lambda n: (n, "User")
-    root = [(1, 5, "PR", "body", "2026-01-05T12:00:00Z", "https://api.github.com/repos/acme/widgets", "https://h/1", "open", user("author"), ("u",)), (2, 6, "no repo", "", None, "", "", "open", user("x"), None)]
+    root = [(1, 5, "PR", "body", "2026-01-05T12:00:00Z", "https://api.github.com/repos/acme/widgets", "https://h/1", "open", user("author"), ("u",), [("bug",)], 3, "OWNER"), (2, 6, "no repo", "", None, "", "", "open", user("x"), None, None, None, None)]
     roots = spark.createDataFrame(root, feeds.ROOT)
-    comment = lambda i, who, text, minute, parent: (i, text, f"2026-01-05T12:{minute:02d}:00Z", f"https://h/{i}", user(who), None, parent, 1)
+    comment = lambda i, who, text, minute, parent: (i, text, f"2026-01-05T12:{minute:02d}:00Z", f"https://h/{i}", user(who), None, parent, "a.py", None, 1)
     review = spark.createDataFrame([comment(21, "lead", "Please run the migration", 1, None), comment(22, "worker", "ACK, starting task", 2, 21), comment(23, "worker", "task complete, returning the result", 3, 22)], feeds.COMMENT + ", root_id long")
     plain = spark.createDataFrame([comment(31, "other", "hello", 4, None)], feeds.COMMENT + ", root_id long")
     obs = feeds.thread_observations(roots, plain, review)
@@ -137,3 +137,32 @@ def test_corpus_evaluation(spark, tmp_path):
     (tmp_path / "l.json").write_text(json.dumps({"clusters": [labels[0], labels[0] | {"id": "X"}]}))
     with pytest.raises(ValueError, match="leakage"):
         evaluate_files(spark, str(tmp_path / "o.jsonl"), str(tmp_path / "l.json"))
+
+
+def test_metadata_is_open(spark, observations, tmp_path):
+    given = {"z": 1, "labels": ["a", "é"], "title": 'say "x"', "deep": {"b": None, "a": [1, 2.5, {"q": True}]}, "actor_type": "User", "sha": "ABC", "big": 123456789012345678901234567890}
+    rows = observations([ob(1, "a", "t", metadata=given), ob(2, "a", "t"), ob(3, "a", "t", metadata={"commit_messages": "no list", "actor_type": 5})])
+    got = {r["source_event_id"]: r for r in rows.collect()}
+    assert json.loads(got["1"]["metadata_json"]) == given and list(json.loads(got["1"]["metadata_json"])) == sorted(given)
+    assert got["1"]["actor_type"] == "User" and got["1"]["context_ids"] == ["abc"] and got["2"]["metadata_json"] == "{}"
+    assert json.loads(got["3"]["metadata_json"]) == {"commit_messages": "no list", "actor_type": 5} and got["3"]["commit_messages"] == []
+    write_parquet(rows, str(tmp_path / "out"))
+    kept = duckdb.sql(f"SELECT metadata_json FROM '{tmp_path}/out/*.parquet' WHERE source_event_id = '1'").df()
+    assert json.loads(kept["metadata_json"][0]) == given
+    with pytest.raises(Exception, match="must be an object"):
+        observations([ob(1, "a", "t", metadata=["x"])]).collect()
+    path = tmp_path / "twice.jsonl"
+    path.write_text(json.dumps(ob(1, "a", "t", metadata={"k": 1})).replace('{"k": 1}', '{"k": 1, "k": 2}') + "\n")
+    assert json.loads(read_jsonl(spark, str(path)).first()["metadata_json"]) == {"k": 2}
+
+
+def test_metadata_of_archives_and_campaigns(spark, tmp_path):
+    from skein.plans.campaign import _as_found
+
+    path = write_archive(tmp_path / "a.json.gz", [json.dumps(e) for e in EVENTS])
+    rows, _ = archive.read_archive(spark, path, archive.Limits(sample_rate=0.0, max_text_chars=8), "2026-01-05-12")
+    got = {r["source_event_id"]: json.loads(r["metadata_json"]) for r in rows.collect()}
+    assert got["1"]["archive_hour"] == "2026-01-05-12" and got["1"]["candidate_retained"] and got["1"]["text_truncated"] and got["1"]["public"] and "payload_action" in got["1"]
+    assert got["3"]["commit_messages"] == ["checkpoint one", "two"] and got["3"]["commit_count"] == len(EVENTS[2]["payload"]["commits"]) and "commit_count" not in got["1"]
+    found = [json.loads(r["metadata_json"]) for r in _as_found(rows, "q", "gh", 1).collect()]
+    assert all(m["origin_source"] == "gharchive" and m["campaign_query"] == "q" and m["archive_hour"] for m in found)
