@@ -178,7 +178,8 @@ def anchored_windows(rows: DataFrame, key: str, minutes: int = 60) -> DataFrame:
     # Of rows at an opener's time the first opens the window.
     first = F.row_number().over(Window.partitionBy("key", "us").orderBy("ingest_ord")) == 1
     flagged = marked.withColumn("window", (F.col("opens").isNotNull() & first).cast("int"))
-    out = counted(flagged.select("key", *order, "event_key", "window"), ["key"], order, "window")
+    # It counts before all others of its time, in whatever order they come.
+    out = counted(flagged.select("key", *order, "event_key", "window"), ["key"], ["us", F.desc("window")], "window")
     return out.select(F.when(F.col("key") != "-", F.substring("key", 2, 1 << 30)).alias("key"), *order, "event_key", (F.col("window") - 1).alias("window"))
 
 

@@ -39,7 +39,7 @@ def never_silent(seed, n=600):
         at += rng.choice([0, 1, HOUR // 9, HOUR // 3, HOUR - 1, HOUR])
         rows.append(("a", at, i, f"k{i}"))
     rng.shuffle(rows)
-    return rows + [("b", 1, n, "b1"), ("b", HOUR + 1, n + 1, "b2"), ("b", HOUR + 2, n + 2, "b3"), (None, 3, n + 3, "n")]
+    return rows + [("b", 1, n, "b1"), ("b", HOUR + 1, n + 1, "b2"), ("b", HOUR + 2, n + 2, "b3"), ("b", HOUR + 2, n + 2, "b4"), ("b", 3 * HOUR, 7, "b5"), ("b", 3 * HOUR, 7, "b6"), (None, 3, n + 3, "n")]
 
 
 @pytest.mark.parametrize(("rows", "few"), [(rows_of(5), 20_000), (rows_of(5), 2), (never_silent(1), 20_000), (never_silent(1), 0), (never_silent(2), 0)])
