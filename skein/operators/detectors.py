@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
+from skein.operators.cycles import largest
 from skein.operators.ordered import previous
 from skein.scratch import written
 
@@ -341,52 +341,11 @@ def graph_tables(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def _largest_cycle(rows: pd.DataFrame) -> pd.DataFrame:
-    """Size of the largest strongly connected component of one cluster's actor graph."""
-    ahead: dict[str, list[str]] = {}
-    back: dict[str, list[str]] = {}
-    for a, b in zip(rows["src"], rows["dst"], strict=True):
-        ahead.setdefault(a, []).append(b)
-        back.setdefault(b, []).append(a)
-        ahead.setdefault(b, [])
-        back.setdefault(a, [])
-    finished, seen = [], set()
-    for root in ahead:
-        if root in seen:
-            continue
-        seen.add(root)
-        stack = [(root, iter(ahead[root]))]
-        while stack:
-            node, rest = stack[-1]
-            for nxt in rest:
-                if nxt not in seen:
-                    seen.add(nxt)
-                    stack.append((nxt, iter(ahead[nxt])))
-                    break
-            else:
-                finished.append(node)
-                stack.pop()
-    largest, placed = 1, set()
-    for root in reversed(finished):
-        if root in placed:
-            continue
-        placed.add(root)
-        stack, n = [root], 0
-        while stack:
-            n += 1
-            for nxt in back[stack.pop()]:
-                if nxt not in placed:
-                    placed.add(nxt)
-                    stack.append(nxt)
-        largest = max(largest, n)
-    return pd.DataFrame([(rows["cluster_id"].iloc[0], largest)], columns=["cluster_id", "scc"])
-
-
 def _topology(c: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = written(reply_edges(c), "replies")
     mutual = edges.join(edges.select("cluster_id", F.col("src").alias("dst"), F.col("dst").alias("src")), ["cluster_id", "src", "dst"], "left_semi").groupBy("cluster_id").agg(F.count("*").alias("mutual"))
     out = edges.groupBy("cluster_id", "src").agg(F.count("*").alias("out")).groupBy("cluster_id").agg(F.max("out").alias("max_out"), F.sum("out").alias("edges"))
-    cycles = edges.groupBy("cluster_id").applyInPandas(_largest_cycle, "cluster_id string, scc long")
+    cycles = largest(edges)
     actors = c.groupBy("cluster_id").agg(F.count_distinct("actor_key").alias("actors")).filter("actors >= 2")
     per = actors.join(out, "cluster_id").join(cycles, "cluster_id").join(mutual, "cluster_id", "left")
     per = per.withColumn("reciprocity", F.coalesce("mutual", F.lit(0)) / F.col("edges"))
