@@ -16,6 +16,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.operators.commits import Log
+
 
 def upsert_latest(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """Both tables with one row a key: of the new rows the last by ``order``, else the old one."""
@@ -123,88 +125,97 @@ def replace_text(path: Path, text: str) -> None:
 
 
 class Control:
-    """Small state of a monitor: alerts with reviews, query and page cursors, ingestion partitions, key values."""
+    """Small state of a monitor: alerts with reviews, query and page cursors, ingestion partitions, key values.
+
+    It is a log of records in the folder ``path``. Several drivers may hold it at once: every decision is made on the state
+    that the record before it left, and a decision that another one overtook is made again.
+    """
 
     STATUSES = ("reviewed", "false-positive", "escalated", "classification-error")
 
     def __init__(self, path: str | Path):
-        self.path = Path(path)
-        self.state = json.loads(self.path.read_text()) if self.path.exists() else {"alerts": [], "reviews": {}, "cursors": {}, "partitions": {}, "values": {}}
+        self.log = Log(str(path), ["alerts", "reviews", "cursors", "partitions", "values"])
 
-    def _save(self) -> None:
-        self.path.parent.mkdir(parents=True, exist_ok=True)
-        replace_text(self.path, json.dumps(self.state, indent=1, sort_keys=True))
+    @property
+    def state(self) -> dict:
+        """All of it as it is now, alerts in order."""
+        maps = self.log.read()
+        return maps | {"alerts": [maps["alerts"][k] for k in sorted(maps["alerts"], key=int)]}
 
     def raise_alert(self, fingerprint: str, cluster_id: str, summary: dict, at: datetime | None = None) -> int:
         """The id of the alert with this fingerprint; a new pending one if there is none."""
-        for alert in self.state["alerts"]:
-            if alert["fingerprint"] == fingerprint:
-                return alert["id"]
-        alert = {"id": len(self.state["alerts"]) + 1, "fingerprint": fingerprint, "cluster_id": cluster_id, "status": "pending", "summary": summary, "created_at": (at or datetime.now(UTC)).isoformat()}
-        self.state["alerts"].append(alert)
-        self._save()
-        return alert["id"]
+        found: list[int] = []
+
+        def decide(now: dict) -> dict | None:
+            found[:] = [a["id"] for a in now["alerts"].values() if a["fingerprint"] == fingerprint] or [len(now["alerts"]) + 1]
+            if str(found[0]) in now["alerts"]:
+                return None
+            return {"alerts": {str(found[0]): {"id": found[0], "fingerprint": fingerprint, "cluster_id": cluster_id, "status": "pending", "summary": summary, "created_at": (at or datetime.now(UTC)).isoformat()}}}
+
+        self.log.commit(decide)
+        return found[0]
 
     def pending(self) -> dict | None:
         return next((a for a in self.state["alerts"] if a["status"] == "pending"), None)
 
     def resolve(self, alert_id: int, status: str) -> bool:
-        """Only a pending alert changes."""
+        """Only a pending alert changes: of two drivers that resolve it one is told so."""
         if status not in self.STATUSES:
             raise ValueError(f"unknown status: {status}")
-        for alert in self.state["alerts"]:
-            if alert["id"] == alert_id and alert["status"] == "pending":
-                alert["status"] = status
-                self._save()
-                return True
-        return False
+
+        def decide(now: dict) -> dict | None:
+            alert = now["alerts"].get(str(alert_id))
+            return {"alerts": {str(alert_id): alert | {"status": status}}} if alert and alert["status"] == "pending" else None
+
+        return self.log.commit(decide) is not None
 
     def review(self, alert_id: int, review: dict) -> None:
         """Keeps a review: classification, reviewer, model, classification_created_at."""
-        self.state["reviews"][str(alert_id)] = review
-        self._save()
+        self.log.commit(lambda now: {"reviews": {str(alert_id): review}})
 
     def findings(self) -> list[dict]:
         """All alerts in order, each with its review if it has one."""
-        return [a | {"classification": None} | self.state["reviews"].get(str(a["id"]), {}) for a in self.state["alerts"]]
+        now = self.state
+        return [a | {"classification": None} | now["reviews"].get(str(a["id"]), {}) for a in now["alerts"]]
 
     def rescored(self, alert_id: int, changes: dict) -> None:
         """Takes new values into an alert's summary; its status and review stay."""
-        for alert in self.state["alerts"]:
-            if alert["id"] == alert_id:
-                alert["summary"] = alert["summary"] | changes
-        self._save()
+
+        def decide(now: dict) -> dict | None:
+            alert = now["alerts"].get(str(alert_id))
+            return {"alerts": {str(alert_id): alert | {"summary": alert["summary"] | changes}}} if alert else None
+
+        self.log.commit(decide)
 
     def unsent(self, channel: str, recipient: str) -> list[dict]:
         """Pending alerts after the last that was sent there; the recipient is kept as a digest only."""
-        last = self.state["values"].get(self._mark(channel, recipient), 0)
-        return [a for a in self.state["alerts"] if a["status"] == "pending" and a["id"] > last]
+        now = self.state
+        last = now["values"].get(self._mark(channel, recipient), 0)
+        return [a for a in now["alerts"] if a["status"] == "pending" and a["id"] > last]
 
     def sent(self, channel: str, recipient: str, alert_id: int) -> None:
-        self.state["values"][self._mark(channel, recipient)] = alert_id
-        self._save()
+        self.log.commit(lambda now: {"values": {self._mark(channel, recipient): alert_id}})
 
     @staticmethod
     def _mark(channel: str, recipient: str) -> str:
         return f"sent:{channel}:{hashlib.sha256(recipient.strip().lower().encode()).hexdigest()}"
 
     def take_batch(self, queries: list[str], size: int) -> list[str]:
-        """The next queries in a circle; the place is kept."""
+        """The next queries in a circle; the place is kept, and no two drivers take the same."""
         if not queries:
             return []
         size = min(len(queries), max(1, size))
-        at = int(self.state["values"].get("query_cursor", 0)) % len(queries)
-        self.state["values"]["query_cursor"] = (at + size) % len(queries)
-        self._save()
-        return [queries[(at + i) % len(queries)] for i in range(size)]
+        at = lambda now: int(now["values"].get("query_cursor", 0)) % len(queries)
+        taken = self.log.commit(lambda now: {"values": {"query_cursor": (at(now) + size) % len(queries)}})
+        first = taken["values"]["query_cursor"] - size
+        return [queries[(first + i) % len(queries)] for i in range(size)]
 
     def cursor(self, source: str, query: str, default=None):
         """The place of a search, in the source's own form: a page, a token, a time, an offset."""
-        return self.state["cursors"].get(f"{source}\0{query}", default)
+        return self.log.read()["cursors"].get(f"{source}\0{query}", default)
 
     def keep_cursor(self, source: str, query: str, cursor) -> None:
-        self.state["cursors"][f"{source}\0{query}"] = cursor
-        self._save()
+        self.log.commit(lambda now: {"cursors": {f"{source}\0{query}": cursor}})
 
     def page(self, source: str, query: str, limit: int | None = None) -> int:
         """The page to read next: the first if the cursor is no page within the limit."""
@@ -220,19 +231,19 @@ class Control:
 
     def begin(self, source: str, partition: str, *, again: bool = False) -> bool:
         """Whether the partition is to be read: a complete one is not, unless asked for again."""
-        known = self.state["partitions"].get(f"{source}\0{partition}")
-        if known and known["status"] == "complete" and not again:
-            return False
-        self.state["partitions"][f"{source}\0{partition}"] = {"status": "running"}
-        self._save()
-        return True
+        key = f"{source}\0{partition}"
+
+        def decide(now: dict) -> dict | None:
+            known = now["partitions"].get(key)
+            return None if known and known["status"] == "complete" and not again else {"partitions": {key: {"status": "running"}}}
+
+        return self.log.commit(decide) is not None
 
     def partition(self, source: str, partition: str) -> dict | None:
-        return self.state["partitions"].get(f"{source}\0{partition}")
+        return self.log.read()["partitions"].get(f"{source}\0{partition}")
 
     def finish(self, source: str, partition: str, stats: dict, error: str | None = None) -> None:
-        self.state["partitions"][f"{source}\0{partition}"] = {"status": "failed" if error else "complete", "stats": stats, "error": error}
-        self._save()
+        self.log.commit(lambda now: {"partitions": {f"{source}\0{partition}": {"status": "failed" if error else "complete", "stats": stats, "error": error}}})
 
 
 def retry_delay(attempt: int, retry_after: float | None = None) -> float:

@@ -6,8 +6,6 @@ seen, and a batch that is written again replaces itself.
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +62,7 @@ class Latest:
 class Store:
     def __init__(self, root: str):
         self.root = root
-        self.control = state.Control(Path(root) / "control.json")
+        self.control = state.Control(f"{root}/control")
         self.observations = Latest(f"{root}/observations", "event_key")
         self.fingerprints = Latest(f"{root}/fingerprints", "fingerprint")
         self.bundles = Latest(f"{root}/bundles", "cluster_id")
@@ -99,7 +97,7 @@ class Store:
         kept = self.control.state
         return {
             "store": self.root,
-            "bytes_on_disk": sum(t.bytes(spark) for t in (*tables.values(), self.signals, self.facts)) + (self.control.path.stat().st_size if self.control.path.exists() else 0),
+            "bytes_on_disk": sum(t.bytes(spark) for t in (*tables.values(), self.signals, self.facts)) + self.control.log.files.size(),
             "counts": {name: 0 if df is None else df.count() for name, df in rows.items()} | {"alerts": len(kept["alerts"]), "partitions": len(kept["partitions"])},
             "oldest_event_time": span[0],
             "newest_event_time": span[1],
