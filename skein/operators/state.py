@@ -9,7 +9,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
 from pathlib import Path
 
