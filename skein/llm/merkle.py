@@ -22,7 +22,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.license_scan import _let as let
 from skein.llm.names import numbered
 from skein.llm.radix import long_key, nulls_first, ranked
 from skein.scratch import written
