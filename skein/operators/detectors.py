@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from skein.functions import text as X
 from skein.operators.cycles import largest
 from skein.operators.ordered import previous
+from skein.operators.selection import medians
 from skein.scratch import written
 
 MAX_REFERENCE_OCCURRENCES, MAX_PATHS, MAX_REPLY_DEPTH = 100, 500, 16
+#: Rows of a cluster whose median of gaps one buffer holds.
+MEDIAN_ROWS = 1_000_000
 MICROS = 1_000_000
 HOUR = 3600 * MICROS
 _TIME = ["us", "ingest_ord"]
@@ -189,18 +192,37 @@ def identity_markers(c: DataFrame) -> DataFrame:
     return _signal(per, "identity", "shared_identity_marker", F.least(F.lit(1.0), 0.65 + 0.08 * F.col("n")), 4, ids=ids, evidence=F.transform(F.slice("items", 1, 10), lambda x: x["line"]), groups=F.transform("items", lambda x: x["g"]))
 
 
+def _large(c: DataFrame) -> DataFrame | None:
+    """Clusters whose medians need more than one buffer."""
+    large = written(c.groupBy("cluster_id").agg(F.count("*").alias("n")).filter(F.col("n") > MEDIAN_ROWS).select("cluster_id", F.lit(True).alias("large")), "large")
+    return None if large.isEmpty() else large
+
+
+def _with_medians(steps: DataFrame, gap_us: Column, large: DataFrame | None, *others: Column) -> DataFrame:
+    """Aggregates of clusters, with ``med``, the median of their gaps in seconds: in a buffer, or for ``large`` clusters by
+    counting digits."""
+    if large is None:
+        return steps.groupBy("cluster_id").agg(F.median(gap_us / MICROS).alias("med"), *others)
+    steps = written(steps.withColumn("gap_", gap_us).join(large, "cluster_id", "left"), "steps")
+    per = steps.groupBy("cluster_id").agg(F.median(F.when(F.col("large").isNull(), F.col("gap_") / MICROS)).alias("small_"), *others)
+    found = medians(steps.filter("large").select("cluster_id", "gap_"), ["cluster_id"], "gap_").select("cluster_id", (0.5 * (F.col("low") / MICROS) + 0.5 * (F.col("high") / MICROS)).alias("large_"))
+    return per.join(found, "cluster_id", "left").withColumn("med", F.coalesce("large_", "small_")).drop("large_", "small_")
+
+
 def handoffs(c: DataFrame) -> DataFrame:
     rows = previous(c.select("cluster_id", "actor_raw", "artifacts", "parent_key", "us", "ingest_ord", "event_key"), ["cluster_id"], _TIME, ["event_key", "actor_raw", "artifacts", "us"])
     reply = F.col("prev").isNotNull() & F.col("parent_key").eqNullSafe(F.col("prev.event_key")) & F.col("prev.event_key").isNotNull()
     shared = F.coalesce(F.arrays_overlap("artifacts", "prev.artifacts"), F.lit(False))
     changed = F.coalesce(F.col("actor_raw") != F.col("prev.actor_raw"), F.lit(False))
-    steps = rows.select("cluster_id", "actor_raw", "us", "ingest_ord", "event_key", changed.alias("changed"), reply.alias("reply"), shared.alias("shared"), ((F.col("us") - F.col("prev.us")) / MICROS).alias("gap"))
+    steps = rows.select("cluster_id", "actor_raw", "us", "ingest_ord", "event_key", changed.alias("changed"), reply.alias("reply"), shared.alias("shared"), (F.col("us") - F.col("prev.us")).alias("gap"))
     linked = F.col("changed") & (F.col("reply") | F.col("shared"))
-    per = steps.groupBy("cluster_id").agg(
+    per = _with_medians(
+        steps,
+        F.when(linked, F.greatest(F.col("gap"), F.lit(0))),
+        _large(c),
         F.count("*").alias("n"),
         F.count_distinct("actor_raw").alias("actors"),
         F.count_if(linked).alias("changes"),
-        F.median(F.when(linked, F.greatest(F.col("gap"), F.lit(0.0)))).alias("med"),
         F.bool_or(linked & ~F.col("reply")).alias("by_artifact"),
         _keys_in_order().alias("ids"),
     )
@@ -213,9 +235,9 @@ def handoffs(c: DataFrame) -> DataFrame:
 
 def periodicity(c: DataFrame) -> DataFrame:
     rows = previous(c.select("cluster_id", "us", "ingest_ord", "event_key"), ["cluster_id"], _TIME, ["us"])
-    gaps = rows.withColumn("gap", (F.col("us") - F.col("prev.us")) / MICROS).drop("prev")
-    positive = F.when(F.col("gap") > 0, F.col("gap"))
-    middle = gaps.groupBy("cluster_id").agg(F.count("*").alias("n"), F.count(positive).alias("gaps"), F.median(positive).alias("med")).filter("n >= 6 AND gaps >= 5 AND med > 0")
+    passed = F.col("us") - F.col("prev.us")
+    gaps = rows.withColumns({"gap": passed / MICROS, "positive": F.when(passed > 0, passed)}).drop("prev")
+    middle = _with_medians(gaps, F.col("positive"), _large(c), F.count("*").alias("n"), F.count("positive").alias("gaps")).filter("n >= 6 AND gaps >= 5 AND med > 0")
     per = gaps.join(middle, "cluster_id").groupBy("cluster_id", "gaps", "med").agg(F.count_if((F.col("gap") > 0) & (F.abs(F.col("gap") - F.col("med")) / F.col("med") <= 0.10)).alias("near"), _keys_in_order().alias("ids"))
     per = per.withColumn("regular", F.col("near") / F.col("gaps")).filter("regular >= 0.60")
     evidence = _strings(F.concat(F.lit("median_gap_seconds="), _two(F.col("med"))), F.concat(F.lit("regular_fraction="), _two(F.col("regular"))))

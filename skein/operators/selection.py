@@ -39,3 +39,11 @@ def ordinals(rows: DataFrame, by: list[str], value: str, wanted: DataFrame) -> D
         found = found.join(ends, [*by, "prefix_"]).filter(inside).select(*by, "k", F.col("digit_").alias("prefix_"), (F.col("left_") - F.col("end_") + F.col("n_")).alias("left_"))
         found = written(found, "ordinals")
     return found.select(*by, "k", F.col("prefix_").alias(value))
+
+
+def medians(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by..., low, high): the two middle values of each group, which are one where the group's number of values is odd."""
+    n = rows.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"))
+    middle = F.explode(F.array_distinct(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))).alias("k")
+    found = ordinals(rows, by, value, written(n.select(*by, middle), "middles"))
+    return found.groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high"))

@@ -6,7 +6,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from skein.operators.selection import ordinals
+from skein.operators import detectors
+from skein.operators.selection import medians, ordinals
 from skein.sources import archive
 
 
@@ -30,3 +31,22 @@ def test_quotas_keep_the_first_lines(spark):
         want = {(c, n, True) for c, quota in ((True, limits.candidates), (False, limits.background)) for n in sorted(n for x, n in rows if x == c)[:quota]}
         assert got == want, most
     assert archive.within_quotas(df.filter(F.col("candidate")), archive.Limits(max_observations=5)).filter("retained").count() == 4
+
+
+def test_medians_equal_the_aggregate(spark):
+    draw = random.Random(8)
+    df = spark.createDataFrame([(g, draw.choice([0, 5, None, draw.randrange(10**9)])) for g in "abcc" for _ in range(draw.choice([1, 8, 75]))] + [("none", None)], "g string, v long")
+    got = {r["g"]: (r["low"] + r["high"]) / 2 for r in medians(df, ["g"], "v").collect()}
+    assert got == {r["g"]: r["m"] for r in df.groupBy("g").agg(F.median("v").alias("m")).filter("m IS NOT NULL").collect()}
+
+
+def test_large_clusters_have_the_same_medians(spark, monkeypatch):
+    draw = random.Random(6)
+    rows = [(f"c{k % 3}", f"a{draw.randrange(3)}", [("marker:task", f"t{draw.randrange(2)}")], None, draw.randrange(10**7) if k % 3 else 3_000_000 * k, k, f"e{k}") for k in range(120)]
+    c = spark.createDataFrame(rows, "cluster_id string, actor_raw string, artifacts array<struct<kind:string,value:string>>, parent_key string, us long, ingest_ord long, event_key string")
+    read = lambda: sorted((r["cluster_id"], r["name"], r["score"], tuple(r["evidence"])) for found in (detectors.handoffs(c), detectors.periodicity(c)) for r in found.collect())
+    plain = read()
+    assert len(plain) >= 4
+    for few in (0, 39):
+        monkeypatch.setattr(detectors, "MEDIAN_ROWS", few)
+        assert read() == plain
