@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from skein.catalog.synthetic import observations, table, with_obs
 from skein.functions import text as X
+from skein.history import History
 from skein.operators import state
+from skein.scratch import shared_path
 from skein.sources import archive
 
 
@@ -53,6 +55,19 @@ def alert_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.alert_fingerprints(observations(spark, sf_dir))
 
 
+def history_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that is put three times over: what each key says now, and whether it is among the newest thousand."""
+    rows = observations(spark, sf_dir).select("event_key", "repository", F.col("ingest_ord").alias("e"), "event_time")
+    held = History(shared_path(spark, "history"), "event_key", "event_time")
+    held.put(rows.withColumn("version", F.lit(1)))
+    held.put(rows.filter("e % 3 = 0").withColumns({"version": F.lit(2), "event_time": F.expr("event_time + INTERVAL 1 DAY")}))
+    held.compact(spark)
+    held.put(rows.filter("e % 5 = 0").withColumns({"version": F.lit(3), "note": F.concat(F.lit("late "), "e")}))
+    newest = held.newest(spark, 1000).select("event_key", F.lit(True).alias("newest"))
+    out = held.rows(spark).join(newest, "event_key", "left")
+    return out.select("event_key", "repository", "version", "note", F.unix_micros("event_time").alias("us"), F.coalesce("newest", F.lit(False)).alias("newest"))
+
+
 def watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = observations(spark, sf_dir)
     scores = o.groupBy("cluster_id").agg((F.count("*") * 37 % 100 / 100.0).alias("score")).withColumn("reviewable", F.col("score") >= 0.9)
@@ -67,6 +82,7 @@ QUERIES = {
     "alert_reviews": alert_reviews,
     "health": health,
     "alert_fingerprints": alert_fingerprints,
+    "history_newest": history_newest,
     "watchlist": watchlist,
 }
 ORACLES = {
@@ -83,6 +99,9 @@ ORACLES = {
     "health": """SELECT 'observations' AS name, count(*) AS rows, epoch_us(min(ts)) AS oldest_us, epoch_us(max(ts)) AS newest_us FROM events
       UNION ALL SELECT 'documents', count(*), NULL, NULL FROM documents UNION ALL SELECT 'labels', count(*), NULL, NULL FROM labels""",
     "alert_fingerprints": with_obs("SELECT cluster_id, sha256(string_agg(provenance_url, chr(10) ORDER BY provenance_url)) AS fingerprint FROM obs GROUP BY 1"),
+    "history_newest": with_obs("""WITH v AS (SELECT event_key, repository, ingest_ord AS e, us, CASE WHEN ingest_ord % 5 = 0 THEN 3 WHEN ingest_ord % 3 = 0 THEN 2 ELSE 1 END AS version FROM obs),
+      t AS (SELECT event_key, repository, CAST(version AS INTEGER) AS version, CASE WHEN version = 3 THEN 'late ' || e END AS note, us + CASE WHEN version = 2 THEN 86400000000 ELSE 0 END AS us FROM v)
+      SELECT *, row_number() OVER (ORDER BY us DESC, event_key) <= 1000 AS newest FROM t"""),
     "watchlist": with_obs("""WITH s AS (SELECT cluster_id, CAST(count(*) * 37 % 100 / 100.0 AS DOUBLE) AS score FROM obs GROUP BY 1)
       SELECT cluster_id, score, false AS reviewable FROM s WHERE score < 0.9 AND score > 0 ORDER BY score DESC, cluster_id LIMIT 5"""),
 }

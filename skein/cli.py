@@ -303,7 +303,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, web:
             print(line)
         return 0
     if args.command == "db-health":
-        _told(store.health(spark))
+        _told(store.health())
         return 0
     if args.command == "evaluate-corpus":
         _told(evaluate_files(spark, args.observations, args.labels, args.threshold))

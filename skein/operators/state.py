@@ -32,8 +32,8 @@ def claim_fingerprints(known: DataFrame, found: DataFrame) -> DataFrame:
     return fresh.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
-def newest(observations: DataFrame, n: int) -> DataFrame:
-    return observations.orderBy(F.desc("event_time"), "event_key").limit(n)
+def newest(observations: DataFrame, n: int, when: str = "event_time", key: str = "event_key") -> DataFrame:
+    return observations.orderBy(F.desc(when), key).limit(n)
 
 
 def of_repositories(observations: DataFrame, repositories: list[str], n: int) -> DataFrame:

@@ -1,77 +1,31 @@
 """What runs leave behind in one folder: observations, claimed fingerprints, bundles with what scores them, control state.
 
-Tables are Parquet in batches; the last batch that holds a key counts for it. A batch is written whole before it can be
-seen, and a batch that is written again replaces itself.
+Tables are Parquet files listed in a log (``skein.history``): a change is seen as a whole or not at all, replaces the rows of
+its keys, and made again leaves the table as it is.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from skein.history import History
 from skein.operators import state
 from skein.scratch import written
 
 
-class Latest:
-    """A table at ``path`` with one row (or group of rows) a key: those of the last batch that holds the key."""
-
-    def __init__(self, path: str, key: str):
-        self.path, self.key = path, key
-
-    def _folder(self, spark: SparkSession):
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
-
-    def next_batch(self, spark: SparkSession) -> int:
-        system, folder = self._folder(spark)
-        if not system.exists(folder):
-            return 0
-        names = [s.getPath().getName() for s in system.listStatus(folder)]
-        return 1 + max((int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")), default=-1)
-
-    def put(self, rows: DataFrame, batch: int | None = None) -> int:
-        batch = self.next_batch(rows.sparkSession) if batch is None else batch
-        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/batch={batch}")
-        return batch
-
-    def rows(self, spark: SparkSession) -> DataFrame | None:
-        """The latest rows, without their batch; None before the first batch."""
-        if not self.next_batch(spark):
-            return None
-        rows = spark.read.option("basePath", self.path).parquet(f"{self.path}/batch=*")
-        last = rows.groupBy(self.key).agg(F.max("batch").alias("batch"))
-        return rows.join(last, [self.key, "batch"]).drop("batch")
-
-    def bytes(self, spark: SparkSession) -> int:
-        system, folder = self._folder(spark)
-        return system.getContentSummary(folder).getLength() if system.exists(folder) else 0
-
-    def compact(self, spark: SparkSession) -> None:
-        """All latest rows as one batch; older batches go."""
-        rows = self.rows(spark)
-        if rows is None:
-            return
-        kept = self.put(written(rows, "compacted"))
-        system, folder = self._folder(spark)
-        for s in system.listStatus(folder):
-            if s.getPath().getName() != f"batch={kept}":
-                system.delete(s.getPath(), True)
-
-
 class Store:
     def __init__(self, root: str):
         self.root = root
         self.control = state.Control(f"{root}/control")
-        self.observations = Latest(f"{root}/observations", "event_key")
-        self.fingerprints = Latest(f"{root}/fingerprints", "fingerprint")
-        self.bundles = Latest(f"{root}/bundles", "cluster_id")
-        self.signals = Latest(f"{root}/signals", "cluster_id")
-        self.facts = Latest(f"{root}/facts", "cluster_id")
+        self.observations = History(f"{root}/observations", "event_key", "event_time")
+        self.fingerprints = History(f"{root}/fingerprints", "fingerprint")
+        self.bundles = History(f"{root}/bundles", "cluster_id")
+        self.signals = History(f"{root}/signals", "cluster_id")
+        self.facts = History(f"{root}/facts", "cluster_id")
 
     def newest(self, spark: SparkSession, n: int) -> DataFrame | None:
-        held = self.observations.rows(spark)
-        return None if held is None else state.newest(held, n)
+        """The newest observations, read from files that can hold them."""
+        return self.observations.newest(spark, n)
 
     def claim(self, found: DataFrame) -> DataFrame:
         """Rows of ``found`` (fingerprint, first_seen, ...) that no run claimed before; they are claimed now."""
@@ -90,16 +44,16 @@ class Store:
         self.signals.put(signals.join(chosen, "cluster_id", "left_semi"))
         self.facts.put(facts.join(chosen, "cluster_id", "left_semi"))
 
-    def health(self, spark: SparkSession) -> dict:
+    def health(self) -> dict:
+        """From the lists of files and the log alone: no table is read."""
         tables = {name: getattr(self, name) for name in ("observations", "bundles", "fingerprints")}
-        rows = {name: t.rows(spark) for name, t in tables.items()}
-        span = (None, None) if rows["observations"] is None else rows["observations"].agg(F.min("event_time").cast("string"), F.max("event_time").cast("string")).first()
+        oldest, newest = self.observations.span()
         kept = self.control.state
         return {
             "store": self.root,
-            "bytes_on_disk": sum(t.bytes(spark) for t in (*tables.values(), self.signals, self.facts)) + self.control.log.files.size(),
-            "counts": {name: 0 if df is None else df.count() for name, df in rows.items()} | {"alerts": len(kept["alerts"]), "partitions": len(kept["partitions"])},
-            "oldest_event_time": span[0],
-            "newest_event_time": span[1],
+            "bytes_on_disk": sum(t.bytes() for t in (*tables.values(), self.signals, self.facts)) + self.control.log.files.size(),
+            "counts": {name: t.count() for name, t in tables.items()} | {"alerts": len(kept["alerts"]), "partitions": len(kept["partitions"])},
+            "oldest_event_time": oldest and str(oldest),
+            "newest_event_time": newest and str(newest),
             "pending_alert": self.control.pending() is not None,
         }

@@ -37,8 +37,8 @@ class Monitor:
     def cycle(self, batch: DataFrame, batch_id: int) -> dict:
         """One micro-batch; while an alert is pending nothing is collected into new alerts."""
         fresh = written(batch.dropDuplicates(["event_key"]), "batch")
-        # A batch that is run again replaces itself.
-        self.store.observations.put(fresh, batch_id)
+        # A batch that is run again replaces its own rows.
+        self.store.observations.put(fresh)
         waiting = self.store.control.pending()
         if waiting and self.reviewer:
             self.review_pending(fresh.sparkSession)
