@@ -1,7 +1,7 @@
 """Tables that outlive a run: latest observations, claimed fingerprints, ledger, alerts, reviews, partitions, cursors.
 
-Large ones are DataFrame operations over Parquet; the small ones (alerts, cursors, partitions) are one JSON document each,
-replaced as a whole, with compare-and-set on the driver.
+Large ones are DataFrame operations over Parquet; the small ones (alerts, cursors, partitions) are a log of records, each of
+which is decided on the state before it.
 """
 
 from __future__ import annotations
@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.operators.commits import Log
+from skein.scratch import written
+
+#: Rows of a cluster whose URLs one buffer holds; digits (of 4 bits) by which a tree of digests branches beyond it.
+FINGERPRINT_URLS, TREE_DIGITS = 100_000, 3
 
 
 def upsert_latest(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
@@ -99,8 +103,35 @@ def allowed_repositories(repositories: DataFrame, ledger: DataFrame, *, recheck_
 
 
 def alert_fingerprints(clustered: DataFrame) -> DataFrame:
-    """(cluster_id, fingerprint): the digest of the sorted provenance URLs, repeats included."""
-    return clustered.groupBy("cluster_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("provenance_url")), "\n"), 256).alias("fingerprint"))
+    """(cluster_id, fingerprint): the digest of the sorted provenance URLs, repeats included and nulls left out.
+
+    A cluster of more than FINGERPRINT_URLS rows has the root of a tree of digests instead, which depends on its URLs and
+    their numbers alone: no row gathers more than some 16 ** TREE_DIGITS of them.
+    """
+    rows = clustered.select("cluster_id", "provenance_url")
+    large = written(rows.groupBy("cluster_id").agg(F.count("*").alias("n")).filter(F.col("n") > FINGERPRINT_URLS), "large")
+    whole = F.sha2(F.array_join(F.array_sort(F.collect_list("provenance_url")), "\n"), 256).alias("fingerprint")
+    if large.isEmpty():
+        return rows.groupBy("cluster_id").agg(whole)
+    return rows.join(large, "cluster_id", "left_anti").groupBy("cluster_id").agg(whole).unionByName(_tree_digests(rows, large))
+
+
+def _tree_digests(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """Leaves are the digests of a URL and its number; those that share their first digits become one node, whose place is
+    these digits, and so on until no digit is left. ``w``: the digits of the next place, from the cluster's number of rows."""
+    digits = F.length(F.hex(F.shiftright("n", 4 * TREE_DIGITS)))
+    most = large.agg(F.max(digits)).first()[0]
+    leaves = rows.join(large, "cluster_id").filter("provenance_url IS NOT NULL").groupBy("cluster_id", "n", "provenance_url").agg(F.count("*").alias("k"))
+    leaf = F.sha2(F.concat("provenance_url", F.lit("\n"), F.col("k").cast("string")), 256)
+    nodes = leaves.select("cluster_id", digits.alias("w"), leaf.alias("place"), leaf.alias("d"))
+    for _ in range(1 + -(-most // TREE_DIGITS)):
+        under = F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("place", F.lit(":"), "d"))), "\n"), 256)
+        # A root stays as it is while other clusters' trees go on.
+        joined = nodes.groupBy("cluster_id", "w", F.expr("substring(place, 1, greatest(w, 0))").alias("place")).agg(F.max("d").alias("root"), under.alias("under"))
+        nodes = joined.select("cluster_id", "place", F.when(F.col("w") < 0, F.col("root")).otherwise(F.col("under")).alias("d"), F.when(F.col("w") <= 0, -1).otherwise(F.greatest(F.col("w") - TREE_DIGITS, F.lit(0))).alias("w"))
+        nodes = written(nodes, "nodes")
+    # A cluster without any URL has the digest of nothing, as a small one has.
+    return large.join(nodes.select("cluster_id", "d"), "cluster_id", "left").select("cluster_id", F.coalesce("d", F.sha2(F.lit("").cast("binary"), 256)).alias("fingerprint"))
 
 
 def with_new_evidence(clusters: DataFrame, memberships: DataFrame, new_keys: DataFrame) -> DataFrame:
