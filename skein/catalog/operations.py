@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,19 @@ def ledger_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("repository", "observations", F.unix_micros("last_event_time").alias("last_us"), "max_score", "status")
 
 
+def ledger_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger at a shared address, written for all repositories and again for some of them, as it is read back."""
+    o = observations(spark, sf_dir)
+    scores = o.groupBy("cluster_id").agg((F.count("*") % 10 / 10.0).alias("score")).withColumn("reviewable", F.col("score") >= 0.7)
+    rollup = state.ledger_rollup(o.select("cluster_id", "repository"), o, scores)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_path(spark, "ledger"))
+    root = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    state.write_ledger(rollup, root, ["first"], "1", datetime(2026, 1, 1, tzinfo=UTC))
+    state.write_ledger(rollup.filter("observations % 2 = 0"), root, ["first", "second"], "2", datetime(2026, 1, 2, tzinfo=UTC))
+    us = lambda c: F.unix_micros(c).alias(c.replace("_at", "_us").replace("_time", "_us"))
+    return state.read_ledger(spark, root).select("repository", us("last_checked_at"), us("last_event_time"), "query_version", "detector_version", "observations", "max_score", "status")
+
+
 def alert_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     alerts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "lang")
     reviews = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("alert_id"), "quality", "toxic")
@@ -79,6 +94,7 @@ QUERIES = {
     "fingerprint_claim": fingerprint_claim,
     "quotas": quotas,
     "ledger_rollup": ledger_rollup,
+    "ledger_table": ledger_table,
     "alert_reviews": alert_reviews,
     "health": health,
     "alert_fingerprints": alert_fingerprints,
@@ -95,6 +111,11 @@ ORACLES = {
     "ledger_rollup": with_obs("""WITH s AS (SELECT cluster_id, count(*) % 10 / 10.0 AS score FROM obs GROUP BY 1), m AS (SELECT DISTINCT repository, cluster_id FROM obs)
       , best AS (SELECT repository, max(score) AS max_score FROM m JOIN s USING (cluster_id) GROUP BY 1), own AS (SELECT repository, count(*) AS observations, max(us) AS last_us FROM obs GROUP BY 1)
       SELECT repository, observations, last_us, CAST(max_score AS DOUBLE) AS max_score, CASE WHEN max_score >= 0.7 THEN 'high_confidence' ELSE 'no_high_confidence' END AS status FROM own JOIN best USING (repository)"""),
+    "ledger_table": with_obs("""WITH s AS (SELECT cluster_id, count(*) % 10 / 10.0 AS score FROM obs GROUP BY 1), m AS (SELECT DISTINCT repository, cluster_id FROM obs)
+      , best AS (SELECT repository, max(score) AS max_score FROM m JOIN s USING (cluster_id) GROUP BY 1), own AS (SELECT repository, count(*) AS n, max(us) AS last_event_us FROM obs GROUP BY 1)
+      SELECT repository, CASE WHEN n % 2 = 0 THEN 1767312000000000 ELSE 1767225600000000 END AS last_checked_us, last_event_us, sha256(CASE WHEN n % 2 = 0 THEN 'first' || chr(10) || 'second' ELSE 'first' END) AS query_version,
+        CASE WHEN n % 2 = 0 THEN '2' ELSE '1' END AS detector_version, CAST(n AS INTEGER) AS observations, CAST(max_score AS DOUBLE) AS max_score, CASE WHEN max_score >= 0.7 THEN 'high_confidence' ELSE 'no_high_confidence' END AS status
+      FROM own JOIN best USING (repository)"""),
     "alert_reviews": "SELECT d.doc_id AS id, source, lang, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "health": """SELECT 'observations' AS name, count(*) AS rows, epoch_us(min(ts)) AS oldest_us, epoch_us(max(ts)) AS newest_us FROM events
       UNION ALL SELECT 'documents', count(*), NULL, NULL FROM documents UNION ALL SELECT 'labels', count(*), NULL, NULL FROM labels""",

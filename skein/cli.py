@@ -11,7 +11,6 @@ import time
 from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
 from email.message import EmailMessage
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +36,7 @@ CALIBRATION = ("--calibration", {"help": "JSON profile of likelihood ratios"})
 QUERIES = ("--queries", {"required": True, "help": "YAML file of query families"})
 REPORT, PAGE = ("--report", {"default": "reports/findings.md"}), ("--html", {"default": "reports/site/index.html"})
 LEDGER = [
-    ("--ledger", {"default": "ledger/repos"}),
+    ("--ledger", {"default": "ledger/repos", "help": "a folder of files, or the address (scheme://...) of a table"}),
     ("--recheck-repository", {"action": "append", "default": []}),
     ("--recheck-stale", {"type": int, "metavar": "DAYS"}),
     ("--recheck-all", {"action": "store_true"}),
@@ -152,9 +151,9 @@ def _allowed(spark: SparkSession, args) -> Callable[[DataFrame], DataFrame]:
     """Repositories that the ledger does not cover."""
 
     def allowed(repositories: DataFrame) -> DataFrame:
-        if not Path(args.ledger).exists():
-            return repositories
         done = state.read_ledger(spark, args.ledger)
+        if done is None:
+            return repositories
         return state.allowed_repositories(repositories, done, recheck_all=args.recheck_all, recheck=args.recheck_repository, stale_days=args.recheck_stale, continuous_owners=args.continuous_owner)
 
     return allowed

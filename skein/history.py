@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.operators import state
 from skein.operators.commits import Log
 
 #: Bytes of a file after compaction.
@@ -114,7 +113,7 @@ class History:
         names, least = self.holding_newest(n)
         rows = self._read(spark, names, self._schema(now))
         rows = rows if least is None else rows.filter(F.col(self.when) >= F.timestamp_micros(F.lit(least)))
-        return state.newest(rows, n, self.when, self.key)
+        return rows.orderBy(F.desc(self.when), self.key).limit(n)
 
     def span(self) -> tuple[datetime | None, datetime | None]:
         """The times of the oldest and the newest row, from the list alone."""

@@ -9,12 +9,14 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from datetime import UTC, datetime, timedelta
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.history import History
 from skein.operators.commits import Log
 from skein.scratch import written
 
@@ -36,8 +38,8 @@ def claim_fingerprints(known: DataFrame, found: DataFrame) -> DataFrame:
     return fresh.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
-def newest(observations: DataFrame, n: int, when: str = "event_time", key: str = "event_key") -> DataFrame:
-    return observations.orderBy(F.desc(when), key).limit(n)
+def newest(observations: DataFrame, n: int) -> DataFrame:
+    return observations.orderBy(F.desc("event_time"), "event_key").limit(n)
 
 
 def of_repositories(observations: DataFrame, repositories: list[str], n: int) -> DataFrame:
@@ -64,29 +66,55 @@ def ledger_rollup(clustered: DataFrame, observations: DataFrame, scores: DataFra
 REPOSITORY = r"(?U)^[\w.-]+/[\w.-]+$"
 
 
-def write_ledger(rollup: DataFrame, root: str, queries: list[str], detector_version: str, checked_at: datetime | None = None) -> int:
-    """One JSON record for each owner/name; other names have none. Returns how many were written."""
+LEDGER = "repository string, last_checked_at timestamp, last_event_time timestamp, query_version string, detector_version string, observations int, max_score double, status string"
+
+
+def ledger_records(rollup: DataFrame, queries: list[str], detector_version: str, checked_at: datetime | None = None) -> DataFrame:
+    """A record for each owner/name of ``rollup``; other names have none."""
     version = hashlib.sha256("\n".join(queries).encode()).hexdigest()
-    checked = (checked_at or datetime.now(UTC)).isoformat()
+    parts = F.split(F.lower("repository"), "/")
+    named = rollup.filter(F.col("repository").rlike(REPOSITORY)).filter(~F.arrays_overlap(parts, F.array(F.lit("."), F.lit(".."))))
+    own = {"last_checked_at": F.lit(checked_at or datetime.now(UTC)), "query_version": F.lit(version), "detector_version": F.lit(detector_version)}
+    named = named.withColumns(own)
+    return named.select(*[F.expr(f"CAST({c} AS {kind}) AS {c}") for c, kind in (field.split(" ") for field in LEDGER.split(", "))])
+
+
+def _ledger_table(root: str) -> History | None:
+    """A ledger at an address with a scheme (hdfs://...) is a table; in a plain folder it is one file a repository."""
+    return History(root, "name") if re.match(r"[a-z][a-z0-9+.-]*:/", root) else None
+
+
+def write_ledger(rollup: DataFrame, root: str, queries: list[str], detector_version: str, checked_at: datetime | None = None) -> int:
+    """Keeps the records of all owner/names at ``root``, in place of earlier ones. Returns how many.
+
+    Names that differ in case alone are one; of several in ``rollup`` the last in order counts.
+    """
+    records = ledger_records(rollup, queries, detector_version, checked_at)
+    last = F.max_by(F.struct(*records.columns), F.col("repository")).alias("r")
+    records = written(records.groupBy(F.lower("repository").alias("name")).agg(last).select("name", "r.*"), "ledger")
+    table = _ledger_table(root)
+    if table:
+        table.put(records)
+        return records.count()
+    # In UTC, whatever the session's zone.
+    iso = lambda c: F.regexp_replace(F.date_format(F.to_utc_timestamp(F.col(c), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.0+$", "")
     n = 0
-    for row in rollup.filter(F.col("repository").rlike(REPOSITORY)).orderBy("repository").toLocalIterator():
-        owner, name = row["repository"].lower().split("/", 1)
-        if {owner, name} & {".", ".."}:
-            continue
-        path = Path(root) / "github" / owner / f"{name}.json"
+    for row in records.withColumns({c: F.concat(iso(c), F.lit("+00:00")) for c in ("last_checked_at", "last_event_time")}).orderBy("name").toLocalIterator():
+        record = row.asDict()
+        path = Path(root) / "github" / f"{record.pop('name')}.json"
         path.parent.mkdir(parents=True, exist_ok=True)
-        last = row["last_event_time"]
-        record = {"repository": row["repository"], "last_checked_at": checked, "last_event_time": last and last.replace(tzinfo=UTC).isoformat(), "query_version": version, "detector_version": detector_version, "observations": row["observations"], "max_score": row["max_score"], "status": row["status"]}
         replace_text(path, json.dumps(record, indent=2, sort_keys=True) + "\n")
         n += 1
     return n
 
 
-LEDGER = "repository string, last_checked_at timestamp, last_event_time timestamp, query_version string, detector_version string, observations int, max_score double, status string"
-
-
-def read_ledger(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(LEDGER).option("multiLine", True).option("recursiveFileLookup", True).json(root)
+def read_ledger(spark: SparkSession, root: str) -> DataFrame | None:
+    """The records at ``root``; None where nothing was kept."""
+    table = _ledger_table(root)
+    if table:
+        held = table.rows(spark)
+        return None if held is None else held.drop("name")
+    return spark.read.schema(LEDGER).option("multiLine", True).option("recursiveFileLookup", True).json(root) if Path(root).exists() else None
 
 
 def allowed_repositories(repositories: DataFrame, ledger: DataFrame, *, recheck_all: bool = False, recheck: list[str] = (), stale_days: int | None = None, continuous_owners: list[str] = (), now: datetime | None = None) -> DataFrame:
