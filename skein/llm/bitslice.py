@@ -240,7 +240,8 @@ def search(index: DataFrame, width: int, queries: DataFrame, k: int) -> DataFram
     # Every query block is dealt to every group of row blocks.
     dealt = pages.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     parts = index.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
-    found = parts.join(dealt, "part").drop("part").mapInArrow(partial(_search, width=width, k=k), "query_id long, query_uid long, vec_id long, score long")
+    # Neither side may pass the driver: bitmaps at rest are far smaller than in memory, and each query block is there many times.
+    found = parts.join(dealt.hint("merge"), "part").drop("part").mapInArrow(partial(_search, width=width, k=k), "query_id long, query_uid long, vec_id long, score long")
     # Spark keeps the k best of each query in a task before it shuffles them.
     best = Window.partitionBy("query_id", "query_uid").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

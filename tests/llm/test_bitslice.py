@@ -103,3 +103,9 @@ def test_rows_that_share_an_id_are_candidates_of_each_other(spark):
 def test_own_columns_may_bear_any_name(spark):
     df = spark.createDataFrame([(50, [1.0], 1, 2, 3), (51, [2.0], 4, 5, 6)], "vec_id long, embedding array<float>, UID int, v int, part int")
     assert found(bitslice.top_rows(df)) == {50: {1: [(51, 256 * 512)]}}
+
+
+def test_the_index_never_passes_the_driver(spark):
+    rows = [(i, [float(i % 7), 1.0], 0) for i in range(300)]
+    plan = bitslice.top_rows(spark.createDataFrame(rows, SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
