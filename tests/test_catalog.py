@@ -32,3 +32,28 @@ def test_every_observation_gives_a_signal(spark, tables):
     signals = detection._signals(spark, tables)
     assert sorted(r["signal_ord"] for r in signals.collect()) == list(range(400))
     assert detection.score(spark, tables).count() == 34
+
+
+def _against_sql(spark, path, name):
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{path}/events.parquet/*.parquet')")
+    want = db.execute(detection.ORACLES[name])
+    cols = [c[0] for c in want.description]
+    got = detection.QUERIES[name](spark, path).select(*cols).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want.fetchall())
+    return got
+
+
+@pytest.fixture(scope="module")
+def crowded(spark, tmp_path_factory):
+    """A thousand events of one half hour: 125 of each kind, far more than 500 paths."""
+    path = str(tmp_path_factory.mktemp("crowded"))
+    at = F.timestamp_seconds(F.lit(1_704_069_000) + F.col("id") * 1.5).cast("timestamp_ntz")
+    spark.range(1000).select(F.col("id").alias("event_id"), (F.col("id") * 7 % 23).alias("user_id"), at.alias("ts"), F.lit(0.5).alias("value")).write.parquet(f"{path}/events.parquet")
+    return path
+
+
+def test_every_path_of_a_crowded_thread_counts(spark, crowded):
+    assert _against_sql(spark, crowded, "detect_exchange")[0]["ids"] > 250
