@@ -51,3 +51,42 @@ def test_one_long_cycle(spark):
     n = 100_000
     df = spark.range(n).selectExpr("'c' AS cluster_id", "concat('v', id) AS src", f"concat('v', (id + 7919) % {n}) AS dst")
     assert [tuple(r) for r in cycles.largest(df).collect()] == [("c", n)]
+
+
+def test_a_large_dense_graph_is_walked(spark, monkeypatch):
+    monkeypatch.setattr(cycles, "_Reduction", None)
+    n = 30_000
+    df = spark.range(2 * n).selectExpr("'c' AS cluster_id", f"concat('v', id % {n}) AS src", f"concat('v', (id * 7919 + id DIV {n} * 31 + 1) % {n}) AS dst").filter("src <> dst").distinct()
+    edges = [(r["src"], r["dst"]) for r in df.collect()]
+    assert len(edges) > 50_000
+    ahead, back = {}, {}
+    for a, b in edges:
+        ahead.setdefault(a, []).append(b)
+        back.setdefault(b, []).append(a)
+
+    def reach(graph, v):
+        seen, stack = {v}, [v]
+        while stack:
+            new = [y for y in graph.get(stack.pop(), ()) if y not in seen]
+            seen.update(new)
+            stack += new
+        return seen
+
+    sizes, left = [1], {a for a, _ in edges}
+    while left:
+        both = reach(ahead, v := next(iter(left))) & reach(back, v)
+        sizes.append(len(both))
+        left -= both
+        if len(left) < max(sizes):
+            break
+    assert [tuple(r) for r in cycles.largest(df).collect()] == [("c", max(sizes))]
+
+
+def test_a_dense_core_goes_before_colours(spark, monkeypatch):
+    monkeypatch.setattr(cycles, "WALKED_EDGES", 0)
+    monkeypatch.setattr(cycles._Reduction, "coloured", None)
+    draw = random.Random(4)
+    core = {(f"v{a}", f"v{b}") for a, b in ((draw.randrange(60), draw.randrange(60)) for _ in range(400)) if a != b}
+    edges = core | {("t0", "v1"), ("t0", "v2"), ("v3", "u0"), ("v4", "u0"), ("u0", "u1")}
+    df = spark.createDataFrame([(k, a, b) for k in ("x", "y") for a, b in edges], EDGES)
+    assert {tuple(r) for r in cycles.largest(df).collect()} == {("x", closure(edges)), ("y", closure(edges))}
