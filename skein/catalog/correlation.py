@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from skein.catalog.synthetic import observations, table, with_obs
 from skein.operators import clustering
 from skein.operators.features import with_features
+from skein.scratch import written
+
+#: What linking reads of the features.
+_LINKING = ["bucket", "actor_key", "platform", "resource_key", "artifacts"]
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +42,7 @@ def link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linked_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.linked_buckets(with_features(observations(spark, sf_dir)))
+    return clustering.linked_buckets(written(with_features(observations(spark, sf_dir)).select(*_LINKING), "features"))
 
 
 def longitudinal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +52,8 @@ def longitudinal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def thread_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of all clusters: windows of linked buckets, then trajectories that are not one of them."""
-    members = clustering.memberships(with_features(observations(spark, sf_dir)))
+    feats = with_features(observations(spark, sf_dir)).select("event_key", "us", "ingest_ord", *_LINKING, "all_credentials", "any_opaque", "scaffold")
+    members = clustering.memberships(written(feats, "features"))
     return members.groupBy("cluster_id").agg(F.count("*").alias("n"))
 
 
