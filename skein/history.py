@@ -21,6 +21,8 @@ from skein.operators.commits import Log
 
 #: Bytes of a file after compaction.
 FILE_BYTES = 256 << 20
+#: Rows of a compacted file at most, near enough: rows that compress well are many in few bytes, and a task sorts them.
+FILE_ROWS = 1_000_000
 
 
 class History:
@@ -128,13 +130,13 @@ class History:
         return sum(s["bytes"] for s in self.listed().values())
 
     def compact(self, spark: SparkSession) -> None:
-        """The same rows in files of some 256 MB, each of a range of times (keys, where there is no time) of its own."""
+        """The same rows in files of some 256 MB or a million rows, each of a range of times (keys, where there is no time) of its own."""
         by = [c for c in (self.when, self.key) if c]
 
         def decide(now: dict) -> dict | None:
             if len(now["files"]) < 2:
                 return None
-            parts = max(1, math.ceil(sum(s["bytes"] for s in now["files"].values()) / FILE_BYTES))
+            parts = max(1, *[math.ceil(sum(s[k] for s in now["files"].values()) / most) for k, most in (("bytes", FILE_BYTES), ("rows", FILE_ROWS))])
             rows = self._read(spark, now["files"], self._schema(now)).repartitionByRange(parts, *by).sortWithinPartitions(*by)
             return {"files": dict.fromkeys(now["files"]) | self._written(rows)}
 

@@ -77,3 +77,16 @@ def test_a_change_that_was_overtaken_is_made_again(spark, tmp_path):
     two.log().files.create = overtaken
     two.put(table(spark, [("a", 3, 0)]))
     assert met and values(one.rows(spark)) == values(two.rows(spark)) == [("a", 3), ("b", 2)]
+
+
+def test_compacted_files_hold_few_rows_however_well_they_compress(spark, tmp_path, monkeypatch):
+    from skein import history
+
+    monkeypatch.setattr(history, "FILE_ROWS", 1000)
+    h = History(str(tmp_path / "h"), "k", "at")
+    for part in range(2):
+        h.put(table(spark, [(f"k{i:05d}", 1, i) for i in range(part, 8000, 2)]))
+    h.compact(spark)
+    files = sorted(h.listed().values(), key=lambda s: s["oldest"])
+    assert len(files) >= 7 and max(s["rows"] for s in files) <= 2000 and sum(s["rows"] for s in files) == 8000
+    assert all(a["newest"] < b["oldest"] for a, b in zip(files, files[1:]))
