@@ -57,3 +57,11 @@ def crowded(spark, tmp_path_factory):
 
 def test_every_path_of_a_crowded_thread_counts(spark, crowded):
     assert _against_sql(spark, crowded, "detect_exchange")[0]["ids"] > 250
+
+
+def test_queries_of_detectors_compute_only_what_is_read(spark, crowded, monkeypatch):
+    kept = []
+    monkeypatch.setattr(detection, "written", lambda df, name: kept.append(set(df.columns)) or df)
+    detection.QUERIES["detect_shift_coverage"](spark, crowded)
+    detection.QUERIES["isolated_acts"](spark, crowded)
+    assert kept == [{"cluster_id", "event_key", "actor_key", "resource_key", "us", "ingest_ord", "is_bot"}, {"cluster_id", "event_key", "acts"}]
