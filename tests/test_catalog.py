@@ -65,3 +65,17 @@ def test_queries_of_detectors_compute_only_what_is_read(spark, crowded, monkeypa
     detection.QUERIES["detect_shift_coverage"](spark, crowded)
     detection.QUERIES["isolated_acts"](spark, crowded)
     assert kept == [{"cluster_id", "event_key", "actor_key", "resource_key", "us", "ingest_ord", "is_bot"}, {"cluster_id", "event_key", "acts"}]
+
+
+def test_only_results_among_the_first_paths_are_paired(spark, crowded, monkeypatch):
+    from skein.catalog.synthetic import clustered
+    from skein.operators import detectors
+
+    kept = []
+    keep = detectors._first_right
+    monkeypatch.setattr(detectors, "_first_right", lambda right, *a: kept.append((right, keep(right, *a))) or kept[-1][1])
+    c = clustered(spark, crowded, "'all'").select("cluster_id", *detectors.READS["exchange"])
+    got = detectors.exchange(c, most=50).collect()
+    assert [(a.count() > 100, 0 < b.count() < 50) for a, b in kept] == [(True, True), (True, True)]
+    monkeypatch.setattr(detectors, "_first_right", lambda right, *a: right)
+    assert got == detectors.exchange(c, most=50).collect() and len(got) == 1
