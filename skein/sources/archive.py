@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import text as X
@@ -141,15 +141,17 @@ def normalise(events: DataFrame, retrieval_method: str) -> DataFrame:
     )
 
 
-def within_quotas(observations: DataFrame, limits: Limits) -> DataFrame:
+def within_quotas(observations: DataFrame, limits: Limits, counts: dict[bool, int] | None = None) -> DataFrame:
     """``retained``: whether a row is among the first of its kind, in line order, up to the quota.
 
     Rows beyond a quota are marked, not lost, so that they can be counted. A quota's last line is found by counting digits
-    of line numbers, so that no task holds, sorts or allocates as many rows as the quota says.
+    of line numbers, so that no task holds, sorts or allocates as many rows as the quota says. ``counts`` of the kinds' rows,
+    if known, save looking for the last line of a kind within its quota.
     """
     quotas = {True: limits.candidates, False: limits.background}
-    wanted = observations.sparkSession.createDataFrame([(c, q - 1) for c, q in quotas.items() if q > 0], "candidate boolean, k long")
-    last = {r["candidate"]: r["line_no"] for r in ordinals(observations, ["candidate"], "line_no", wanted).collect()}
+    cut = [(c, q - 1) for c, q in quotas.items() if q > 0 and (counts is None or counts[c] > q)]
+    wanted = observations.sparkSession.createDataFrame(cut, "candidate boolean, k long")
+    last = {r["candidate"]: r["line_no"] for r in ordinals(observations, ["candidate"], "line_no", wanted).collect()} if cut else {}
     # A kind with fewer rows than its quota has no last line and keeps all.
     within = {c: F.lit(False) if q <= 0 else F.col("line_no") <= last[c] if c in last else F.lit(True) for c, q in quotas.items()}
     return observations.withColumn("retained", F.when(F.col("candidate"), within[True]).otherwise(within[False]))
@@ -174,26 +176,27 @@ def read_archive(spark: SparkSession, path: str, limits: Limits = Limits(), hour
     if limits.max_lines is not None:
         lines = lines.filter(F.length("value") > 0).limit(limits.max_lines)
     lines = lines.withColumn("line_no", F.monotonically_increasing_id())
-    # The lines that may matter are at rest before they are decoded, so that counts and quotas do not read all again.
-    chosen = written(prefilter(lines, limits), "lines")
-    decoded = chosen.withColumn("e", F.from_json("value", EVENT, {"mode": "PERMISSIVE"})).drop("value")
-    rows = normalise(decoded.filter(F.col("e.type").isin(list(limits.event_types))), "gharchive-hourly")
-    rows = rows.withColumn("candidate", X.has(F.col("text"), X.CANDIDATE)).filter("candidate OR sampled")
-    rows = within_quotas(written(rows, "events"), limits)
-    read = lines.filter(F.length("value") > 0)
+    lines = lines.filter(F.length("value") > 0)
     size = F.octet_length("value") <= limits.max_event_bytes
     named = F.regexp_extract("value", TYPE_ON_LINE, 1)
     typed = size & (named.isin(list(limits.event_types)) | (named == ""))
     listed = F.lower(F.regexp_extract("value", REPOSITORY_ON_LINE, 1)).isin([r.lower() for r in limits.repositories]) if limits.repositories else F.lit(True)
-    scan = read.agg(F.count_if(size).alias("events_scanned"), F.count_if(typed & listed).alias("relevant_events"), F.count_if(typed & ~listed).alias("repository_filtered_events"), F.count_if(~size).alias("oversize"))
-    bad = decoded.agg(F.count_if(F.col("e").isNull() | (F.col("e.id").isNull() & F.col("e.type").isNull())).alias("undecoded"))
-    kept = rows.agg(
-        F.count_if("candidate").alias("candidate_events"),
-        F.count_if(~F.col("candidate")).alias("sampled_events"),
-        F.count_if(F.col("candidate") & F.col("retained")).alias("candidate_observations"),
-        F.count_if(~F.col("candidate") & F.col("retained")).alias("sampled_observations"),
-    )
-    counters = {k: v for part in (scan, bad, kept) for k, v in part.first().asDict().items()}
+    # Counters are taken as the lines pass, which are read and decoded once.
+    scan, bad, kept = Observation(), Observation(), Observation()
+    lines = lines.observe(scan, F.count_if(size).alias("events_scanned"), F.count_if(typed & listed).alias("relevant_events"), F.count_if(typed & ~listed).alias("repository_filtered_events"), F.count_if(~size).alias("oversize"))
+    # The lines that may matter are at rest before they are decoded.
+    chosen = written(prefilter(lines, limits), "lines")
+    decoded = chosen.withColumn("e", F.from_json("value", EVENT, {"mode": "PERMISSIVE"})).drop("value")
+    decoded = decoded.observe(bad, F.count_if(F.col("e").isNull() | (F.col("e.id").isNull() & F.col("e.type").isNull())).alias("undecoded"))
+    rows = normalise(decoded.filter(F.col("e.type").isin(list(limits.event_types))), "gharchive-hourly")
+    rows = rows.withColumn("candidate", X.has(F.col("text"), X.CANDIDATE))
+    rows = rows.observe(kept, F.count_if("candidate").alias("candidate_events"), F.count_if(~F.col("candidate") & F.col("sampled")).alias("sampled_events"))
+    rows = written(rows.filter("candidate OR sampled"), "events")
+    counters = {k: v for part in (scan, bad, kept) for k, v in part.get.items()}
+    quotas = {"candidate": limits.candidates, "sampled": limits.background}
+    # Line numbers are distinct, so that a quota is met exactly.
+    counters |= {f"{kind}_observations": min(counters[f"{kind}_events"], max(0, quota)) for kind, quota in quotas.items()}
+    rows = within_quotas(rows, limits, {True: counters["candidate_events"], False: counters["sampled_events"]})
     counters["malformed_events"] = counters.pop("oversize") + counters.pop("undecoded")
     counters["dropped_candidate_events"] = counters["candidate_events"] - counters["candidate_observations"]
     counters["dropped_sampled_events"] = counters["sampled_events"] - counters["sampled_observations"]

@@ -166,3 +166,21 @@ def test_metadata_of_archives_and_campaigns(spark, tmp_path):
     assert got["3"]["commit_messages"] == ["checkpoint one", "two"] and got["3"]["commit_count"] == len(EVENTS[2]["payload"]["commits"]) and "commit_count" not in got["1"]
     found = [json.loads(r["metadata_json"]) for r in _as_found(rows, "q", "gh", 1).collect()]
     assert all(m["origin_source"] == "gharchive" and m["campaign_query"] == "q" and m["archive_hour"] for m in found)
+
+
+def test_archive_within_its_quotas_is_counted_as_it_is_read(spark, tmp_path, monkeypatch):
+    import json
+
+    from skein.sources import archive
+
+    def not_called(*a):
+        raise AssertionError("no kind is beyond its quota")
+
+    monkeypatch.setattr(archive, "ordinals", not_called)
+    rows = [{"id": str(i), "type": "PushEvent", "created_at": "2026-01-05T12:00:00Z", "payload": {"commits": [{"sha": "s", "message": "heartbeat" if i % 2 else "plain"}]}} for i in range(5)]
+    (tmp_path / "full").write_text("".join(json.dumps(r) + "\n" for r in rows) + '\n{"type": "WatchEvent"}\n')
+    got, counters = archive.read_archive(spark, str(tmp_path / "full"), archive.Limits(sample_rate=1.0))
+    assert got.count() == 5 and {k: counters[k] for k in ("events_scanned", "relevant_events", "candidate_observations", "sampled_observations", "malformed_events")} == {"events_scanned": 6, "relevant_events": 5, "candidate_observations": 2, "sampled_observations": 3, "malformed_events": 0}
+    (tmp_path / "none").write_text("")
+    got, counters = archive.read_archive(spark, str(tmp_path / "none"))
+    assert got.count() == 0 and not any(counters.values())
