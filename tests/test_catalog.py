@@ -79,3 +79,17 @@ def test_only_results_among_the_first_paths_are_paired(spark, crowded, monkeypat
     assert [(a.count() > 100, 0 < b.count() < 50) for a, b in kept] == [(True, True), (True, True)]
     monkeypatch.setattr(detectors, "_first_right", lambda right, *a: right)
     assert got == detectors.exchange(c, most=50).collect() and len(got) == 1
+
+
+def test_no_table_of_keys_is_sent_to_all_tasks(spark, crowded):
+    """Broadcasts go through the driver; a table of every event's key must not, however small its files are."""
+    c = detection.written(detection.clustered(spark, crowded), "features")
+    edges = detection.detectors.graph_tables(c)[1].filter("relation IN ('reply_to', 'responded_to')")
+    assert "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in detection.detectors.reply_edges(c)._jdf.queryExecution().executedPlan().toString()
+    plans = []
+    keep = detection.detectors.written
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(detection.detectors, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, name))
+        detection.detectors.ancestors(c.select("cluster_id", "event_key", "parent_key"))
+    assert len(plans) >= 2 and not any("Broadcast" in p for p in plans)
