@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from skein.operators.features import with_features
 from skein.plans.analyze import analyze, bundles, saved_bundles, summary
@@ -140,3 +141,18 @@ def test_ancestry_stops_at_sixteen_and_at_cycles(spark):
     got = {(r["cluster_id"], r["event_key"]): r["ancestors"] for r in ancestors(spark.createDataFrame(chain + loop, "cluster_id string, event_key string, parent_key string")).collect()}
     assert got["c", "19"] == [str(i) for i in range(18, 2, -1)] and got["c", "3"] == ["2", "1", "0"] and ("c", "0") not in got
     assert got["d", "a"] == ["b", "a"] and got["d", "y"] == ["a", "b"] and ("d", "x") not in got
+
+
+def test_scores_alone_are_those_of_the_analysis(spark, tmp_path, monkeypatch):
+    from skein.catalog.synthetic import observations as made
+    from skein.plans import analyze as plan
+
+    at = F.timestamp_seconds(F.lit(1_704_069_000) + F.col("id") * 120).cast("timestamp_ntz")
+    spark.range(2000).select(F.col("id").alias("event_id"), (F.col("id") * 7 % 23).alias("user_id"), at.alias("ts"), F.lit(0.5).alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    obs = made(spark, str(tmp_path)).drop("cluster_id", "th")
+    want = {r["cluster_id"]: r for r in analyze(obs).scores.collect()}
+    columns = {}
+    keep = plan.written
+    monkeypatch.setattr(plan, "written", lambda df, name: columns.update({name: set(df.columns)}) or keep(df, name))
+    assert {r["cluster_id"]: r for r in plan.scores_alone(obs).collect()} == want and len(want) > 50
+    assert "content_sha256" not in columns["features"] and not {"url", "scaffold"} & columns["clustered"] and "observation_ids" not in columns["signals"]

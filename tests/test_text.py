@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -91,3 +92,19 @@ def test_hash_sample_is_a_share(spark):
     rows = spark.range(4000).select(X.hash_sample(F.col("id").cast("string"), 0.25).alias("s")).filter("s").count()
     assert 850 < rows < 1150
     assert spark.range(10).filter(X.hash_sample(F.col("id").cast("string"), 0.0)).count() == 0 and spark.range(10).filter(X.hash_sample(F.col("id").cast("string"), 1.0)).count() == 10
+
+
+def test_short_ways_change_no_result(spark, monkeypatch):
+    """Texts without quotes or negations take a short way; forced along the long one they come out the same."""
+    words = ["ack", "not", "knot ack", "do not ", "please run", "> ", "\n", "\r\n", "\r", "\x0b", " ", "noon", "Never", "don't", " ", ". ", "a > b", "resuming from", "x" * 30, "\n> ack"]
+    draw = random.Random(5)
+    texts = ["".join(draw.choice(words) + draw.choice(["", " "]) for _ in range(draw.randrange(1, 12))) for _ in range(1500)] + ["", None, "\n\n", "ack\n"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+
+    def results():
+        return rows.select("i", X.strip_quoted_lines(F.col("t")).alias("s"), X.speech_acts(X.clean_text(F.col("t"))).alias("a")).orderBy("i").collect()
+
+    short = results()
+    monkeypatch.setattr(X, "QUOTE_OR_BREAK", "(?s)^")
+    monkeypatch.setattr(X, "NEGATING", "(?s)^")
+    assert short == results() and len({tuple(r["a"]) for r in short}) >= 4
